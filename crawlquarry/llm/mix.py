@@ -36,8 +36,8 @@ from crawlquarry.plans.sized import written
 MOST_TARGETS = 10_000
 #: Open documents that one task may take; above it they go through a further round.
 LANDING = 20_000
-#: Documents of a source that each task keeps for the landing.
-RESERVE = 14
+#: Documents of a source that each task keeps for the landing, and of how many the landing tries all ways.
+RESERVE, EXACT = 32, 12
 
 
 def allocate(rows: list[dict], total: float | None) -> dict[str, float]:
@@ -100,11 +100,18 @@ def step(units: list[list], chance: float) -> None:
 
 
 def landed(units: list[list]) -> None:
-    """Round the last open units to the tokens nearest to what they stand for, then to the nearest number."""
-    n = len(units)
-    ways = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    """Round the last open units. From the largest down, each is rounded together with what the ones before it left over;
+    of the smallest EXACT, all ways are tried for the nearest tokens, then the nearest number."""
+    units = sorted(units, key=lambda u: (-u[1], u[0]))
+    rest = 0.0
+    for u in units[: max(0, len(units) - EXACT)]:
+        want = rest + u[1] * u[2]
+        u[2] = 1.0 if 2 * want >= u[1] else 0.0
+        rest = want - u[1] * u[2]
+    units = units[-EXACT:]
+    ways = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
     tokens, p = np.array([u[1] for u in units], float), np.array([u[2] for u in units])
-    off = np.abs(ways @ tokens - tokens @ p)
+    off = np.abs(ways @ tokens - tokens @ p - rest)
     best = np.lexsort((np.abs(ways.sum(1) - p.sum()), off.round(6)))[0]
     for u, x in zip(units, ways[best], strict=True):
         u[2] = float(x)
@@ -136,7 +143,7 @@ def _flight(level: int, last: bool):
             yield batch(done)
         for s, reserve in kept.items():
             reserve += open_.get(s, [])
-            if last:
+            if last and reserve:
                 landed(reserve)
         yield batch([(s, *u) for s, units in kept.items() for u in units])
 
