@@ -131,8 +131,9 @@ class Units:
         some = self.seen.where("(plain > 0 or value > 0) and audit_id is not null").select("audit_id", "project_id", "page", "field_name", F.log10(F.col("plain").cast("double")).alias("p"), F.log10(F.col("value").cast("double")).alias("v"), F.log10("own").alias("o"))
         med = lambda c: F.percentile_approx(c, 0.5, 200)
         tenths = [k / 10 for k in range(1, 10)]
-        # one row per page and source: a page that is repeated a million times is one observation of its source
-        page = some.where("page is not null").groupBy("project_id", "page", "field_name", "audit_id").agg(F.avg("p").alias("p"), F.avg("v").alias("v"), F.avg(F.col("o") - F.col("p")).alias("o"))
+        # one row per page and source: a page that is repeated a million times is one observation of its source, and all
+        # that follows reads this table instead of the cells
+        page = some.groupBy("project_id", F.coalesce("page", F.lit("")).alias("page"), "field_name", "audit_id").agg(F.avg("p").alias("p"), F.avg("v").alias("v"), F.avg(F.col("o") - F.col("p")).alias("o"))
         page = written(page)
         own = page.where("o is not null").groupBy("field_name", F.col("audit_id").alias("a")).agg(F.count("*").alias("n"), med("o").alias("scale")).select("field_name", "a", F.lit(None).cast("string").alias("b"), F.lit("row").alias("kind"), "n", "scale")
         star = page.groupBy("project_id", "page", "field_name").agg(F.avg("v").alias("anchor")).where("anchor is not null").join(page.where("p is not null"), ["project_id", "page", "field_name"])
@@ -144,8 +145,8 @@ class Units:
         exact = own.unionByName(star).unionByName(chain).unionByName(back).withColumn("offset", F.lit(None).cast("double"))
         # deciles of plain against known values: of the audit itself, of its project, of everything
         deciles = lambda df, keys: df.groupBy(*keys).agg(F.percentile_approx("p", tenths, 200).alias("px"), F.count("p").alias("np"), F.percentile_approx("v", tenths, 200).alias("vx"), F.count("v").alias("nv"))
-        by_audit = written(deciles(some, ["field_name", "project_id", "audit_id"]))
-        by_project, by_all = deciles(some, ["field_name", "project_id"]), deciles(some, ["field_name"])
+        by_audit = written(deciles(page, ["field_name", "project_id", "audit_id"]))
+        by_project, by_all = deciles(page, ["field_name", "project_id"]), deciles(page, ["field_name"])
         cohorts = []
         for kind, ref in (("site", by_audit), ("project", by_project), ("all", by_all)):
             keys = [c for c in ("field_name", "project_id", "audit_id") if c in ref.columns]
