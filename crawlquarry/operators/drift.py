@@ -69,7 +69,7 @@ class Drift:
         """(file_id, series_id, seq, prev_id, name, pos, is_address, n_..., kind): one row per column of a file."""
         cols = self.files.select("file_id", "series_id", "seq", "prev_id", F.posexplode("names").alias("pos", "name"))
         once = cols.groupBy("file_id", "series_id", "seq", "prev_id", "name").agg(F.min("pos").alias("pos"))
-        all_ = once.join(unions(self.rows), ["file_id", "pos"], "left").na.fill(0)
+        all_ = once.join(unions(self.rows), ["file_id", "pos"], "left").na.fill(0, ["n_integer", "n_decimal", "n_text", "n_blank", "n_address"])
         named = F.col("name").isin(*COLUMNS["url"][1])
         # the address column: by its name, else the one with the most addresses in it
         w = Window.partitionBy("file_id").orderBy(F.desc(named), F.desc("n_address"), "pos")
