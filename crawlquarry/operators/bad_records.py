@@ -32,14 +32,16 @@ SEPARATORS = (",", ";", "\t", "|")
 
 # States, byte classes and transitions of the automaton.
 START, PLAIN, QUOTED, CLOSED, BROKEN = range(5)
-OTHER, QUOTE, SEP, END, PAD = range(5)
+OTHER, QUOTE, SEP, END, PAD, NEWLINE = range(6)
 STEP = {
     OTHER: (PLAIN, PLAIN, QUOTED, BROKEN, BROKEN),
     QUOTE: (QUOTED, BROKEN, CLOSED, QUOTED, BROKEN),
     SEP: (START, START, QUOTED, START, BROKEN),
     END: (START, START, START, START, START),
     PAD: (START, PLAIN, QUOTED, CLOSED, BROKEN),
+    NEWLINE: (START, START, QUOTED, START, START),  # ends a record of a file, unless it is quoted
 }
+CLASSES = len(STEP)
 
 
 def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,13 +49,13 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known, todo = {STEP[PAD]: 0}, [STEP[PAD]]
     while todo:
         f = todo.pop()
-        for c in range(5):
+        for c in range(CLASSES):
             g = tuple(STEP[c][s] for s in f)
             if g not in known:
                 known[g] = len(known)
                 todo.append(g)
     fs = list(known)
-    after = np.array([[known[tuple(STEP[c][s] for s in f)] for c in range(5)] for f in fs], dtype=np.uint8)
+    after = np.array([[known[tuple(STEP[c][s] for s in f)] for c in range(CLASSES)] for f in fs], dtype=np.uint8)
     both = np.array([[known[tuple(g[s] for s in f)] for g in fs] for f in fs], dtype=np.uint8)
     return after, both, np.array(fs, dtype=np.uint8)
 
@@ -61,12 +63,11 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 AFTER, COMPOSE, VALUE = _monoid()
 
 
-def states(classes: np.ndarray, chunk: int = 256) -> np.ndarray:
-    """State after each byte, from START, for bytes given by their class."""
+def summed(classes: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of the monoid: of every byte's prefix within its chunk (by offset and chunk), and of all bytes up to the
+    end of each chunk."""
     n = len(classes)
-    if not n:
-        return np.zeros(0, np.uint8)
-    rows = -(-n // chunk)
+    rows = max(1, -(-n // chunk))
     grid = np.full(rows * chunk, PAD, np.uint8)
     grid[:n] = classes
     grid = np.ascontiguousarray(grid.reshape(rows, chunk).T)  # one row per offset within the chunks
@@ -74,16 +75,22 @@ def states(classes: np.ndarray, chunk: int = 256) -> np.ndarray:
     f = np.zeros(rows, np.intp)
     flat = AFTER.ravel()
     for at in range(chunk):  # every chunk advances by one byte
-        f = flat.take(f * 5 + grid[at]).astype(np.intp)
+        f = flat.take(f * CLASSES + grid[at]).astype(np.intp)
         funcs[at] = f
     prefix, step = funcs[-1].copy(), 1
     while step < rows:  # inclusive scan of the chunks' functions
         joined = COMPOSE[prefix[:-step], prefix[step:]]
         prefix[step:] = joined
         step *= 2
-    entry = np.zeros(rows, np.intp)
-    entry[1:] = VALUE[prefix[:-1], START]
-    return VALUE.ravel().take(funcs.astype(np.intp) * 5 + entry).T.reshape(-1)[:n]
+    return funcs, prefix
+
+
+def states(classes: np.ndarray, chunk: int = 256, start: int = START) -> np.ndarray:
+    """State after each byte, from ``start``, for bytes given by their class."""
+    funcs, prefix = summed(classes, chunk)
+    entry = np.full(len(prefix), start, np.intp)
+    entry[1:] = VALUE[prefix[:-1], start]
+    return VALUE.ravel().take(funcs.astype(np.intp) * 5 + entry).T.reshape(-1)[: len(classes)]
 
 
 def tokenize(lines: list[bytes], seps: list[str]) -> dict:
@@ -152,11 +159,12 @@ def _headers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def headers(records: DataFrame) -> DataFrame:
-    """(file_id, header_line, sep, names): the first record of each file that names an address column, and the
-    separator by which it has the most fields. Only records that may be headers leave the JVM."""
+def headers(records: DataFrame, within: int | None = None) -> DataFrame:
+    """(file_id, header_line, sep, names): the first record of each file (of its first ``within`` lines, if given) that
+    names an address column, and the separator by which it has the most fields. Only records that may be headers leave
+    the JVM."""
     maybe = records.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), "raw_line").where(
-        F.col("raw_line").rlike(r'(?i)(?:^|[,;\t|"\x{FEFF}])\s*(?:address|url)\s*(?:$|[,;\t|"])') & F.col("line_no").isNotNull()
+        F.col("raw_line").rlike(r'(?i)(?:^|[,;\t|"\x{FEFF}])\s*(?:address|url)\s*(?:$|[,;\t|"])') & (F.col("line_no").isNotNull() if within is None else F.col("line_no") <= within)
     )
     found = map_arrow(maybe, _headers_of, "file_id long, line_no int, sep string, names array<string>")
     return found.groupBy("file_id").agg(F.min_by(F.struct("line_no", "sep", "names"), F.struct("line_no", "sep", "names")).alias("h")).select("file_id", F.col("h.line_no").alias("header_line"), "h.sep", "h.names")
