@@ -31,8 +31,8 @@ from crawlquarry.plans.sized import written
 LEAST = 150
 #: Bounds of the learned model: words kept (the most frequent sentence words), and least number of blocks per word.
 MOST_WORDS, LEAST_BLOCKS = 20_000, 8
-#: A word is a sentence word if at most this share of the blocks it stands in are lists.
-LIST_SHARE = 0.04
+#: A word is a sentence word if it stands in lists at most this much as often as in sentences (rates per block).
+LIST_RATE = 0.1
 #: Share of sentence words that a block needs if it is punctuated like a sentence, if it isn't, and if it is extremely
 #: redundant.
 NEED_ENDED, NEED, NEED_REDUNDANT = 0.08, 0.16, 0.30
@@ -42,9 +42,10 @@ EXTREME = -3.0
 HIDDEN = re.compile("[​-‏‪-‮⁠﻿­]")
 BLOCK = re.compile(r"[^\n.!?…。！？؟;]*(?:[.!?…。！？؟](?=\S)[^\n.!?…。！？؟;]*|;[^\n.!?…。！？؟;]*)*[.!?…。！？؟]*")
 PIECE = re.compile(r"\s+[|>·•]\s+|\s+/\s+")
+ITEM = re.compile(r"([,;:|·#=•>]+|\s/\s|(?i:https?://)\S+)")
 ENDS = re.compile(r"[.!?…。！？؟][\"'»”’)\]]*\s*$")
 WORD = re.compile(r"[^\s,;|.!?…:()\[\]{}\"<>/=#·•*>~+–—-]+")
-SEPARATOR = re.compile(r"[,;|#=·•/>~+]|https?:|\b\d+[.)]\s")
+SEPARATOR = re.compile(r"[,;:|#=·•/>~+]|https?:|\b\d+[.)]\s")
 LINK = re.compile(r"(?i)(?:https?://|www\.)\S+|<a\s[^>]*>|\S+\.(?:example|test|com|org|net|de|it|fr|es)/\S*")
 LOG = re.compile(r"^\s*\[?(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\d\d:\d\d:\d\d|\d{1,3}(?:\.\d{1,3}){3} - )")
 CODE = re.compile(r"^\s*(?:[{}\[\]]+[;,]?|(?:const|let|var|def|class|import|from|return|function|if|for|while|else|try|public|private|select|insert|update)\b.*[({:;=]\s*.*|.*[{};]\s*|//.*|#include.*|@\w+.*|\$ .*)$")
@@ -105,6 +106,10 @@ def windows(items: list[tuple[str, str]]) -> list[tuple[int, int]]:
     return out
 
 
+def _sentence(block: str, words: list[str], need: float, sentence_words: frozenset[str]) -> bool:
+    return bool(words) and sum(w in sentence_words for w in words) >= need * len(words)
+
+
 def spam_share(text: str, lang: str, sentence_words: frozenset[str], usual: dict[tuple[str, int], tuple[float, float]]) -> float:
     """Share of the characters in blocks without sentences."""
     items = blocks(text)
@@ -123,8 +128,10 @@ def spam_share(text: str, lang: str, sentence_words: frozenset[str], usual: dict
                 bad += 0 if ENDS.search(b) else n
                 continue
             ws = words_of(b)
-            share = sum(w in sentence_words for w in ws) / max(1, len(ws))
-            if share < (NEED_REDUNDANT if redundant else NEED if is_list(b, ws) else NEED_ENDED):
+            if 4 * len(SEPARATOR.findall(LINK.sub(" ", b))) > len(ws) or len(LINK.findall(b)) > 2:
+                # a list: item by item, since a sentence may stand in its midst
+                bad += sum(len(x) for x in ITEM.split(b) if not _sentence(x, words_of(x), NEED_REDUNDANT if redundant else NEED, sentence_words))
+            elif not _sentence(b, ws, NEED_REDUNDANT if redundant else NEED_ENDED if ENDS.search(b) else NEED, sentence_words):
                 bad += n
     return bad / total if total else 0.0
 
@@ -141,6 +148,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sentence: Counter = Counter()
         lists: Counter = Counter()
         ratios: Counter = Counter()
+        n_list = n_sentence = 0
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             items = blocks(text)
             for lo, hi in windows(items):
@@ -149,9 +157,11 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ratios[key, size, min(200, int(r * 100))] += 1
             for block, kind in items:
                 if kind == "text" and len(ws := words_of(block)) >= 3:
-                    (lists if is_list(block, ws) else sentence).update({w[:60] for w in ws})
+                    listed = is_list(block, ws)
+                    (lists if listed else sentence).update({w[:60] for w in ws if w})
+                    n_list, n_sentence = n_list + listed, n_sentence + (not listed)
         words = list(sentence)  # words that only lists hold can't become sentence words
-        rows = [(w, 0, 0, sentence[w], lists[w]) for w in words] + [(w, 0, 0, 0, n) for w, n in lists.items() if w not in sentence] + [(k, s, q, n, 0) for (k, s, q), n in ratios.items()]
+        rows = [("", 0, 0, n_sentence, n_list)] + [(w, 0, 0, sentence[w], lists[w]) for w in words] + [(w, 0, 0, 0, n) for w, n in lists.items() if w not in sentence] + [(k, s, q, n, 0) for (k, s, q), n in ratios.items()]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["key", "size", "bucket", "n", "m"])
 
@@ -170,7 +180,9 @@ def model(documents: DataFrame) -> tuple[frozenset[str], dict[tuple[str, int], t
     or more. What is collected is bounded: at most ``MOST_WORDS`` words, and 677 languages times the sizes of windows."""
     texts = documents.where(F.length("text") >= LEAST).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = written(map_arrow(texts, _statistics, "key string, size long, bucket long, n long, m long").groupBy("key", "size", "bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
-    words = counts.where((F.col("size") == 0) & (F.col("n") >= LEAST_BLOCKS) & (F.col("m") <= LIST_SHARE * (F.col("n") + F.col("m")))).orderBy(F.desc("n"), "key").limit(MOST_WORDS).select("key").collect()
+    total = counts.where("size = 0 and key = ''").first()
+    rate = LIST_RATE * (total["m"] or 1) / (total["n"] or 1) if total else 0.0
+    words = counts.where((F.col("size") == 0) & (F.col("key") != "") & (F.col("n") >= LEAST_BLOCKS) & (F.col("m") <= rate * F.col("n"))).orderBy(F.desc("n"), "key").limit(MOST_WORDS).select("key").collect()
     ratios = counts.where("size > 0")
     mid = ratios.groupBy("key", "size").agg(F.percentile("bucket", 0.5, F.col("n")).alias("mid"))
     far = ratios.join(mid, ["key", "size"]).groupBy("key", "size", "mid").agg(F.percentile(F.abs(F.col("bucket") - F.col("mid")), 0.5, F.col("n")).alias("mad"))
