@@ -15,6 +15,7 @@ Defined results
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,38 +54,44 @@ def safe_points(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data[:-1] == 32) & plain)
 
 
-def cuts(raw: bytes) -> list[int]:
-    """Where the chunks of a text end (the last is its length). A cut is the safe point nearest behind a place that the
-    hash chose, or, where there is none, the beginning of a character."""
-    n = len(raw)
-    if n <= LEAST:
-        return [n]
-    data = np.frombuffer(raw, np.uint8)
-    picks = np.flatnonzero((rolling(data) >> np.uint32(32 - MASK_BITS)) == 0) + 1
-    safe = safe_points(data)
-    out, at = [], 0
-    while n - at > LEAST:
-        k = np.searchsorted(picks, at + LEAST)
-        want = int(picks[k]) if k < len(picks) else n
-        s = np.searchsorted(safe, want)
-        end = int(safe[s]) if s < len(safe) else n
-        if end - at > MOST:
-            end = min(want, at + MOST)
-            while end < n and (raw[end] & 0xC0) == 0x80:
-                end += 1
-        if end >= n:
-            break
-        out.append(end)
-        at = end
-    return [*out, n]
+def cuts(raws: list[bytes]) -> list[list[int]]:
+    """Where the chunks of each text end (the last is its length). A cut is the safe point nearest behind a place that the
+    hash chose, or, where there is none, the beginning of a character. A place stands at least LEAST bytes behind the
+    beginning of its chunk, so that the hash sees this text alone although all texts are hashed at once."""
+    buffer = b"".join(raws)
+    if len(buffer) < 2:
+        return [[len(r)] for r in raws]
+    data = np.frombuffer(buffer, np.uint8)
+    picks = (np.flatnonzero((rolling(data) >> np.uint32(32 - MASK_BITS)) == 0) + 1).tolist()
+    safe = safe_points(data).tolist()
+    out, lo = [], 0
+    for raw in raws:
+        hi, at, ends = lo + len(raw), lo, []
+        while hi - at > LEAST:
+            k = bisect_left(picks, at + LEAST)
+            want = picks[k] if k < len(picks) and picks[k] < hi else hi
+            s = bisect_left(safe, want)
+            end = safe[s] if s < len(safe) and safe[s] < hi - 1 else hi
+            if end - at > MOST:
+                end = min(want, at + MOST)
+                while end < hi and (buffer[end] & 0xC0) == 0x80:
+                    end += 1
+            if end >= hi:
+                break
+            ends.append(end - lo)
+            at = end
+        out.append([*ends, len(raw)])
+        lo = hi
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, rows, pos, keys, texts = [], [], [], [], []
-        for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            raw, at = (text or "").encode(), 0
-            for k, end in enumerate(cuts(raw)):
+        raws = [t.encode() for t in b.column("text").to_pylist()]
+        for doc, row, raw, ends in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), raws, cuts(raws), strict=True):
+            at = 0
+            for k, end in enumerate(ends):
                 chunk = raw[at:end]
                 ids.append(doc)
                 rows.append(row)
