@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +45,8 @@ def high_priority(found: DataFrame) -> DataFrame:
 
 def scalars(**counts: DataFrame) -> DataFrame:
     """One row of several independent counts, each (by name) of a frame of one row and one column."""
-    out = None
-    for name, df in counts.items():
-        one = df.toDF(name)
-        out = one if out is None else out.crossJoin(one)  # of one row each
-    return out
+    rows = [df.toDF("value").select(F.lit(name).alias("name"), "value") for name, df in counts.items()]
+    return reduce(DataFrame.unionByName, rows).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in counts])
 
 
 def board(tasks: DataFrame, status: str = "status", priority: str = "priority") -> list[Column]:
