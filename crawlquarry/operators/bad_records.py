@@ -227,14 +227,28 @@ def faulty(records: DataFrame) -> DataFrame:
     return bad.groupBy("file_id", "line_no").agg(F.min(F.struct("reason", "error_offset")).alias("f")).select("file_id", "line_no", "f.reason", "f.error_offset")
 
 
-def typed(records: DataFrame) -> DataFrame:
+def _cell_position(names: Column, key: str, override: dict[str, str]) -> Column:
+    """Place of the cell that fills a canonical column: the last header that ``override`` gives to it; else that of its
+    first own header, the last one if that header is repeated."""
+    size = F.size(names)
+    forced = F.array(*[F.lit(h) for h, k in override.items() if k == key]).cast("array<string>")
+    own = F.array(*[F.lit(h) for h in COLUMNS[key][1] if override.get(h, key) == key]).cast("array<string>")
+    last = lambda wanted: size - F.array_position(F.transform(F.reverse(names), lambda x: F.array_contains(wanted, x)), True)
+    first_own = F.get(F.filter(names, lambda x: F.array_contains(own, x)), F.lit(0))
+    at = F.when(F.exists(names, lambda x: F.array_contains(forced, x)), last(forced)) if any(k == key for k in override.values()) else F.lit(None)
+    return F.coalesce(at, F.when(first_own.isNotNull(), size - F.array_position(F.reverse(names), first_own)), F.lit(-1)).cast("int")
+
+
+def typed(records: DataFrame, override: dict[str, str] | None = None) -> DataFrame:
     """The loaded rows: file_id, line_no and the canonical columns in their types; cells under other headers in
     ``extra``. Values are coerced as in :mod:`crawlquarry.functions.exprs`; the first header of a canonical column
-    wins, a second one goes to ``extra``."""
+    wins, a second, different one goes to ``extra``; of the same header repeated the last cell counts. ``override`` maps
+    headers (in any spelling) to canonical columns before the known names do."""
+    override = {" ".join(h.split()).lower(): k for h, k in (override or {}).items()}
     joined, head = _with_headers(records)
     once = joined.groupBy("file_id", "line_no").agg(F.max(F.struct("loaded_at", "raw_line", "sep", "n", "i_url", "i_status", "i_words")).alias("r")).select("file_id", "line_no", "r.*")
     good = map_arrow(once.drop("loaded_at"), _reader(True), "file_id long, line_no int, reason string, error_offset long, fields array<string>").where("reason is null")
-    names = head.select(F.col("file_id").alias("h_file"), F.col("names"), F.struct(*[_position(F.col("names"), k).alias(k) for k in COLUMNS]).alias("at"))
+    names = head.select(F.col("file_id").alias("h_file"), F.col("names"), F.struct(*[_cell_position(F.col("names"), k, override).alias(k) for k in COLUMNS]).alias("at"))
     rows = good.join(small(names), F.col("file_id").eqNullSafe(F.col("h_file")))
     used = F.array(*[F.col(f"at.{k}") for k in COLUMNS])
     cast = {"string": X.blank_to_null, "int": X.to_int, "bool": X.to_bool, "indexability": X.to_indexability}

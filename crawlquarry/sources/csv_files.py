@@ -199,15 +199,16 @@ def records(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTE
 class Ingest:
     """Files of one import: typed rows merged by page, faulty records, warnings, counters and status."""
 
-    def __init__(self, spark: SparkSession, paths: list[str], header_within: int | None = 5):
+    def __init__(self, spark: SparkSession, paths: list[str], header_within: int | None = 5, override: dict[str, str] | None = None):
         lines = records(spark, paths)
         self.raw = lines.where("warning is null").withColumn("loaded_at", F.lit(None).cast("timestamp"))
         self.warnings = lines.where("warning is not null").select("file_name", "warning")
         self.header_within = header_within
+        self.override = override or {}
 
     def rows(self) -> DataFrame:
         """Typed rows in the order of files and lines (``ord``)."""
-        return B.typed(self.raw).withColumn("ord", F.shiftleft("file_id", 24) + F.col("line_no"))
+        return B.typed(self.raw, self.override).withColumn("ord", F.shiftleft("file_id", 24) + F.col("line_no"))
 
     def pages(self) -> DataFrame:
         """One row per page: the first value of each column that isn't blank."""
@@ -219,7 +220,7 @@ class Ingest:
     def unknown_columns(self) -> DataFrame:
         """(name): headers that name no canonical column."""
         names = B.headers(self.raw, self.header_within).select(F.explode("names").alias("name"))
-        return names.where(~F.col("name").isin(*HEADERS) & X.has(F.col("name"))).distinct()
+        return names.where(~F.col("name").isin(*HEADERS, *[h.lower() for h in self.override]) & X.has(F.col("name"))).distinct()
 
     def summary(self) -> DataFrame:
         return merge.import_status(merge.counters(self.rows()), self.warnings.count())

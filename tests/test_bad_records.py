@@ -116,3 +116,11 @@ def test_empty(spark):
     df = frame(spark, [])
     assert B.faulty(df).count() == 0
     assert B.typed(df).count() == 0
+
+
+def test_headers_override_and_repeats(spark):
+    rows = [(1, 1, "Address,Title,Title,Titolo,Words"), (1, 2, "https://a.test/,left,right,forced,7")]
+    plain = B.typed(frame(spark, rows)).first()
+    assert (plain.title, plain.word_count, plain.extra) == ("right", 7, {"titolo": "forced", "title": "left"})
+    forced = B.typed(frame(spark, rows), {" TITOLO ": "title", "words": "inlinks"}).first()
+    assert (forced.title, forced.word_count, forced.inlinks) == ("forced", None, 7)
