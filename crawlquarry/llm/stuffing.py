@@ -46,9 +46,9 @@ ITEM = re.compile(r"([,;:|·#=•>]+|\s/\s|(?i:https?://)\S+)")
 ENDS = re.compile(r"[.!?…。！？؟][\"'»”’)\]]*\s*$")
 WORD = re.compile(r"[^\s,;|.!?…:()\[\]{}\"<>/=#·•*>~+–—-]+")
 SEPARATOR = re.compile(r"[,;:|#=·•/>~+]|https?:|\b\d+[.)]\s")
-LINK = re.compile(r"(?i)(?:https?://|www\.)\S+|<a\s[^>]*>|\S+\.(?:example|test|com|org|net|de|it|fr|es)/\S*")
+LINK = re.compile(r"(?i)(?:https?://|www\.)\S+|<a\s[^>]{0,2000}>|(?<![\w.-])[\w.-]{1,80}\.(?:example|test|com|org|net|de|it|fr|es)/\S*")
 LOG = re.compile(r"^\s*\[?(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\d\d:\d\d:\d\d|\d{1,3}(?:\.\d{1,3}){3} - )")
-CODE = re.compile(r"^\s*(?:[{}\[\]]+[;,]?|(?:const|let|var|def|class|import|from|return|function|if|for|while|else|try|public|private|select|insert|update)\b.*[({:;=]\s*.*|.*[{};]\s*|//.*|#include.*|@\w+.*|\$ .*)$")
+CODE = re.compile(r"^\s*(?:[{}\[\]]+[;,]?|(?:const|let|var|def|class|import|from|return|function|if|for|while|else|try|public|private|select|insert|update)\b.*[({=].*[){};:]|.*(?:[{}]|\)\s*;)|//.*|#include.*|\$ .*)\s*$")
 SCRIPT = re.compile(r"(?is)<(script|style|pre|code)\b.*?(?:</\1>|$)|```.*?(?:```|$)")
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 OTHER_SCRIPT = re.compile(r"[Ͱ-ϿЀ-ӿ֐-ۿऀ-ॿ가-힯]")
@@ -80,13 +80,19 @@ def _lines(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def words_of(block: str) -> list[str]:
-    return [w.lower().strip("'’") for w in WORD.findall(LINK.sub(" ", block)) if not w.isdigit()]
+def unlinked(block: str) -> str:
+    """Without links, in lower case."""
+    low = block.lower()
+    return LINK.sub(" ", low) if "/" in low or "www." in low or "<a" in low else low
 
 
-def is_list(block: str, words: list[str]) -> bool:
-    """Full of separators, or without an end: what a list of keywords, links or tags looks like."""
-    return 4 * len(SEPARATOR.findall(LINK.sub(" ", block))) > len(words) or not ENDS.search(block)
+def words_of(plain: str) -> list[str]:
+    words = [w for w in WORD.findall(plain) if not w.isdigit()]
+    return [w.strip("'’") for w in words] if "'" in plain or "’" in plain else words
+
+
+def full_of_separators(plain: str, words: list[str]) -> bool:
+    return 4 * len(SEPARATOR.findall(plain)) > len(words)
 
 
 def ratio(block: str) -> tuple[int, float]:
@@ -106,7 +112,7 @@ def windows(items: list[tuple[str, str]]) -> list[tuple[int, int]]:
     return out
 
 
-def _sentence(block: str, words: list[str], need: float, sentence_words: frozenset[str]) -> bool:
+def _sentence(words: list[str], need: float, sentence_words: frozenset[str]) -> bool:
     return bool(words) and sum(w in sentence_words for w in words) >= need * len(words)
 
 
@@ -127,11 +133,12 @@ def spam_share(text: str, lang: str, sentence_words: frozenset[str], usual: dict
             if UNSPACED.search(b) or OTHER_SCRIPT.search(b):
                 bad += 0 if ENDS.search(b) else n
                 continue
-            ws = words_of(b)
-            if 4 * len(SEPARATOR.findall(LINK.sub(" ", b))) > len(ws) or len(LINK.findall(b)) > 2:
+            plain = unlinked(b)
+            ws = words_of(plain)
+            if full_of_separators(plain, ws) or "/" in b and len(LINK.findall(b)) > 2:
                 # a list: item by item, since a sentence may stand in its midst
-                bad += sum(len(x) for x in ITEM.split(b) if not _sentence(x, words_of(x), NEED_REDUNDANT if redundant else NEED, sentence_words))
-            elif not _sentence(b, ws, NEED_REDUNDANT if redundant else NEED_ENDED if ENDS.search(b) else NEED, sentence_words):
+                bad += sum(len(x) for x in ITEM.split(b) if not _sentence(words_of(unlinked(x)), NEED_REDUNDANT if redundant else NEED, sentence_words))
+            elif not _sentence(ws, NEED_REDUNDANT if redundant else NEED_ENDED if ENDS.search(b) else NEED, sentence_words):
                 bad += n
     return bad / total if total else 0.0
 
@@ -156,8 +163,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for key in {language(lang), ""}:
                     ratios[key, size, min(200, int(r * 100))] += 1
             for block, kind in items:
-                if kind == "text" and len(ws := words_of(block)) >= 3:
-                    listed = is_list(block, ws)
+                if kind == "text" and len(ws := words_of(plain := unlinked(block))) >= 3:
+                    # full of separators, or without an end: what a list of keywords, links or tags looks like
+                    listed = full_of_separators(plain, ws) or not ENDS.search(block)
                     (lists if listed else sentence).update({w[:60] for w in ws if w})
                     n_list, n_sentence = n_list + listed, n_sentence + (not listed)
         words = list(sentence)  # words that only lists hold can't become sentence words
