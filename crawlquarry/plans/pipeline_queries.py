@@ -120,3 +120,26 @@ c as (select n.audit_id, unnest([case when n.status_code is distinct from o.stat
       from p n join p o on n.schedule_id = o.schedule_id and n.url = o.url and n.seq = o.seq + 1)
 select audit_id, column_name, count(*) as n_changed from c where column_name is not null group by audit_id, column_name""",
 }
+
+SQL["p2_found"] = r"""
+with f as (select file_id, series_id, row_number() over (partition by series_id order by exported_at, file_id) as seq, list_transform(coalesce(headers, []), lambda h: lower(regexp_replace(trim(replace(coalesce(h, ''), chr(65279), ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '\s+', ' ', 'g'))) as names from export_files),
+p as (select n.file_id, o.file_id as prev_id from f n join f o on n.series_id = o.series_id and n.seq = o.seq + 1),
+h as (select file_id, unnest(names) as name, generate_subscripts(names, 1) as pos from f),
+x as (select file_id, row_no, unnest(cells) as cell, generate_subscripts(cells, 1) as pos from export_rows),
+t as (select file_id, row_no, pos, trim(coalesce(cell, ''), chr(32) || chr(9) || chr(10) || chr(13)) as cell from x),
+k as (select file_id, pos, case when bool_or(cell <> '' and not regexp_full_match(cell, '[+-]?[0-9]+(\.[0-9]+)?')) then 'text' when bool_or(regexp_full_match(cell, '[+-]?[0-9]+\.[0-9]+')) then 'decimal' when bool_or(cell <> '') then 'integer' end as kind from t group by file_id, pos),
+gone as (select p.file_id, p.prev_id, h.name, h.pos from p join h on h.file_id = p.prev_id where not exists (select 1 from h g where g.file_id = p.file_id and g.name = h.name)),
+fresh as (select p.file_id, p.prev_id, h.name, h.pos from p join h on h.file_id = p.file_id where not exists (select 1 from h g where g.file_id = p.prev_id and g.name = h.name)),
+a as (select h.file_id, t.row_no, t.cell as address from h join t using (file_id, pos) where h.name in ('address', 'url') and t.cell <> ''),
+c as (select *, lower(regexp_replace(cell, '\s+', ' ', 'g')) as low from t where cell <> ''),
+v as (select file_id, row_no, pos, coalesce(cast(try_cast(replace(nullif(regexp_extract(low, '^(?:[a-z]+/)?([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)(?:[?+%]|\s+[a-z][a-z ]*)?$', 1), ''), ',', '') as double) as varchar), low) as v from c),
+old as (select distinct g.file_id, g.name, a.address, v.v from gone g join v on v.file_id = g.prev_id and v.pos = g.pos join a on a.file_id = v.file_id and a.row_no = v.row_no where a.address in (select b.address from a b where b.file_id = g.file_id)),
+new as (select distinct g.file_id, g.name, a.address, v.v from fresh g join v on v.file_id = g.file_id and v.pos = g.pos join a on a.file_id = v.file_id and a.row_no = v.row_no where a.address in (select b.address from a b where b.file_id = g.prev_id)),
+hits as (select o.file_id, o.name as old_name, n.name as new_name, count(distinct o.address) as hits from old o join new n on o.file_id = n.file_id and o.address = n.address and o.v = n.v group by 1, 2, 3),
+r as (select hits.file_id, old_name, new_name, hits / greatest((select count(distinct address) from old where old.file_id = hits.file_id and old.name = old_name), (select count(distinct address) from new where new.file_id = hits.file_id and new.name = new_name))::double as share from hits),
+ren as (select file_id, old_name, new_name from (select *, row_number() over (partition by file_id, old_name order by share desc, new_name) as i, row_number() over (partition by file_id, new_name order by share desc, old_name) as j from r where share > 0.5) where i = 1 and j = 1),
+kept as (select p.file_id, p.prev_id, h.name, h.pos, coalesce(ren.old_name, h.name) as before from p join h on h.file_id = p.file_id left join ren on ren.file_id = p.file_id and ren.new_name = h.name)
+select file_id, 'added' as change_kind, name as column_name from fresh where not exists (select 1 from ren where ren.file_id = fresh.file_id and new_name = name)
+union all select file_id, 'removed', name from gone where not exists (select 1 from ren where ren.file_id = gone.file_id and old_name = name)
+union all select file_id, 'renamed', new_name from ren
+union all select kept.file_id, 'type_changed', kept.name from kept join h o on o.file_id = kept.prev_id and o.name = kept.before join k kn on kn.file_id = kept.file_id and kn.pos = kept.pos join k ko on ko.file_id = o.file_id and ko.pos = o.pos where kn.kind <> ko.kind"""
