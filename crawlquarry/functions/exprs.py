@@ -20,8 +20,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def has(c: Column) -> Column:
-    """Neither null nor only white space; never null itself."""
-    return F.coalesce(trimmed(c) != "", F.lit(False))
+    """Neither null nor only white space; never null itself. Looks no further than the first other character."""
+    return F.coalesce(c.rlike(SPACE.replace("[", "[^", 1)), F.lit(False))
 
 
 def to_int(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
-from crawlquarry.operators.rules import CATALOGUE, RECORD, Rule, metadata, usable
+from crawlquarry.operators.rules import CATALOGUE, RECORD, Rule, flagged, metadata, usable
 
 LINKS_PER_ISSUE = 2000
 #: Weights of severities, and the formula's constants.
@@ -54,9 +54,11 @@ def matches(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(audit_id, rule_key, url, evidence, group_ord, ord): every hit. ``(group_ord, ord)`` is the order of hits of a
     rule: that of the pages, for groups by their first member."""
     rules = usable(pages.sparkSession, rules or CATALOGUE)
+    pages = flagged(pages)
     parts = []
     if rows := [r for r in rules if r.kind == "row"]:
-        hit = pages.select("audit_id", "url", "ord", F.inline(F.filter(F.array(*map(_hit, rows)), lambda h: h.isNotNull())))
+        # the array in a projection of its own, which compiles; only hits are exploded
+        hit = pages.select("audit_id", "url", "ord", F.array(*map(_hit, rows)).alias("hits")).select("audit_id", "url", "ord", F.inline(F.array_compact("hits")))
         parts.append(hit.select("audit_id", "rule_key", "url", "evidence", F.col("ord").alias("group_ord"), "ord"))
     for r in rules:
         if r.kind == "redirect":

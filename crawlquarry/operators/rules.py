@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
@@ -37,16 +37,32 @@ def any_issue(pattern: str) -> Column:
     return F.coalesce(F.exists("raw_issues", lambda i: F.coalesce(i.rlike(pattern), F.lit(False))), F.lit(False))
 
 
+#: Facts that several rules use, by column: worked out once a page.
+FLAGS: dict[str, Callable[[], Column]] = {
+    "_html": lambda: C("content_type").isNull() | (C("content_type") == "") | F.lower("content_type").contains("html"),
+    "_indexable": lambda: F.coalesce(C("indexability") == "INDEXABLE", F.lit(False)),
+    **{f"_has_{c}": lambda c=c: X.has(C(c)) for c in ("title", "meta_description", "h1", "canonical", "redirect_url")},
+}
+
+
+def flagged(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({name: f() for name, f in FLAGS.items()})
+
+
 def is_html() -> Column:
-    return C("content_type").isNull() | (C("content_type") == "") | matches(C("content_type"), "(?i)html")
+    return C("_html")
 
 
 def is_indexable() -> Column:
-    return F.coalesce(C("indexability") == "INDEXABLE", F.lit(False))
+    return C("_indexable")
 
 
 def page() -> Column:
-    return is_html() & is_indexable()
+    return C("_html") & C("_indexable")
+
+
+def has(name: str) -> Column:
+    return C(f"_has_{name}")
 
 
 @dataclass(frozen=True)
@@ -95,25 +111,25 @@ CATALOGUE: list[Rule] = [
     Rule("REDIRECT_3XX", "REDIRECT", "MEDIUM", "P2", "LOW", "Redirects", "Link to the final address.",
          lambda: status(300, 399), lambda: F.coalesce("redirect_url", F.lit("?"))),
     Rule("REDIRECT_CHAIN", "REDIRECT", "HIGH", "P1", "MEDIUM", "Redirects to redirects", "Redirect straight to the final address.",
-         lambda: X.has(C("redirect_url")), text("redirect_url"), "redirect"),
+         lambda: has("redirect_url"), text("redirect_url"), "redirect"),
     Rule("CANONICAL_MISSING", "CANONICAL", "MEDIUM", "P2", "LOW", "Pages without a canonical address", "Name one on every page.",
-         lambda: page() & ~X.has(C("canonical"))),
+         lambda: page() & ~has("canonical")),
     Rule("CANONICAL_NON_SELF", "CANONICAL", "LOW", "P3", "LOW", "Pages that name another page as canonical", "Check that this is meant.",
-         lambda: is_html() & X.has(C("canonical")) & (C("canonical") != C("url")), text("canonical")),
+         lambda: is_html() & has("canonical") & (C("canonical") != C("url")), text("canonical")),
     Rule("META_TITLE_MISSING", "METADATA", "HIGH", "P1", "LOW", "Pages without a title", "Write a title for each.",
-         lambda: page() & ~X.has(C("title"))),
+         lambda: page() & ~has("title")),
     Rule("META_TITLE_LENGTH", "METADATA", "LOW", "P3", "LOW", "Titles too short or too long", "Aim at 30 to 60 characters.",
-         lambda: is_html() & X.has(C("title")) & outside("title_length", TITLE_LENGTH), text("title_length")),
+         lambda: is_html() & has("title") & outside("title_length", TITLE_LENGTH), text("title_length")),
     Rule("META_TITLE_DUPLICATE", "METADATA", "MEDIUM", "P2", "MEDIUM", "Titles that several pages share", "Tell the pages apart.",
-         lambda: page() & X.has(C("title")), kind="group", group="title"),
+         lambda: page() & has("title"), kind="group", group="title"),
     Rule("META_DESC_MISSING", "METADATA", "MEDIUM", "P2", "LOW", "Pages without a description", "Write a description for each.",
-         lambda: page() & ~X.has(C("meta_description"))),
+         lambda: page() & ~has("meta_description")),
     Rule("META_DESC_LENGTH", "METADATA", "LOW", "P3", "LOW", "Descriptions too short or too long", "Aim at 70 to 160 characters.",
-         lambda: X.has(C("meta_description")) & outside("meta_description_length", DESCRIPTION_LENGTH), text("meta_description_length")),
+         lambda: has("meta_description") & outside("meta_description_length", DESCRIPTION_LENGTH), text("meta_description_length")),
     Rule("H1_MISSING", "HEADING", "MEDIUM", "P2", "LOW", "Pages without a main heading", "Give each one.",
-         lambda: page() & ~X.has(C("h1"))),
+         lambda: page() & ~has("h1")),
     Rule("H1_DUPLICATE", "HEADING", "LOW", "P3", "MEDIUM", "Main headings that several pages share", "Tell the pages apart.",
-         lambda: is_indexable() & X.has(C("h1")), kind="group", group="h1"),
+         lambda: is_indexable() & has("h1"), kind="group", group="h1"),
     Rule("THIN_CONTENT", "CONTENT", "MEDIUM", "P2", "HIGH", "Pages with few words", "Extend or merge them.",
          lambda: page() & F.coalesce(C("word_count") < THIN_WORDS, F.lit(False)), text("word_count")),
     Rule("IMAGES_MISSING_ALT", "IMAGES", "LOW", "P3", "MEDIUM", "Images without alternative text", "Describe them.",
@@ -140,7 +156,13 @@ RECORD = (
 
 def usable(spark: SparkSession, rules: list[Rule]) -> list[Rule]:
     """The rules whose expressions can be analysed; the others are skipped."""
-    empty, out = spark.createDataFrame([], RECORD), []
+    empty = flagged(spark.createDataFrame([], RECORD))
+    try:
+        empty.select(*[c.alias(f"c{n}") for n, r in enumerate(rules) for c in (r.when(), r.evidence())])
+        return rules
+    except Exception:  # at least one fails: look at each
+        pass
+    out = []
     for r in rules:
         try:
             empty.select(r.when(), r.evidence())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
 from crawlquarry.operators import compare, engine, explore, merge, report, rollups
-from crawlquarry.operators.rules import CATALOGUE
+from crawlquarry.operators.rules import CATALOGUE, flagged
 from crawlquarry.plans.fixture import FIXTURE_SQL, crawl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,7 +190,7 @@ def issue_samples(spark, d):
 
 @query(f"with {CRAWL_CTE} select audit_id, lower({trim('title')}) as same, count(*) as n from pages where {HTML} and {INDEXABLE} and {has('title')} group by 1, 2 having count(*) > 1")
 def title_duplicate_groups(spark, d):
-    hits = imported(spark, d).where([r for r in CATALOGUE if r.key == "META_TITLE_DUPLICATE"][0].when())
+    hits = flagged(imported(spark, d)).where([r for r in CATALOGUE if r.key == "META_TITLE_DUPLICATE"][0].when())
     return hits.groupBy("audit_id", F.lower(X.trimmed(F.col("title"))).alias("same")).agg(F.count("*").alias("n")).where("n > 1")
 
 
