@@ -384,13 +384,30 @@ def high_priority_counts(spark, d):
     return rollups.high_priority(_issues(imported(spark, d)))
 
 
+def _tasks(spark, d) -> DataFrame:
+    s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.when(s == "O", "TODO").when(s == "P", "IN_PROGRESS").otherwise("DONE").alias("status"), F.when(p < "2", "P0").when(p < "3", "P1").when(p < "4", "P2").otherwise("P3").alias("priority"))
+
+
 @query("select o_orderkey as task_id, case o_orderstatus when 'O' then 'TODO' when 'P' then 'IN_PROGRESS' else 'DONE' end as status, case when o_orderpriority < '2' then 'P0' when o_orderpriority < '3' then 'P1' when o_orderpriority < '4' then 'P2' else 'P3' end as priority from orders order by case o_orderstatus when 'O' then 0 when 'P' then 1 else 3 end, case when o_orderpriority < '2' then 0 when o_orderpriority < '3' then 1 when o_orderpriority < '4' then 2 else 3 end, o_orderkey limit 500")
 def task_board(spark, d):
-    s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
-    tasks = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.when(s == "O", "TODO").when(s == "P", "IN_PROGRESS").otherwise("DONE").alias("status"), F.when(p < "2", "P0").when(p < "3", "P1").when(p < "4", "P2").otherwise("P3").alias("priority"))
+    tasks = _tasks(spark, d)
     return rollups.top(tasks, [*rollups.board(tasks), F.asc("task_id")], 500)
 
 
+STATUS_RANK = "case o_orderstatus when 'O' then 0 when 'P' then 1 else 3 end"
+PRIORITY_RANK = "case when o_orderpriority < '2' then 0 when o_orderpriority < '3' then 1 when o_orderpriority < '4' then 2 else 3 end"
+
+
+@query(f"select o_orderkey as task_id, case o_orderstatus when 'O' then 'TODO' when 'P' then 'IN_PROGRESS' else 'DONE' end as status, case when o_orderpriority < '2' then 'P0' when o_orderpriority < '3' then 'P1' when o_orderpriority < '4' then 'P2' else 'P3' end as priority, {STATUS_RANK} as status_rank, {PRIORITY_RANK} as priority_rank from orders order by status_rank, priority_rank, task_id")
+def task_board_all(spark, d):
+    """Every task in the order of the board, not the first 500 of :func:`task_board`. The ranks and the id give the order
+    to readers of unordered rows."""
+    tasks = _tasks(spark, d)
+    status, priority = rollups.board(tasks)
+    return tasks.withColumns({"status_rank": status, "priority_rank": priority}).orderBy("status_rank", "priority_rank", "task_id")
+
+
 @query("select a.audit_id, a.label, p.name as project, coalesce(p.client_id, '—') as client from audits a left join projects p using (project_id)")
 def audit_headers(spark, d):
     p = table(spark, d, "projects").select("project_id", F.col("name").alias("project"), "client_id")
