@@ -11,6 +11,7 @@ from crawlquarry.functions import exprs as X
 from crawlquarry.operators import compare, engine, explore, merge, report, rollups
 from crawlquarry.operators.rules import CATALOGUE, flagged
 from crawlquarry.plans.fixture import FIXTURE_SQL, crawl
+from crawlquarry.schema import COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,6 +225,21 @@ def merge_first_wins(spark, d):
     return merge.first_wins(table(spark, d, "crawled_urls").select("audit_id", "url", "ord", *MERGED))
 
 
+#: The canonical columns of a page that crawled_urls has, in the order of the page's attributes: all but its key, and h2,
+#: which the table lacks. Its lengths and response times are texts, as recorded.
+CANONICAL = [c for c in COLUMNS if c not in ("url", "h2")]
+_CANONICAL_TEXT = {c for c in CANONICAL if COLUMNS[c][0] in ("string", "indexability")} | {"title_length", "response_time_ms"}
+
+
+@query(
+    "select audit_id, u as url, min(ord) as ord, " + ", ".join(f"arg_min({c}, ord) filter (where {c} is not null{f' and {c} <> {chr(39) * 2}' if c in _CANONICAL_TEXT else ''}) as {c}" for c in CANONICAL)
+    + f" from (select *, {trim('url')} as u from crawled_urls) where u is not null and u <> '' group by audit_id, u"
+)
+def merge_first_wins_all(spark, d):
+    """All canonical columns merged, where :func:`merge_first_wins` has 11 of them."""
+    return merge.first_wins(table(spark, d, "crawled_urls").select("audit_id", "url", "ord", *CANONICAL))
+
+
 @query("select audit_id, url, title, status_code, canonical, min_ord as ord from (select *, min(ord) over (partition by audit_id, url) as min_ord, row_number() over (partition by audit_id, url order by ord desc) as rn from compare_urls where url is not null and url <> '') where rn = 1")
 def persist_last_wins(spark, d):
     return engine.last_wins(table(spark, d, "compare_urls").select("audit_id", "url", "title", "status_code", "canonical", "ord"))
@@ -450,6 +466,12 @@ def url_attributes_unpivot(spark, d):
     return report.unpivoted(table(spark, d, "crawled_urls"), ATTRIBUTES, ("ord",))
 
 
+@query(" union all ".join(f"select ord, '{c}' as label, case when coalesce(cast({c} as varchar), '') = '' then '—' else cast({c} as varchar) end as value from crawled_urls" for c in CANONICAL))
+def url_attributes_all(spark, d):
+    """All attributes of a page that the table has, where :func:`url_attributes_unpivot` has 10 of them."""
+    return report.unpivoted(table(spark, d, "crawled_urls"), CANONICAL, ("ord",))
+
+
 @query("select project_id, lower(regexp_replace(name, '[^A-Za-z0-9-]+', '-', 'g')) as slug, substr(cast(created_at as varchar), 1, 10) as created from projects")
 def report_slugs(spark, d):
     return table(spark, d, "projects").select("project_id", report.slug(F.col("name")).alias("slug"), F.date_format("created_at", "yyyy-MM-dd").alias("created"))
