@@ -9,9 +9,11 @@ needs more of them. A document is a case if more than half of its characters are
 
 Defined results
     Null texts and texts under 150 characters (as they stand) are no cases. Logs (lines that begin with a time stamp) and
-    code (scripts, styles, lines of a program) count as sentences. Scripts without such words in the corpus, or written
-    without spaces, are judged by punctuation alone. Texts are read whole; repeated rows are judged alike. Extra columns
-    don't matter; a null language is a language of its own.
+    code (scripts, styles, lines of a program) count as sentences. A block belongs to the script of most of its letters; in
+    scripts written without spaces, pairs of neighbouring characters are the words. Where the learned words cover too
+    little of a script's sentences, its blocks need a final mark and no list of separators, and redundant ones no words
+    repeated within them. Texts are read whole; repeated rows are judged alike. Extra columns don't matter; a null
+    language is a language of its own.
 """
 
 from __future__ import annotations
@@ -22,36 +24,42 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlquarry.functions.arrow import map_arrow
 from crawlquarry.plans.sized import written
 
 LEAST = 150
-#: Bounds of the learned model: words kept (the most frequent sentence words), and least number of blocks per word.
+#: Bounds of the learned model: words kept of a script (the most frequent sentence words), and least number of blocks per
+#: word.
 MOST_WORDS, LEAST_BLOCKS = 20_000, 8
 #: A word is a sentence word if it stands in lists at most this much as often as in sentences (rates per block).
 LIST_RATE = 0.1
 #: Share of sentence words that a block needs if it is punctuated like a sentence, if it isn't, and if it is extremely
 #: redundant.
 NEED_ENDED, NEED, NEED_REDUNDANT = 0.08, 0.16, 0.30
+#: Share of the words of a script's sentences that the learned words must cover for blocks to be judged by them.
+COVERED = 0.5
 #: Deviations from the corpus at which a block counts as extremely redundant.
 EXTREME = -3.0
 
 HIDDEN = re.compile("[​-‏‪-‮⁠﻿­]")
-BLOCK = re.compile(r"[^\n.!?…。！？؟;]*(?:[.!?…。！？؟](?=\S)[^\n.!?…。！？؟;]*|;[^\n.!?…。！？؟;]*)*[.!?…。！？؟]*")
+BLOCK = re.compile(r"[^\n.!?…。！？؟;]*(?:[.!?…؟](?=\S)[^\n.!?…。！？؟;]*|;[^\n.!?…。！？؟;]*)*[.!?…。！？؟]*[」』）]*")
 PIECE = re.compile(r"\s+[|>·•]\s+|\s+/\s+")
-ITEM = re.compile(r"([,;:|·#=•>]+|\s/\s|(?i:https?://)\S+)")
-ENDS = re.compile(r"[.!?…。！？؟][\"'»”’)\]]*\s*$")
-WORD = re.compile(r"[^\s,;|.!?…:()\[\]{}\"<>/=#·•*>~+–—-]+")
-SEPARATOR = re.compile(r"[,;:|#=·•/>~+]|https?:|\b\d+[.)]\s")
+ITEM = re.compile(r"([,;:|·#=•>、，；：｜・،؛]+|\s/\s|(?i:https?://)\S+)")
+ENDS = re.compile(r"[.!?…。！？؟][\"'»”’)\]」』）]*\s*$")
+WORD = re.compile(r"[^\s,;|.!?…:()\[\]{}\"<>/=#·•*>~+–—、。，！？；：｜・「」『』（）،؛؟-]+")
+SEPARATOR = re.compile(r"[,;:|#=·•/>~+、，；：｜・،؛]|https?:|\b\d+[.)]\s|(?<=[぀-ヿ㐀-鿿฀-๿])\s+(?=[぀-ヿ㐀-鿿฀-๿])")
 LINK = re.compile(r"(?i)(?:https?://|www\.)\S+|<a\s[^>]{0,2000}>|(?<![\w.-])[\w.-]{1,80}\.(?:example|test|com|org|net|de|it|fr|es)/\S*")
 LOG = re.compile(r"^\s*\[?(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\d\d:\d\d:\d\d|\d{1,3}(?:\.\d{1,3}){3} - )")
 CODE = re.compile(r"^\s*(?:[{}\[\]]+[;,]?|(?:const|let|var|def|class|import|from|return|function|if|for|while|else|try|public|private|select|insert|update)\b.*[({=].*[){};:]|.*(?:[{}]|\)\s*;)|//.*|#include.*|\$ .*)\s*$")
 SCRIPT = re.compile(r"(?is)<(script|style|pre|code)\b.*?(?:</\1>|$)|```.*?(?:```|$)")
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
-OTHER_SCRIPT = re.compile(r"[Ͱ-ϿЀ-ӿ֐-ۿऀ-ॿ가-힯]")
+#: Scripts told apart beside Latin, which is the first.
+SCRIPTS = {"latin": None} | {k: re.compile(f"[{v}]") for k, v in {"greek": "Ͱ-Ͽ", "cyrillic": "Ѐ-ӿ", "hebrew": "֐-׿", "arabic": "؀-ۿ", "devanagari": "ऀ-ॿ", "hangul": "가-힯", "thai": "฀-๿", "han": "㐀-鿿", "kana": "぀-ヿ"}.items()}
+NAMES = list(SCRIPTS)
+UNSPACED_RUN = re.compile(f"{UNSPACED.pattern}+|(?:(?!{UNSPACED.pattern}).)+")
 
 
 def blocks(text: str) -> list[tuple[str, str]]:
@@ -88,9 +96,25 @@ def unlinked(block: str) -> str:
 
 def words_of(plain: str) -> list[str]:
     words = [w for w in WORD.findall(plain) if not w.isdigit()]
+    if not plain.isascii() and UNSPACED.search(plain):
+        words = [x for w in words for run in UNSPACED_RUN.findall(w) if not run.isdigit() for x in (_pairs(run) if UNSPACED.match(run) else [run])]
     return [w.strip("'’") for w in words] if "'" in plain or "’" in plain else words
 
 
+def _pairs(run: str) -> list[str]:
+    return [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+
+
+def script(text: str) -> str:
+    """Of most of the letters, one of ``SCRIPTS``; Han with a tenth of kana or more is ``kana``."""
+    if text.isascii():
+        return "latin"
+    n = {k: len(p.findall(text)) for k, p in SCRIPTS.items() if p}
+    n["latin"] = sum(c.isalpha() for c in text) - sum(n.values())
+    n["han"], n["kana"] = (0, n["han"] + n["kana"]) if 10 * n["kana"] >= n["han"] + n["kana"] else (n["han"] + n["kana"], 0)
+    return max(NAMES, key=lambda k: n[k])
+
+
 def full_of_separators(plain: str, words: list[str]) -> bool:
     return 4 * len(SEPARATOR.findall(plain)) > len(words)
 
@@ -116,8 +140,9 @@ def _sentence(words: list[str], need: float, sentence_words: frozenset[str]) ->
     return bool(words) and sum(w in sentence_words for w in words) >= need * len(words)
 
 
-def spam_share(text: str, lang: str, sentence_words: frozenset[str], usual: dict[tuple[str, int], tuple[float, float]]) -> float:
-    """Share of the characters in blocks without sentences."""
+def spam_share(text: str, lang: str, sentence_words: dict[str, frozenset[str]], usual: dict[tuple[str, int], tuple[float, float]]) -> float:
+    """Share of the characters in blocks without sentences. ``sentence_words``: by script, of those whose sentences they
+    cover."""
     items = blocks(text)
     total = bad = 0
     for lo, hi in windows(items):
@@ -130,15 +155,16 @@ def spam_share(text: str, lang: str, sentence_words: frozenset[str], usual: dict
             total += n
             if kind != "text":
                 continue
-            if UNSPACED.search(b) or OTHER_SCRIPT.search(b):
-                bad += 0 if ENDS.search(b) else n
-                continue
             plain = unlinked(b)
             ws = words_of(plain)
-            if full_of_separators(plain, ws) or "/" in b and len(LINK.findall(b)) > 2:
+            known = sentence_words.get(script(b))
+            if known is None:
+                repeats = redundant and 3 * len(set(ws)) < 2 * len(ws)
+                bad += n if not ENDS.search(b) or repeats or full_of_separators(plain, ws) else 0
+            elif full_of_separators(plain, ws) or "/" in b and len(LINK.findall(b)) > 2:
                 # a list: item by item, since a sentence may stand in its midst
-                bad += sum(len(x) for x in ITEM.split(b) if not _sentence(words_of(unlinked(x)), NEED_REDUNDANT if redundant else NEED, sentence_words))
-            elif not _sentence(ws, NEED_REDUNDANT if redundant else NEED_ENDED if ENDS.search(b) else NEED, sentence_words):
+                bad += sum(len(x) for x in ITEM.split(b) if not _sentence(words_of(unlinked(x)), NEED_REDUNDANT if redundant else NEED, known))
+            elif not _sentence(ws, NEED_REDUNDANT if redundant else NEED_ENDED if ENDS.search(b) else NEED, known):
                 bad += n
     return bad / total if total else 0.0
 
@@ -150,7 +176,8 @@ def language(lang: str | None) -> str:
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a batch: (key, size, bucket, n, m). With size 0, key is a word and n and m its blocks that are sentences
-    and lists; else key is a language, and n windows of that size have a ratio in the bucket of hundredths."""
+    and lists; bucket is then the place of the
+    blocks' script; else key is a language, and n windows of that size have a ratio in the bucket of hundredths."""
     for b in batches:
         sentence: Counter = Counter()
         lists: Counter = Counter()
@@ -166,15 +193,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "text" and len(ws := words_of(plain := unlinked(block))) >= 3:
                     # full of separators, or without an end: what a list of keywords, links or tags looks like
                     listed = full_of_separators(plain, ws) or not ENDS.search(block)
-                    (lists if listed else sentence).update({w[:60] for w in ws if w})
+                    at = NAMES.index(script(block))
+                    (lists if listed else sentence).update({(w[:60], at) for w in ws if w})
                     n_list, n_sentence = n_list + listed, n_sentence + (not listed)
         words = list(sentence)  # words that only lists hold can't become sentence words
-        rows = [("", 0, 0, n_sentence, n_list)] + [(w, 0, 0, sentence[w], lists[w]) for w in words] + [(w, 0, 0, 0, n) for w, n in lists.items() if w not in sentence] + [(k, s, q, n, 0) for (k, s, q), n in ratios.items()]
+        words = list(sentence)  # words that only lists hold can't become sentence words
+        rows = [("", 0, 0, n_sentence, n_list)] + [(w, 0, at, sentence[w, at], lists[w, at]) for w, at in words] + [(w, 0, at, 0, n) for (w, at), n in lists.items() if (w, at) not in sentence] + [(k, s, q, n, 0) for (k, s, q), n in ratios.items()]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["key", "size", "bucket", "n", "m"])
 
 
-def _scores(sentence_words: frozenset[str], usual: dict[tuple[str, int], tuple[float, float]]):
+def _scores(sentence_words: dict[str, frozenset[str]], usual: dict[tuple[str, int], tuple[float, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shares = [spam_share(t, language(g), sentence_words, usual) for g, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)]
@@ -183,18 +212,26 @@ def _scores(sentence_words: frozenset[str], usual: dict[tuple[str, int], tuple[f
     return run
 
 
-def model(documents: DataFrame) -> tuple[frozenset[str], dict[tuple[str, int], tuple[float, float]]]:
-    """(sentence words, usual ratio and spread by language and size), counted over all documents of ``LEAST`` characters
-    or more. What is collected is bounded: at most ``MOST_WORDS`` words, and 677 languages times the sizes of windows."""
+def model(documents: DataFrame) -> tuple[dict[str, frozenset[str]], dict[tuple[str, int], tuple[float, float]]]:
+    """(sentence words of Latin and of each script whose sentences they cover, usual ratio and spread by language and
+    size), counted over all documents of ``LEAST`` characters or more. What is collected is bounded: at most
+    ``MOST_WORDS`` words of each of ten scripts, and 677 languages times the sizes of windows."""
     texts = documents.where(F.length("text") >= LEAST).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = written(map_arrow(texts, _statistics, "key string, size long, bucket long, n long, m long").groupBy("key", "size", "bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     total = counts.where("size = 0 and key = ''").first()
     rate = LIST_RATE * (total["m"] or 1) / (total["n"] or 1) if total else 0.0
-    words = counts.where((F.col("size") == 0) & (F.col("key") != "") & (F.col("n") >= LEAST_BLOCKS) & (F.col("m") <= rate * F.col("n"))).orderBy(F.desc("n"), "key").limit(MOST_WORDS).select("key").collect()
+    seen = counts.where("size = 0 and key <> ''")
+    kept = seen.where((F.col("n") >= LEAST_BLOCKS) & (F.col("m") <= rate * F.col("n")))
+    words = kept.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "key"))).where(F.col("place") <= MOST_WORDS).select("key", "bucket", "n").collect()
+    sums = {NAMES[r["bucket"]]: r["n"] for r in seen.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    own: dict[str, dict[str, int]] = {k: {} for k in {"latin", *sums}}
+    for r in words:
+        own[NAMES[r["bucket"]]][r["key"]] = r["n"]
+    sentence_words = {k: frozenset(v) for k, v in own.items() if k == "latin" or sum(v.values()) >= COVERED * max(1, sums[k])}
     ratios = counts.where("size > 0")
     mid = ratios.groupBy("key", "size").agg(F.percentile("bucket", 0.5, F.col("n")).alias("mid"))
     far = ratios.join(mid, ["key", "size"]).groupBy("key", "size", "mid").agg(F.percentile(F.abs(F.col("bucket") - F.col("mid")), 0.5, F.col("n")).alias("mad"))
-    return frozenset(r["key"] for r in words), {(r["key"], r["size"]): (r["mid"] / 100 + 0.005, 1.4826 * r["mad"] / 100) for r in far.collect()}
+    return sentence_words, {(r["key"], r["size"]): (r["mid"] / 100 + 0.005, 1.4826 * r["mad"] / 100) for r in far.collect()}
 
 
 def scores(documents: DataFrame) -> DataFrame:
