@@ -41,6 +41,8 @@ QUOTED = {'"': re.compile(r'"((?:[^"]|"")*)"'), "'": re.compile(r"'((?:[^']|'')*
 SPLIT = frozenset(",;|[]")
 LOOSE = frozenset("/+&")  # delimiters only beside white space, another delimiter or an end
 WORD = re.compile(r"[^\s,;|\[\]]+")
+#: Every character at which a cell may be split, white space as ``str.isspace`` has it, for Java.
+DELIMITERS = r"[,;|/+&\[\]\x1C-\x1F\x{85}" + X.SPACE[1:]
 #: Costs of a quoted text, a known value and an unknown word.
 C_QUOTED, C_KNOWN, C_UNKNOWN = 9, 10, 20
 
@@ -168,7 +170,7 @@ def values(urls: DataFrame, fields: tuple[str, ...] = FIELDS, least: int = 1, kn
     values, having no delimiter, don't leave the JVM."""
     known = dictionary(urls, fields) if known is None else known
     cells = urls.select(F.col("ord").cast("long").alias("ord"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), X.trimmed(F.col(f)).alias("cell")) for f in fields])).alias("c")).select("ord", "c.*")
-    cells = cells.where(F.col("cell") != "").where(F.col("cell").rlike(r"[\s,;|/+&]") if least > 1 else F.lit(True))
+    cells = cells.where(F.col("cell") != "").where(F.col("cell").rlike(DELIMITERS) if least > 1 else F.lit(True))
     out = map_arrow(cells, _splitter(known, least), "ord long, field_name string, items array<string>")
     return out.select("ord", "field_name", F.posexplode("items").alias("pos", "item")).select("ord", "field_name", (F.col("pos") + 1).cast("int").alias("pos"), "item")
 
