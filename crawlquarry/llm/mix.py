@@ -6,9 +6,11 @@ that can't follow give all they have and the rest is shared among the others by
 gets the same expected number of copies; its whole part is certain, and the fractions are rounded by the cube method: in
 a stream through each task, three fractional documents of a source at a time move along the direction in which neither
 the tokens nor the number of documents of the source change, until one of them is decided. Two of them, and a reserve of
-a few documents, stay open per source and task; those are streamed again, in fewer tasks each time, until a small landing
-problem of one reserve and two documents per source remains: of all ways to round it, the nearest in tokens is taken, then
-the nearest in number.
+a few documents, stay open per stream; those are streamed again, in fewer streams each time, until a source has a single
+stream. What that leaves open is its landing problem, and each source lands by itself: of all ways to round the last
+documents, the nearest in tokens is taken, then the nearest in number. Which stream a document is in, its place there and
+every random choice hang on ids and numbers of documents, never on partitions or tasks: a selection is the same on any
+cluster.
 
 Defined results
     Sources meet in lower case without outer spaces. Documents of no tokens (null, empty), with a null doc_id or a null
@@ -34,9 +36,9 @@ from crawlquarry.plans.sized import written
 
 #: Targets are a configuration: more rows than this are refused.
 MOST_TARGETS = 10_000
-#: Open documents that one task may take; above it they go through a further round.
-LANDING = 20_000
-#: Documents of a source that each task keeps for the landing, and of how many the landing tries all ways.
+#: Documents of a stream. A source of more documents has several streams and goes through a further round.
+LANDING = 50_000
+#: Documents that each stream keeps for the landing, and of how many the landing tries all ways.
 RESERVE, EXACT = 32, 12
 
 
@@ -117,55 +119,73 @@ def landed(units: list[list]) -> None:
         u[2] = float(x)
 
 
-def _flight(level: int, last: bool):
+SCHEMA = "stratum int, doc_id long, tokens long, p double"
+
+
+def _flight(level: int):
+    """Rows (stratum, stream, streams, doc_id, tokens, p), those of a stream together and in order -> the same documents
+    with p moved: all but a few of each stream to 0 or 1, and all of a stratum of one stream."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("stratum", pa.int32()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("p", pa.float64())])
-        open_: dict[int, list[list]] = {}
-        kept: dict[int, list[list]] = {}
+        at: tuple | None = None
+        units: list[list] = []
+        reserve: list[list] = []
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
+        def closed() -> list[tuple]:
+            left = reserve + units
+            if left and at[2] == 1:
+                landed(left)
+            return [(at[0], *u) for u in left]
+
         for b in batches:
             done: list[tuple] = []
-            for s, doc, tokens, p in zip(*(b.column(c).to_pylist() for c in ("stratum", "doc_id", "tokens", "p")), strict=True):
-                reserve = kept.setdefault(s, [])
+            for s, stream, streams, doc, tokens, p in zip(*(b.column(c).to_pylist() for c in ("stratum", "stream", "streams", "doc_id", "tokens", "p")), strict=True):
+                if (s, stream, streams) != at:
+                    done += closed() if at else []
+                    at, units, reserve = (s, stream, streams), [], []
                 if len(reserve) < RESERVE:
                     reserve.append([doc, tokens, p])
                     continue
-                units = open_.setdefault(s, [])
                 units.append([doc, tokens, p])
                 while len(units) == 3 or len(units) == 2 and units[0][1] == units[1][1]:
                     step(units, _chance(units[-1][0], s, level))
                     done += [(s, *u) for u in units if u[2] in (0.0, 1.0)]
                     units[:] = [u for u in units if u[2] not in (0.0, 1.0)]
             yield batch(done)
-        for s, reserve in kept.items():
-            reserve += open_.get(s, [])
-            if last and reserve:
-                landed(reserve)
-        yield batch([(s, *u) for s, units in kept.items() for u in units])
+        yield batch(closed() if at else [])
 
     return run
 
 
-SCHEMA = "stratum int, doc_id long, tokens long, p double"
-
-
-def cube(units: DataFrame) -> DataFrame:
+def cube(units: DataFrame, sizes: dict[int, int] | None = None) -> DataFrame:
     """(stratum, doc_id, tokens, p) with fractions p -> the same with p 0 or 1, keeping tokens and number of each
-    stratum up to its landing."""
+    stratum up to its landing. ``sizes``: documents of each stratum. A stream of LANDING documents leaves RESERVE + 2, so
+    every round leaves a stratum that part of its documents, and the number of rounds is known before the first."""
+    if LANDING <= 2 * (RESERVE + 2):
+        raise ValueError("LANDING must be more than twice what a stream leaves open")
+    if sizes is None:
+        sizes = {r["stratum"]: r["count"] for r in units.groupBy("stratum").count().limit(MOST_TARGETS + 1).collect()}
+    spark = units.sparkSession
     out, level, todo = None, 0, units
     while True:
-        flown = written(map_arrow(todo, _flight(level, False), SCHEMA))
+        streams = {s: max(1, -(-n // LANDING)) for s, n in sizes.items()}
+        frame = spark.createDataFrame(list(streams.items()), "stratum int, streams int")  # as many rows as there are targets
+        order = F.xxhash64("doc_id", F.lit(level))
+        placed = todo.join(F.broadcast(frame), "stratum").withColumn("place", order).withColumn("stream", F.pmod("place", "streams").cast("int"))
+        placed = placed.repartition("stratum", "stream").sortWithinPartitions("stratum", "stream", "place", "doc_id")
+        flown = map_arrow(placed.select("stratum", "stream", "streams", "doc_id", "tokens", "p"), _flight(level), SCHEMA)
+        if all(n == 1 for n in streams.values()):
+            return flown if out is None else out.unionByName(flown)
+        flown = written(flown)
         decided = flown.where("p in (0.0, 1.0)")
         out = decided if out is None else out.unionByName(decided)
-        open_ = flown.where("p not in (0.0, 1.0)")
-        n, level = open_.count(), level + 1
-        if n <= LANDING:
-            return out.unionByName(map_arrow(open_.coalesce(1).sortWithinPartitions("stratum", "tokens", "doc_id"), _flight(level, True), SCHEMA))
-        todo = open_.repartition(max(1, n // LANDING), "doc_id")
+        todo, level = flown.where("p not in (0.0, 1.0)"), level + 1
+        sizes = {s: n * (RESERVE + 2) for s, n in streams.items() if n > 1}
 
 
 class Mix:
@@ -188,13 +208,13 @@ class Mix:
         counted = lengths(docs, sorted({k for _, k in wanted}), folder)
         # a document that is repeated, or named with several sources, counts once for each of them
         self.tokens = written(counted.where("tokens > 0").groupBy("doc_id", "source", "tokenizer").agg(F.max("tokens").alias("tokens")))
-        sums = {(r["source"], r["tokenizer"]): r for r in self.tokens.groupBy("source", "tokenizer").agg(F.sum("tokens").alias("sum"), F.max("tokens").alias("largest")).collect()}
+        sums = {(r["source"], r["tokenizer"]): r for r in self.tokens.groupBy("source", "tokenizer").agg(F.sum("tokens").alias("sum"), F.max("tokens").alias("largest"), F.count("*").alias("n")).collect()}
         self.strata: list[dict] = []
         for mix in sorted({t["mix_id"] for t in self.targets}):
             mine = [t for t in self.targets if t["mix_id"] == mix]
             for t in mine:
                 s = sums.get((t["source"], t["tokenizer"]))
-                t |= {"sum": s["sum"] if s else 0, "largest": s["largest"] if s else 0, "cap": (s["sum"] if s else 0) * t["repeats"]}
+                t |= {"n": s["n"] if s else 0, "sum": s["sum"] if s else 0, "largest": s["largest"] if s else 0, "cap": (s["sum"] if s else 0) * t["repeats"]}
             given = allocate(mine, total_tokens)
             for t in mine:
                 copies = given.get(t["source"], 0.0) / t["sum"] if t["sum"] else 0.0
@@ -207,7 +227,8 @@ class Mix:
         frame = self.spark.createDataFrame(plan, "stratum int, mix_id string, source string, tokenizer string, whole int, fraction double")
         rows = self.tokens.join(F.broadcast(frame), ["source", "tokenizer"])  # as many rows as there are targets
         sure = rows.where("whole > 0").select("stratum", "doc_id", "tokens", F.col("whole").alias("copies"))
-        drawn = cube(rows.where("fraction > 0").select("stratum", "doc_id", "tokens", F.col("fraction").alias("p"))).where("p = 1.0").select("stratum", "doc_id", "tokens", F.lit(1).alias("copies"))
+        sizes = {s["stratum"]: s["n"] for s in self.strata if s["copies"] > math.floor(s["copies"])}
+        drawn = cube(rows.where("fraction > 0").select("stratum", "doc_id", "tokens", F.col("fraction").alias("p")), sizes).where("p = 1.0").select("stratum", "doc_id", "tokens", F.lit(1).alias("copies"))
         both = sure.unionByName(drawn).groupBy("stratum", "doc_id").agg(F.sum("copies").cast("int").alias("copies"), F.max("tokens").alias("tokens"))
         return both.join(F.broadcast(frame.select("stratum", "mix_id", "source")), "stratum").select("mix_id", "source", "doc_id", "copies", "tokens")
 

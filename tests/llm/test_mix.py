@@ -65,3 +65,28 @@ def test_empty(spark):
     d, t = frames(spark, [], [("m", "a", 1.0, 1, "byte_bpe_50k")])
     assert M.Mix(d, t).selection().count() == 0
     assert M.Mix(d, t.limit(0)).shares().count() == 0
+
+
+def test_thousands_of_strata_end(spark):
+    """More strata than any bound on open documents of all strata together could hold: each lands by itself."""
+    units = spark.range(2000 * 60).selectExpr("cast(id % 2000 as int) as stratum", "id as doc_id", "cast(5 + pmod(xxhash64(id), 400) as bigint) as tokens", "0.41D as p").repartition(8)
+    rows = M.cube(units).collect()
+    assert len(rows) == 2000 * 60 and {r.p for r in rows} == {0.0, 1.0}
+    tokens, chosen = [0] * 2000, [0] * 2000
+    for r in rows:
+        tokens[r.stratum] += r.tokens
+        chosen[r.stratum] += r.tokens * r.p
+    off = [abs(c - 0.41 * t) for c, t in zip(chosen, tokens, strict=True)]
+    assert max(off) < 60 and sum(off) / len(off) < 5
+
+
+def test_partitions_dont_matter(spark, monkeypatch):
+    monkeypatch.setattr(M, "LANDING", 300)
+    units = spark.range(5000).selectExpr("cast(id % 3 as int) as stratum", "id as doc_id", "cast(1 + id * id % 97 as bigint) as tokens", "0.37D as p")
+    first = sorted(map(tuple, M.cube(units.repartition(3)).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        assert sorted(map(tuple, M.cube(units.repartition(13, "tokens")).collect())) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
