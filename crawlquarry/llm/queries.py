@@ -43,5 +43,11 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.scores(_documents(spark, d)).select("doc_id", F.floor(F.col("spam_share") * 100).cast("int").alias("percent"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
+def p8_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Cases by the stage that decides them: redundancy with few ends of sentences alone, or only together with words."""
+    found = stuffing.scores(_documents(spark, d)).where("spam_share > 0.5")
+    return found.groupBy(F.when(F.col("redundant_share") > 0.5, "redundancy").otherwise("words").alias("stage")).agg(F.count("*").alias("documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_stages)}
 SQL: dict[str, str] = {}
