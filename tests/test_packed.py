@@ -48,3 +48,24 @@ def test_frame(spark):
 def test_dictionary_learns_whole_values(spark):
     df = spark.createDataFrame([(n, None, '"Store, Outdoor"' if n % 2 else "Product", None) for n in range(8)], "ord bigint, meta_robots string, structured_data_types string, hreflang string")
     assert sorted(P.dictionary(df)["structured_data_types"]) == ["Product", "Store, Outdoor"]
+
+
+def test_case_of_letters_that_grow():
+    assert P.fold("İx") == "İx" and P.fold("ΟΔΟΣ") == "οδοσ"
+    assert split("structured_data_types", "Event; Local Business; Shoes; İlan") == ["Event", "Local Business; Shoes", "İlan"]
+
+
+def _wide(spark):
+    rows = [(n, "Index, follow" if n % 2 else "noindex", f'"Store {n % 70}, Outdoor" ; Offer+' if n % 3 else f"Type{n % 40}", "en=https://a.test/,1") for n in range(900)]
+    rows += [(1000 + n, "max-snippet: 5 none", f"Store {n}, Outdoor | Type{n}/ x", None) for n in range(60)] + [(2000, None, '"Type1, Type2"', None)] * 4 + [(2001, None, "type1, TYPE2; İlan, store 3, outdoor", None)]
+    return spark.createDataFrame(rows, "ord bigint, meta_robots string, structured_data_types string, hreflang string")
+
+
+def test_dictionary_of_any_size(spark, monkeypatch):
+    df = _wide(spark)
+    want = sorted(map(tuple, P.values(df, least=2).collect()))
+    assert (1007, "structured_data_types", 1, "Store 7, Outdoor") in want and (2001, "structured_data_types", 4, "store 3, outdoor") in want
+    monkeypatch.setattr(P, "MOST_LOOKUP", 20)
+    assert sorted(map(tuple, P.values(df, least=2).collect())) == want
+    with __import__("pytest").raises(ValueError):
+        P.dictionary(df)
