@@ -194,22 +194,7 @@ FEATURES = "doc_id long, lang string, " + ", ".join(f"{k} {v}" for k, v in FIELD
 
 
 class Reader:
-    """Features of texts. Words are hashed together with the script of their block."""
-
-    def __init__(self) -> None:
-        self.known: dict[tuple[int, str], int] = {}
-
-    def hashed(self, words: list[str], at: int) -> list[int]:
-        known, out = self.known, []
-        for w in words:
-            h = known.get((at, w))
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"), seed=at) - (1 << 63)
-                if len(known) > 200_000:
-                    known.clear()
-                known[at, w] = h
-            out.append(h)
-        return out
+    """Features of texts; words still as texts."""
 
     def read(self, text: str) -> dict[str, list[int]]:
         f: dict[str, list[int]] = {k: [] for k in FIELDS}
@@ -250,9 +235,15 @@ class Reader:
         f["chars"].append(chars)
         f["flags"].append(flags)
         f["script"].append(at)
-        hashes = self.hashed([w for w in words if w], at)
         f["n_words"].append(len(words))
-        f["words"] += hashes if len(hashes) == len(words) else hashes + [0] * (len(words) - len(hashes))
+        f["words"] += words
+
+
+def hashed(words: list[str]) -> pa.Array:
+    """64-bit hashes of words, each distinct one hashed once."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    own = pa.array([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in coded.dictionary.to_pylist()], pa.int64())
+    return own.take(coded.indices)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +255,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = []
             for k, kind in FIELDS.items():
                 offsets = np.concatenate([[0], np.cumsum([len(x[k]) for x in got])]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array([v for x in got for v in x[k]], _ARROW[kind[6:-1]])))
+                flat = [v for x in got for v in x[k]]
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), hashed(flat) if k == "words" else pa.array(flat, _ARROW[kind[6:-1]])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, 512), pa.array([language(g) for g in langs[lo : lo + 512]], pa.string()), *lists], names=["doc_id", "lang", *FIELDS])
 
 
@@ -284,30 +276,24 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, script, word, n, m): blocks of three words or more in which a word stands that are sentences, and that are
     lists. The word 0 of script -1 has all such blocks."""
     for b in batches:
-        u, words, langs = _units(b), _flat(b, "words"), b.column("lang").to_pylist()
+        u, langs = _units(b), b.column("lang").to_pylist()
+        coded = b.column("words").flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
         first = (u["flags"] & FIRST) != 0
-        block = np.cumsum(first) - 1
-        per_block = np.bincount(block, u["n_words"], minlength=int(first.sum())).astype(np.int64) if len(block) else np.zeros(0, np.int64)
+        n_blocks, block = int(first.sum()), np.cumsum(first) - 1
+        per_block = np.bincount(block, u["n_words"], minlength=n_blocks)
         fit = (per_block >= 3) & ((u["flags"][first] & TEXT) != 0)
-        listed = (u["flags"][first] & LISTED) != 0
-        at = np.repeat(block, u["n_words"])
-        use = fit[at] if len(at) else np.zeros(0, bool)
-        order = np.lexsort((words[use], at[use]))
-        w, k = words[use][order], at[use][order]
-        once = np.ones(len(w), bool)
-        once[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1])
-        w, k = w[once], k[once]
+        listed = ((u["flags"][first] & LISTED) != 0).astype(np.int64)
         names = sorted(set(langs))
         lang_at = np.array([names.index(g) for g in langs], np.int64)
-        lang, script_ = lang_at[u["doc"][first][k]] if len(k) else k, u["script"][first][k].astype(np.int64)
-        out = []
-        if len(w):
-            key, inverse = np.unique(np.stack([lang, script_, w], 1), axis=0, return_inverse=True)
-            m = np.bincount(inverse.ravel(), listed[k], len(key)).astype(np.int64)
-            n = np.bincount(inverse.ravel(), minlength=len(key)) - m
-            out = [[names[i] for i in key[:, 0]], key[:, 1], key[:, 2], n, m]
-        all_ = [[""], [-1], [0], [int((fit & ~listed).sum())], [int((fit & listed).sum())]]
-        cols = [np.concatenate([x, y]).astype(np.int64) if i else [*x, *y] for i, (x, y) in enumerate(zip(out, all_, strict=True))] if out else all_
+        group = (lang_at[u["doc"][first]] * 16 + u["script"][first]) * 2 + listed  # of each block
+        at = np.repeat(block, u["n_words"])
+        use, size = fit[at], max(1, len(words))
+        once = np.unique(at[use] * size + codes[use])  # (block, word)
+        keys, count = np.unique(group[once // size] * size + once % size, return_counts=True)
+        g, w = keys // size, words[keys % size] if len(words) else keys
+        n, m = np.where(g % 2 == 0, count, 0), np.where(g % 2 == 1, count, 0)
+        cols = [[names[i] for i in g // 32] + [""], np.append(g // 2 % 16, -1), np.append(w, 0), np.append(n, int((fit & (listed == 0)).sum())), np.append(m, int((fit & (listed == 1)).sum()))]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["lang", "script", "word", "n", "m"])
 
 
