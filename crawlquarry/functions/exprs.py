@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+#: The same characters as they are.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
     """Without outer white space of any kind (SQL ``trim`` knows only U+0020)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -55,4 +59,4 @@ def rounded(c: Column, tenths: bool = False) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Without byte-order marks, trimmed, inner white space as one space, lower case: the form in which headers meet."""
-    return F.lower(F.regexp_replace(trimmed(F.regexp_replace(c, r"\x{FEFF}", "")), f"{SPACE}+", " "))
+    return F.lower(F.regexp_replace(trimmed(F.replace(c, F.lit("\ufeff"), F.lit(""))), f"{SPACE}+", " "))
