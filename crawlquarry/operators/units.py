@@ -3,9 +3,10 @@
 Cells say their unit or they don't. Numbers without a unit share one unit per source (an audit and a measure), and that
 unit is found by linking sources: the same page in two sources, the same row in a source that is known (the length of
 its own title text), and, where pages aren't shared, the deciles of one site's values. Each link gives a robust scale
-(median of logarithmic ratios) and offset (median of what remains), the scale is snapped to a known conversion, and
-known units are propagated through the graph of sources, strongest links first. Links are a star and a chain per page,
-never all pairs.
+(median of logarithmic ratios) and offset (what remains between the medians after scaling), the scale is snapped to a
+known conversion, and known units are propagated through the graph of sources, strongest links first, until nothing
+changes. Links are a star and a chain per page, never all pairs; shortcuts along the chains, composed by doubling, keep
+the number of rounds logarithmic in their length. Cells are parsed once.
 
 Defined results
     A cell is a measurement if it is a number, a number with a known unit, several of these in a row, an ISO-8601
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
-from crawlquarry.plans.sized import small, written
+from crawlquarry.plans.sized import released, small, written
 
 #: Spellings of units (lower case, without a final point), by measure.
 SPELLINGS: dict[str, dict[str, list[str]]] = {
@@ -112,16 +113,16 @@ def observations(urls: DataFrame, audits: DataFrame, scale: DataFrame) -> DataFr
             F.struct(F.lit(measure).alias("field_name"), plain.cast("decimal(28,9)").alias("plain"), value.cast("decimal(38,9)").alias("value"), F.when(value.isNotNull(), unit).alias("written_in"), own.alias("own"))
         )
     page = F.lower(F.regexp_replace(X.trimmed(F.col("url")), r"(?i)^https?://(www\.)?|/+$", ""))
-    return rows.select("ord", "audit_id", "project_id", page.alias("page"), F.inline(F.array(*parts)))
+    # pages are only compared for equality
+    return rows.select("ord", "audit_id", "project_id", F.xxhash64(F.coalesce(page, F.lit(""))).alias("page"), F.inline(F.array(*parts)))
 
 
 class Units:
     """The unit of the plain numbers of each source (audit and measure), and the values in common units."""
 
-    def __init__(self, urls: DataFrame, audits: DataFrame, scale: DataFrame, rounds: int = 20):
+    def __init__(self, urls: DataFrame, audits: DataFrame, scale: DataFrame):
         self.conversions = _units(scale)
-        self.rounds = rounds
-        self.seen = observations(urls, audits, scale)
+        self.seen = written(observations(urls, audits, scale))
         self.links = written(self._links())
         self.sources = written(self._sources())
 
@@ -133,16 +134,23 @@ class Units:
         tenths = [k / 10 for k in range(1, 10)]
         # one row per page and source: a page that is repeated a million times is one observation of its source, and all
         # that follows reads this table instead of the cells
-        page = some.groupBy("project_id", F.coalesce("page", F.lit("")).alias("page"), "field_name", "audit_id").agg(F.avg("p").alias("p"), F.avg("v").alias("v"), F.avg(F.col("o") - F.col("p")).alias("o"))
+        page = some.groupBy("project_id", "page", "field_name", "audit_id").agg(F.avg("p").alias("p"), F.avg("v").alias("v"), F.avg(F.col("o") - F.col("p")).alias("o"))
         page = written(page)
-        own = page.where("o is not null").groupBy("field_name", F.col("audit_id").alias("a")).agg(F.count("*").alias("n"), med("o").alias("scale")).select("field_name", "a", F.lit(None).cast("string").alias("b"), F.lit("row").alias("kind"), "n", "scale")
+        def link(pairs: DataFrame, keys: list[str], kind: str, x: Column, y: Column) -> DataFrame:
+            """The robust scale of log values y over x, and what then remains between the medians, relative to y's."""
+            got = pairs.groupBy(*keys).agg(F.count("*").alias("n"), med(y - x).alias("scale"), med(x).alias("_x"), med(y).alias("_y"))
+            b = F.col("b") if "b" in keys else F.lit(None).cast("string").alias("b")
+            return got.select("field_name", "a", b, F.lit(kind).alias("kind"), "n", "scale", (1 - F.pow(F.lit(10.0), F.col("scale") + F.col("_x") - F.col("_y"))).alias("offset"))
+
+        source = F.col("audit_id").alias("a")
+        own = link(page.where("o is not null").select("field_name", source, "p", "o"), ["field_name", "a"], "row", F.col("p"), F.col("o") + F.col("p"))
         star = page.groupBy("project_id", "page", "field_name").agg(F.avg("v").alias("anchor")).where("anchor is not null").join(page.where("p is not null"), ["project_id", "page", "field_name"])
-        star = star.groupBy("field_name", F.col("audit_id").alias("a")).agg(F.count("*").alias("n"), med(F.col("anchor") - F.col("p")).alias("scale")).select("field_name", "a", F.lit(None).cast("string").alias("b"), F.lit("page").alias("kind"), "n", "scale")
+        star = link(star.select("field_name", source, "p", "anchor"), ["field_name", "a"], "page", F.col("p"), F.col("anchor"))
         w = Window.partitionBy("project_id", "page", "field_name").orderBy("audit_id")
-        chain = page.where("p is not null").select("field_name", F.col("audit_id").alias("a"), F.col("p").alias("x"), F.lead("audit_id").over(w).alias("b"), F.lead("p").over(w).alias("y")).where("b is not null")
-        chain = chain.groupBy("field_name", "a", "b").agg(F.count("*").alias("n"), med(F.col("y") - F.col("x")).alias("scale")).select("field_name", "a", "b", F.lit("page").alias("kind"), "n", "scale")
-        back = chain.select("field_name", F.col("b").alias("a"), F.col("a").alias("b"), "kind", "n", (-F.col("scale")).alias("scale"))
-        exact = own.unionByName(star).unionByName(chain).unionByName(back).withColumn("offset", F.lit(None).cast("double"))
+        chain = page.where("p is not null").select("field_name", source, F.col("p").alias("x"), F.lead("audit_id").over(w).alias("b"), F.lead("p").over(w).alias("y")).where("b is not null")
+        chain = written(link(chain, ["field_name", "a", "b"], "page", F.col("x"), F.col("y")))
+        back = chain.select("field_name", F.col("b").alias("a"), F.col("a").alias("b"), "kind", "n", (-F.col("scale")).alias("scale"), (1 - 1 / (1 - F.col("offset"))).alias("offset"))
+        exact = own.unionByName(star).unionByName(chain).unionByName(back)
         # deciles of plain against known values: of the audit itself, of its project, of everything
         deciles = lambda df, keys: df.groupBy(*keys).agg(F.percentile_approx("p", tenths, 200).alias("px"), F.count("p").alias("np"), F.percentile_approx("v", tenths, 200).alias("vx"), F.count("v").alias("nv"))
         by_audit = written(deciles(page, ["field_name", "project_id", "audit_id"]))
@@ -184,9 +192,10 @@ class Units:
         vote = direct.groupBy("field_name", "a", "rank", "kind", "unit").agg(F.sum("n").alias("n"))
         fixed = vote.groupBy("field_name", "a").agg(F.min(F.struct("rank", (-F.col("n")).alias("m"), "unit", "kind")).alias("best")).select("field_name", F.col("a").alias("audit_id"), "best.unit", "best.kind", (-F.col("best.m")).alias("n"), "best.rank")
         known = written(fixed)
-        between = written(links.where("b is not null").select("field_name", "a", "b", "scale", "n", "rank"))
-        for _ in range(self.rounds):
-            # a neighbour's unit times the scale between the two; it replaces only weaker evidence, so this ends
+        between = links.where("b is not null").select("field_name", "a", "b", self._ratio(F.col("field_name"), F.col("scale")).alias("scale"), "n", "rank")
+        between = self._shortened(written(between))
+        while True:
+            # a neighbour's unit times the scale between the two; it replaces only weaker evidence: ranks fall, so this ends
             near = between.join(known.select("field_name", F.col("audit_id").alias("b"), F.col("unit").alias("b_unit"), F.col("rank").alias("b_rank")), ["field_name", "b"])
             near = near.withColumn("unit", self._snapped(F.col("field_name"), F.col("scale") + self._logs(F.col("field_name"), F.col("b_unit")))).withColumn("rank", F.greatest(F.col("rank"), F.col("b_rank")))
             votes = near.where("unit is not null").groupBy("field_name", "a", "rank", "unit").agg(F.sum("n").alias("n"))
@@ -194,10 +203,35 @@ class Units:
             merged = nodes.join(known, ["field_name", "audit_id"], "left").join(told.withColumnRenamed("a", "audit_id"), ["field_name", "audit_id"], "left")
             take = F.col("t").isNotNull() & (F.col("unit").isNull() | (F.col("t.rank") < F.col("rank")))
             after = written(merged.select("field_name", "audit_id", F.when(take, F.col("t.unit")).otherwise(F.col("unit")).alias("unit"), F.when(take, "link").otherwise(F.col("kind")).alias("kind"), F.when(take, -F.col("t.m")).otherwise(F.col("n")).alias("n"), F.when(take, F.col("t.rank")).otherwise(F.col("rank")).alias("rank"), take.alias("changed")))
+            released(known)
             known = after.drop("changed")
             if after.where("changed").isEmpty():
-                break
-        return known.where("unit is not null").select("field_name", "audit_id", "unit", "kind", "n")
+                return known.where("unit is not null").select("field_name", "audit_id", "unit", "kind", "n")
+
+    def _ratio(self, measure: Column, log_scale: Column) -> Column:
+        """The known ratio of two units nearest to a scale between sources, as a logarithm: such scales compose exactly."""
+        best = F.lit(None).cast("double")
+        for m, us in self.conversions.items():
+            logs = [math.log10(num / den) for num, den, _ in us.values()]
+            options = F.array(*[F.struct(F.abs(log_scale - r).alias("d"), F.lit(r).alias("r")) for r in sorted({x - y for x in logs for y in logs})])
+            best = F.when(measure == m, F.array_min(options)["r"]).otherwise(best)
+        return best
+
+    def _shortened(self, between: DataFrame) -> DataFrame:
+        """The links, and shortcuts: from each source the best link to a source before it and the best to one behind it, by
+        id, are followed 2, 4, 8 ... steps. Both point one way, so they end after as many doublings as the longest has
+        bits."""
+        out = between
+        for ahead in (False, True):
+            best = between.where(F.col("b") > F.col("a") if ahead else F.col("b") < F.col("a")).groupBy("field_name", "a").agg(F.min(F.struct("rank", (-F.col("n")).alias("m"), "b", "scale")).alias("l"))
+            hop = best.select("field_name", "a", "l.b", "l.scale", (-F.col("l.m")).alias("n"), "l.rank")
+            while True:
+                onward = hop.select("field_name", F.col("a").alias("b"), F.col("b").alias("c"), F.col("scale").alias("s2"), F.col("n").alias("n2"), F.col("rank").alias("r2"))
+                hop = written(hop.join(onward, ["field_name", "b"]).select("field_name", "a", F.col("c").alias("b"), (F.col("scale") + F.col("s2")).alias("scale"), F.least("n", "n2").alias("n"), F.greatest("rank", "r2").alias("rank")))
+                if hop.isEmpty():
+                    break
+                out = out.unionByName(hop)
+        return out
 
     def values(self) -> DataFrame:
         """(ord, audit_id, field_name, unit, common_value): every cell in common units; ``unit`` is the one it was

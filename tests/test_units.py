@@ -43,3 +43,19 @@ def test_unknown_audit_and_empty(spark):
     assert values(build(spark, [], [])) == {}
     u = build(spark, [(1, None, None, None, "12", "3"), (2, "lost", "u", None, "1,200", "x" * 1000), (2, "lost", "u", None, "1,200", None)], [])
     assert values(u) == {(1, "response_time_ms"): 12, (1, "title_length"): 3, (2, "response_time_ms"): 1200, (2, "title_length"): None}
+
+
+def test_chains_of_any_length(spark):
+    """Sixty audits of which only the first says its unit; each shares pages with the next alone, and the values drift so
+    far that deciles mislead."""
+    urls, n = [], 0
+    for k in range(60):
+        for page in range(k * 4, k * 4 + 8):
+            ms = 100 * 1.3 ** (page / 4) * (1 + page % 3 / 50)
+            cell = f"{ms:.3f} ms" if k == 0 else f"{ms / 1000:.6f}" if k % 2 else f"{ms:.3f}"
+            urls.append((n, f"A{k:03}", f"https://x.test/{page}", None, cell, None))
+            n += 1
+    u = build(spark, urls, [(f"A{k:03}", "p", None) for k in range(60)])
+    unit = {r.audit_id: r.unit for r in u.sources.collect()}
+    assert unit == {f"A{k:03}": "s" if k % 2 else "ms" for k in range(1, 60)}
+    assert u.links.where("kind = 'page' and (offset is null or abs(offset) > 0.2)").isEmpty()
