@@ -3,7 +3,8 @@
 Every file gets a schema whose columns are tagged unions: per column the number of cells of each kind that occurs in it
 (integer, decimal, text, blank). Such schemas are fused by adding counts, so they are built by partial aggregation over
 all files in parallel. Consecutive schemas of a series are then compared: columns that appear or go, alternatives that
-appear, and renames, which are found by the values that the gone and the new column hold for the same addresses.
+appear, and renames, which are found by the values that the gone and the new column hold for the same addresses. In the
+common table a column whose cells conflict is split into typed branches beside its canonical value.
 
 Defined results
     Headers meet without byte-order mark, trimmed, with single spaces and in lower case; of equal headers in a file the
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
+from crawlquarry.operators.components import components
 from crawlquarry.plans.sized import small, written
 from crawlquarry.schema import COLUMNS, SQL_TYPES
 
@@ -48,11 +50,10 @@ def timeline(files: DataFrame) -> DataFrame:
 def unions(rows: DataFrame) -> DataFrame:
     """(file_id, pos, n_integer, n_decimal, n_text, n_blank, n_address, kind): the tagged union of each column."""
     cell = F.coalesce(X.trimmed(F.col("cell")), F.lit(""))
-    counted = rows.select("file_id", F.posexplode("cells").alias("pos", "cell")).groupBy("file_id", "pos").agg(
-        F.count_if(cell.rlike(INTEGER)).alias("n_integer"), F.count_if(cell.rlike(DECIMAL)).alias("n_decimal"),
-        F.count_if((cell != "") & ~cell.rlike(INTEGER) & ~cell.rlike(DECIMAL)).alias("n_text"), F.count_if(cell == "").alias("n_blank"),
-        F.count_if(cell.rlike("(?i)^https?://")).alias("n_address"),
-    )
+    tagged = rows.select("file_id", F.posexplode("cells").alias("pos", "cell")).select("file_id", "pos", cell.alias("cell"))
+    tagged = tagged.select("file_id", "pos", F.when(F.col("cell") == "", 0).when(F.col("cell").rlike(INTEGER), 1).when(F.col("cell").rlike(DECIMAL), 2).when(F.lower(F.left("cell", F.lit(8))).rlike("^https?://"), 4).otherwise(3).alias("tag"))
+    n = lambda *tags: F.count_if(F.col("tag").isin(*tags))
+    counted = tagged.groupBy("file_id", "pos").agg(n(1).alias("n_integer"), n(2).alias("n_decimal"), n(3, 4).alias("n_text"), n(0).alias("n_blank"), n(4).alias("n_address"))
     return counted.withColumn("kind", F.when(F.col("n_text") > 0, "text").when(F.col("n_decimal") > 0, "decimal").when(F.col("n_integer") > 0, "integer"))
 
 
@@ -89,24 +90,29 @@ class Drift:
         )
         at = self.schemas.select("file_id", "name", "pos", "is_address")
         key = at.where("is_address").select("file_id", F.col("pos").alias("key_pos"))
-        look = wanted.join(at, ["file_id", "name"]).join(key, "file_id").groupBy("file_id", "pair", "old", "key_pos").agg(F.collect_list(F.struct("name", "pos")).alias("cols"))
-        # bounded by the headers of a file; the empty name marks that the address is there at all
-        cells = self.rows.join(small(written(look)), "file_id").select(
-            "pair", "old", X.trimmed(F.get("cells", F.col("key_pos"))).alias("address"),
-            F.explode(F.concat(F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("v"))), F.transform("cols", lambda c: F.struct(c["name"].alias("name"), canonical(F.get("cells", c["pos"])).alias("v"))))).alias("c"),
-        )
-        long = cells.where("address <> '' and c.v is not null").select("pair", "old", "address", "c.name", "c.v").distinct()
+        named = written(wanted.join(at.drop("is_address"), ["file_id", "name"]).join(key, "file_id"))
+        look = named.groupBy("file_id", "pair", "old", "key_pos").agg(F.collect_list("pos").alias("cols"))  # bounded by the headers of a file
+        # only cells of moved columns leave the scan, and of them only hashes; place -1 says that the address is there at all
+        cells = self.rows.join(small(written(look)), "file_id").select("pair", "old", X.trimmed(F.get("cells", F.col("key_pos"))).alias("address"), "cells", "cols").where("address <> ''")
+        cells = cells.select("pair", "old", F.xxhash64("address").alias("address"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("v"))), F.transform("cols", lambda c: F.struct(c.alias("pos"), canonical(F.get("cells", c)).alias("v"))))).alias("c"))
+        long = cells.where("c.v is not null").select("pair", "old", "address", "c.pos", F.xxhash64("c.v").alias("v")).repartition("pair", "address").distinct()
+        # one shuffle by (pair, address) serves all that follows, down to the counts
         there = Window.partitionBy("pair", "address")
-        common = long.select("*", F.max("old").over(there).alias("in_old"), F.min("old").over(there).alias("in_new")).where("in_old and not in_new and name <> ''").drop("in_old", "in_new")
-        common = written(common)
-        filled = common.groupBy("pair", "old", "name").agg(F.count_distinct("address").alias("n"))
-        old, new = (common.where(F.col("old") == F.lit(o)).select("pair", "address", "v", F.col("name").alias(n)) for o, n in ((True, "old_name"), (False, "new_name")))
-        hits = old.join(new, ["pair", "address", "v"]).groupBy("pair", "old_name", "new_name").agg(F.count_distinct("address").alias("hits"))
+        common = long.select("*", F.max("old").over(there).alias("in_old"), F.min("old").over(there).alias("in_new")).where("in_old and not in_new and pos >= 0").drop("in_old", "in_new")
+        filled = common.select("pair", "address", "old", "pos").distinct().groupBy("pair", "old", "pos").agg(F.count("*").alias("n"))
+        sides = common.groupBy("pair", "address", "v").agg(F.collect_set(F.when(F.col("old"), F.col("pos"))).alias("o"), F.collect_set(F.when(~F.col("old"), F.col("pos"))).alias("n"))  # bounded by the headers of a file
+        hits = sides.where((F.size("o") > 0) & (F.size("n") > 0)).select("pair", "address", F.explode("o").alias("o_pos"), "n").select("pair", "address", "o_pos", F.explode("n").alias("n_pos")).distinct()
+        hits = hits.groupBy("pair", "o_pos", "n_pos").agg(F.count("*").alias("hits"))
+        both = written(hits.select("pair", "o_pos", "n_pos", "hits").unionByName(filled.where("old").select("pair", F.col("pos").alias("o_pos"), F.lit(None).cast("int").alias("n_pos"), F.col("n").alias("hits"))).unionByName(filled.where("not old").select("pair", F.lit(None).cast("int").alias("o_pos"), F.col("pos").alias("n_pos"), F.col("n").alias("hits"))))
+        name = lambda old, n: named.where("old" if old else "not old").select("pair", F.col("pos").alias(f"{n[0]}_pos"), F.col("name").alias(n))
         scored = (
-            hits.join(filled.where("old").select("pair", F.col("name").alias("old_name"), F.col("n").alias("n_old")), ["pair", "old_name"])
-            .join(filled.where("not old").select("pair", F.col("name").alias("new_name"), F.col("n").alias("n_new")), ["pair", "new_name"])
+            both.where("o_pos is not null and n_pos is not null")
+            .join(both.where("n_pos is null").select("pair", "o_pos", F.col("hits").alias("n_old")), ["pair", "o_pos"])
+            .join(both.where("o_pos is null").select("pair", "n_pos", F.col("hits").alias("n_new")), ["pair", "n_pos"])
             .withColumn("share", F.col("hits") / F.greatest("n_old", "n_new"))
             .where("share > 0.5")
+            .join(name(True, "old_name"), ["pair", "o_pos"])
+            .join(name(False, "new_name"), ["pair", "n_pos"])
         )
         by_old = Window.partitionBy("pair", "old_name").orderBy(F.desc("share"), "new_name")
         by_new = Window.partitionBy("pair", "new_name").orderBy(F.desc("share"), "old_name")
@@ -140,27 +146,23 @@ class Drift:
 
     def lineage(self) -> DataFrame:
         """(series_id, name, field): the constant column that a header of a series means. Headers that were renamed into
-        each other are one column; it is the known column that any of them names, else it has its first header's name.
-        Found by halving paths over the (series, header) links, which are metadata of the files."""
+        each other are one column; it is the known column that any of them names, else it has its first header's name."""
         first = self.schemas.groupBy("series_id", "name").agg(F.min("seq").alias("since"))
         known = F.coalesce(*[F.when(F.col("name").isin(*names), F.lit(k)) for k, (_, names) in COLUMNS.items()])
-        rank = F.struct(known.isNull().alias("u"), F.col("since").alias("s"), F.coalesce(known, F.col("name")).alias("f"))
-        label = first.select("series_id", "name", rank.alias("best"))
-        link = self.renames.join(self.files.select("file_id", "series_id"), "file_id").select("series_id", F.col("old_name").alias("a"), F.col("new_name").alias("b"))
-        link = written(link.unionByName(link.select("series_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        label = written(label)
-        while True:
-            near = link.join(label.withColumnRenamed("name", "b"), ["series_id", "b"]).select("series_id", F.col("a").alias("name"), "best")
-            better = written(label.withColumn("own", F.lit(1)).unionByName(near.withColumn("own", F.lit(0))).groupBy("series_id", "name").agg(F.min("best").alias("best"), F.max_by("best", "own").alias("was")))
-            label = better.drop("was")
-            if better.where("best <> was").isEmpty():
-                return label.select("series_id", "name", F.col("best.f").alias("field"))
+        node = F.struct("series_id", known.isNull().alias("u"), F.col("since").alias("s"), F.coalesce(known, F.col("name")).alias("f"), "name")
+        label = written(first.select("series_id", "name", node.alias("node")))
+        link = self.renames.join(self.files.select("file_id", "series_id"), "file_id").select("series_id", "old_name", "new_name")
+        for old in ("old_name", "new_name"):
+            link = link.join(label.select("series_id", F.col("name").alias(old), F.col("node").alias("a" if old == "old_name" else "b")), ["series_id", old])
+        least = components(link.select("a", "b"))
+        return label.join(least, "node", "left").select("series_id", "name", F.coalesce("least.f", "node.f").alias("field"))
 
     def table(self, constant: tuple[str, ...] = ("url", "status_code", "title", "inlinks", "outlinks", "word_count", "crawl_depth", "indexability", "in_sitemap", "meta_description", "h1")) -> DataFrame:
         """All rows of all files in one table: file_id, series_id, row_no, the constant columns in constant types, for
         each of them the tag of the branch that the cell was read from (``<column>_as``), and ``extra`` for the rest.
-        A cell that has no canonical value of the column's type is null there, with tag ``text`` and its text in
-        ``unread``."""
+        Columns of whole numbers have their branches beside them: ``<column>_integer``, ``_decimal`` and ``_text`` hold
+        the cell as it was written, by its tag. A cell that has no exact canonical value of the column's type (12.7 isn't
+        a whole number) is null there and has its text in ``unread``."""
         col = self.schemas.join(self.lineage(), ["series_id", "name"])
         w = Window.partitionBy("file_id", "field").orderBy("pos")
         col = col.withColumn("n", F.row_number().over(w))
@@ -176,9 +178,11 @@ class Drift:
             raw = F.when(F.col(f"at_{k}").isNotNull(), X.blank_to_null(F.get("cells", F.col(f"at_{k}"))))
             tag = F.when(raw.rlike(INTEGER), "integer").when(raw.rlike(DECIMAL), "decimal").when(raw.isNotNull(), "text")
             kind = SQL_TYPES[COLUMNS[k][0]]
-            value = raw if kind == "string" else canonical(raw).try_cast("decimal(38,9)").try_cast("bigint") if kind == "int" else canonical(raw).try_cast(kind)
+            value = raw if kind == "string" else canonical(raw).try_cast("bigint" if kind == "int" else kind)
             value = X.to_indexability(raw) if COLUMNS[k][0] == "indexability" else value
             out += [value.alias(k), tag.alias(f"{k}_as")]
+            if kind == "int":
+                out += [F.when(tag == "integer", raw.try_cast("bigint")).alias(f"{k}_integer"), F.when(tag == "decimal", raw.try_cast("double")).alias(f"{k}_decimal"), F.when(tag == "text", raw).alias(f"{k}_text")]
             unread.append(F.when(value.isNull() & raw.isNotNull(), F.struct(F.lit(k).alias("k"), raw.alias("v"))))
         rest = F.transform("others", lambda c: F.struct(c["name"].alias("k"), X.blank_to_null(F.get("cells", c["pos"])).alias("v")))
         return rows.select(

@@ -48,3 +48,22 @@ def test_canonical(spark):
     cells = ["HTTP/301", " 301 ", "301.0", "1,234", "12+", "404 Not Found", "Yes", "Tent 12, deal", "", None, "0.50"]
     got = spark.createDataFrame([(c,) for c in cells], "c string").select(D.canonical(F.col("c")).alias("v")).collect()
     assert [r.v for r in got] == ["301", "301", "301", "1234", "12", "404", "true", "tent 12, deal", None, None, "0.5"]
+
+
+def test_conflicts_are_split_into_branches(spark):
+    cells = ["12", "12.0", "12.7", "+5", "1,200", "12 words", "many", "", None, "99999999999999999999"]
+    files = [(1, "s", 1, ["Address", "Word Count"])]
+    d = drifted(spark, files, [(1, n, [f"https://a.test/{n}", c]) for n, c in enumerate(cells)])
+    got = {r.row_no: r for r in d.table().collect()}
+    assert [got[n].word_count for n in range(len(cells))] == [12, 12, None, 5, 1200, 12, None, None, None, None]
+    assert [got[n].word_count_as for n in range(len(cells))] == ["integer", "decimal", "decimal", "integer", "text", "text", "text", None, None, "integer"]
+    assert {n: r.unread for n, r in got.items() if r.unread} == {2: {"word_count": "12.7"}, 6: {"word_count": "many"}, 9: {"word_count": "99999999999999999999"}}
+    assert (got[0].word_count_integer, got[2].word_count_decimal, got[5].word_count_text, got[5].word_count_integer) == (12, 12.7, "12 words", None)
+
+
+def test_long_lines_of_renames_are_one_column(spark):
+    n = 40
+    files = [(k, "s", k, ["Address", f"Name {k}"]) for k in range(n)] + [(100 + k, "t", k, ["Address", ["Title 1", "Heading", "Title 1"][k]]) for k in range(3)]
+    rows = [(k, i, [u, f"v{i}"]) for k in [*range(n), 100, 101, 102] for i, u in enumerate(U)]
+    got = {(r.series_id, r.name): r.field for r in drifted(spark, files, rows).lineage().collect()}
+    assert {f for (s, name), f in got.items() if s == "s" and name != "address"} == {"name 0"} and got["t", "heading"] == "title"
