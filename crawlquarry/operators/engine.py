@@ -1,8 +1,10 @@
 """Rules over any number of audits at once: matches, issues, links and scores.
 
-Row rules are one scan: the hits of a page are an array that is exploded once, without a shuffle. The redirect rule joins
-only pages that redirect, the group rules aggregate only eligible pages and join their groups back, so that no null key
-and no page without interest is ever shuffled. Every frame carries ``audit_id``: one audit and a million are one plan.
+Issues are counted in one scan and two shuffles: each page becomes one entry with a bit per row rule and an entry per text
+that group rules compare and per redirect; entries are combined by (audit, rule, text) before they move, then by audit.
+Matches need the pages themselves: row rules are one scan and one explode without a shuffle, the entries of group and
+redirect rules are written once and joined to their counts, and adaptive execution splits a text that a third of all
+pages share. Every frame carries ``audit_id``: one audit and a million are one plan.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
 from crawlquarry.operators.rules import CATALOGUE, RECORD, Rule, flagged, metadata, usable
+from crawlquarry.plans.sized import written
 
 LINKS_PER_ISSUE = 2000
 #: Weights of severities, and the formula's constants.
@@ -50,6 +53,18 @@ def _hit(rule: Rule) -> Column:
     return F.when(rule.when(), F.struct(F.lit(rule.key).alias("rule_key"), rule.evidence().alias("evidence")))
 
 
+def _keyed(rules: list[Rule], struct) -> Column:
+    """An array of what group and redirect rules look up: ``struct(rule, key, member)`` of the texts of a group, of the
+    target of a redirect, and (no member) of pages that redirect themselves."""
+    out = []
+    for n, r in enumerate(rules):
+        if r.kind == "group":
+            out.append(F.when(r.when(), struct(n, F.lower(X.trimmed(F.col(r.group))), True)))
+        elif r.kind == "redirect":
+            out += [F.when(r.when(), struct(n, F.col("redirect_url"), True)), F.when(F.col("status_code").between(300, 399), struct(n, F.col("url"), False))]
+    return F.array_compact(F.array(*out))
+
+
 def matches(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(audit_id, rule_key, url, evidence, group_ord, ord): every hit. ``(group_ord, ord)`` is the order of hits of a
     rule: that of the pages, for groups by their first member."""
@@ -60,26 +75,45 @@ def matches(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         # the array in a projection of its own, which compiles; only hits are exploded
         hit = pages.select("audit_id", "url", "ord", F.array(*map(_hit, rows)).alias("hits")).select("audit_id", "url", "ord", F.inline(F.array_compact("hits")))
         parts.append(hit.select("audit_id", "rule_key", "url", "evidence", F.col("ord").alias("group_ord"), "ord"))
-    for r in rules:
-        if r.kind == "redirect":
-            start = pages.where(r.when()).select("audit_id", "url", "ord", "redirect_url", r.evidence().alias("evidence"))
-            to = pages.where(F.col("status_code").between(300, 399)).select("audit_id", F.col("url").alias("redirect_url"), F.lit(True).alias("again"))
-            hit = start.join(to, ["audit_id", "redirect_url"], "left").where(F.col("again") | (F.col("redirect_url") == F.col("url")))
-            parts.append(hit.select("audit_id", F.lit(r.key).alias("rule_key"), "url", "evidence", F.col("ord").alias("group_ord"), "ord"))
-        elif r.kind == "group":
-            member = pages.where(r.when()).select("audit_id", "url", "ord", F.lower(X.trimmed(F.col(r.group))).alias("same"))
-            many = member.groupBy("audit_id", "same").agg(F.count("*").alias("n"), F.min("ord").alias("group_ord")).where("n > 1")
-            hit = member.join(many, ["audit_id", "same"])
-            parts.append(hit.select("audit_id", F.lit(r.key).alias("rule_key"), "url", F.col("n").cast("string").alias("evidence"), "group_ord", "ord"))
+    if looked := [r for r in rules if r.kind != "row"]:
+        struct = lambda n, key, member: F.struct(F.lit(n).alias("rule"), key.alias("key"), F.lit(member).alias("member"))
+        entry = written(pages.select("audit_id", "url", "ord", F.inline(_keyed(looked, struct))))
+        count = entry.groupBy("audit_id", "rule", "key").agg(F.count_if("member").alias("n"), F.min(F.when(F.col("member"), F.col("ord"))).alias("first"), F.max(~F.col("member")).alias("again"))
+        both = entry.where("member").join(count, ["audit_id", "rule", "key"]).withColumn("redirect_url", F.col("key"))
+        pick = lambda of: F.coalesce(*[F.when(F.col("rule") == n, of(r)) for n, r in enumerate(looked)])
+        hit = both.where(pick(lambda r: F.col("n") > 1 if r.kind == "group" else F.col("again") | (F.col("key") == F.col("url"))))
+        parts.append(hit.select("audit_id", pick(lambda r: F.lit(r.key)).alias("rule_key"), "url", pick(Rule.evidence).alias("evidence"), pick(lambda r: F.col("first" if r.kind == "group" else "ord")).alias("group_ord"), "ord"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _described(counted: DataFrame, rules: list[Rule] | None) -> DataFrame:
+    pct = F.when(F.col("total") > 0, X.rounded(F.col("affected") / F.col("total") * 100, tenths=True)).otherwise(0.0)
+    return counted.join(F.broadcast(metadata(counted.sparkSession, rules)), "rule_key").withColumn("pct", pct)  # 25 rows
+
+
 def issues(hits: DataFrame, pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One row per audit and rule with hits: metadata, affected, total, pct (of the audit's pages)."""
     counted = hits.groupBy("audit_id", "rule_key").agg(F.count("*").alias("affected"))
-    total = pages.groupBy("audit_id").agg(F.count("*").alias("total"))
-    pct = F.when(F.col("total") > 0, X.rounded(F.col("affected") / F.col("total") * 100, tenths=True)).otherwise(0.0)
-    return counted.join(total, "audit_id").join(F.broadcast(metadata(hits.sparkSession, rules)), "rule_key").withColumn("pct", pct)  # 25 rows
+    return _described(counted.join(pages.groupBy("audit_id").agg(F.count("*").alias("total")), "audit_id"), rules)
+
+
+def summarized(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The issues of pages as :func:`issues` has them, counted in one scan without listing the hits."""
+    rules = usable(pages.sparkSession, rules or CATALOGUE)
+    rows, looked = [r for r in rules if r.kind == "row"], [r for r in rules if r.kind != "row"]
+    struct = lambda n, key, member: F.struct(F.lit(n).alias("rule"), key.alias("key"), F.lit(0).cast("long").alias("bits"), F.lit(member).alias("member"), (F.lit(member) & (key == F.col("url"))).alias("own"))
+    bits = reduce(Column.bitwiseOR, [F.when(r.when(), F.lit(1 << n)).otherwise(F.lit(0)).cast("long") for n, r in enumerate(rows)], F.lit(0).cast("long"))
+    page = F.array(F.struct(F.lit(-1).alias("rule"), F.lit(None).cast("string").alias("key"), F.col("_bits").alias("bits"), F.lit(True).alias("member"), F.lit(False).alias("own")))
+    entry = flagged(pages).withColumn("_bits", bits).select("audit_id", F.inline(F.concat(page, _keyed(looked, struct))))
+    hits = [F.count_if(F.col("bits").bitwiseAND(F.lit(1 << n)) != 0).alias(f"h{n}") for n in range(len(rows))]
+    group = entry.groupBy("audit_id", "rule", "key").agg(F.count_if("member").alias("n"), F.count_if("own").alias("own"), F.max(~F.col("member")).alias("again"), *hits)
+    found = [F.sum(f"h{n}").alias(f"h{n}") for n in range(len(rows))]
+    for n, r in enumerate(looked):
+        of_key = F.when(F.col("n") > 1, F.col("n")) if r.kind == "group" else F.when(F.col("again"), F.col("n")).otherwise(F.col("own"))
+        found.append(F.sum(F.when(F.col("rule") == n, of_key)).alias(f"k{n}"))
+    audit = group.groupBy("audit_id").agg(F.sum(F.when(F.col("rule") == -1, F.col("n"))).alias("total"), *found)
+    each = [F.struct(F.lit(r.key).alias("rule_key"), F.col(c).alias("affected")) for c, r in [*((f"h{n}", r) for n, r in enumerate(rows)), *((f"k{n}", r) for n, r in enumerate(looked))]]
+    return _described(audit.select("audit_id", "total", F.inline(F.filter(F.array(*each), lambda x: x["affected"] > 0))), rules)
 
 
 def ordered(found: DataFrame) -> DataFrame:
@@ -88,10 +122,23 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.withColumn("place", F.row_number().over(w))
 
 
+#: Spark limits groups before they move up to this many rows a group; beyond it the groups are cut first.
+GROUP_LIMIT, CUTS = 1000, 128
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group, with their ``place`` from 1. Few are picked before rows move; for more, each
+    group is cut into parts by a hash of its order and the first ``n`` of each part are picked, so that no task sorts a
+    whole hot group: at most ``CUTS`` times ``n`` rows of a group meet."""
+    if n > GROUP_LIMIT:
+        part = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(CUTS)))
+        rows = part.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_n") <= n).drop("_part", "_n")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
+
+
 def links(hits: DataFrame, most: int = LINKS_PER_ISSUE) -> DataFrame:
     """The first ``most`` hits of each issue: the report's feature, counts stay those of all hits."""
-    w = Window.partitionBy("audit_id", "rule_key").orderBy("group_ord", "ord")
-    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return first_of(hits, ["audit_id", "rule_key"], ["group_ord", "ord"], most)
 
 
 def penalties(found: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from html import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlquarry.operators.engine import links
+from crawlquarry.plans.sized import small, written
+from crawlquarry.schema import SEVERITIES
 
 
 def band(score: Column) -> Column:
@@ -30,6 +32,23 @@ def shortlist(placed: DataFrame, n: int = 8) -> DataFrame:
     return placed.where(F.col("severity").isin("CRITICAL", "HIGH") & (F.col("place") <= n))  # these come first in that order
 
 
+def roadmap(placed: DataFrame, n: int = 6) -> DataFrame:
+    """The first ``n`` issues of each audit and bucket of days, with their ``step`` there."""
+    w = Window.partitionBy("audit_id", "days").orderBy("place")
+    return placed.withColumn("days", bucket(F.col("priority"))).withColumn("step", F.row_number().over(w)).where(F.col("step") <= n)
+
+
+def issue_pages(hits: DataFrame, pages: DataFrame, n: int = 200) -> DataFrame:
+    """From issues to pages: the first ``n`` pages of each issue with what is stored of them."""
+    return links(hits, n).select("audit_id", "rule_key", "place", "url").join(pages.select("audit_id", "url", "status_code", "title"), ["audit_id", "url"])
+
+
+def page_issues(hits: DataFrame, found: DataFrame) -> DataFrame:
+    """From pages to issues: every page with each of its issues."""
+    kinds = found.select("audit_id", "rule_key", "severity", "affected")
+    return hits.select("audit_id", "url", "rule_key").join(small(written(kinds)), ["audit_id", "rule_key"])
+
+
 def unpivoted(pages: DataFrame, columns: list[str], keys: tuple[str, ...] = ("audit_id", "url")) -> DataFrame:
     """(keys, label, value): one row per column, blanks as a dash."""
     text = lambda c: F.col(c).cast("string")
@@ -42,7 +61,7 @@ def slug(text: Column) -> Column:
 
 
 #: The columns of the report's CSV, by their names there.
-CSV_COLUMNS = {"ruleKey": "rule_key", "title": "title", "category": "category", "severity": "severity", "priority": "priority", "effort": "effort", "affectedCount": "affected", "pctAffected": "pct", "recommendation": "advice"}
+CSV_COLUMNS = {"ruleKey": "rule_key", "title": "title", "category": "category", "severity": "severity", "priority": "priority", "effort": "effort", "affectedCount": "affected", "seoImpact": "impact", "recommendation": "advice"}
 
 
 def _quoted(v: object) -> str:
@@ -61,18 +80,24 @@ def table_csv(rows: DataFrame, path: str) -> None:
 
 
 def to_html(head: dict, placed: DataFrame, sample: DataFrame) -> str:
-    """A self-contained page for ONE audit. ``head``: label, project, client, domain, date, score, pages."""
+    """A self-contained page for ONE audit: counts by severity, the shortlist, all issues with samples, the roadmap.
+    ``head``: label, project, client, domain, date, score, pages."""
     e = lambda v: escape("" if v is None else str(v), quote=True)
     urls: dict[str, list[str]] = {}
     for r in sample.orderBy("rule_key", "place").limit(1000).collect():
         urls.setdefault(r["rule_key"], []).append(r["url"])
-    score = head.get("score") or 0
-    tone = "good" if score >= 80 else "fair" if score >= 50 else "poor"
-    rows = placed.orderBy("place").limit(1000).collect()
+    score = head.get("score")
+    tone = "good" if (score or 0) >= 80 else "fair" if (score or 0) >= 50 else "poor"
+    rows = [r.asDict() for r in placed.withColumn("days", bucket(F.col("priority"))).orderBy("place").limit(1000).collect()]
+    urgent = [r for r in rows if r["severity"] in ("CRITICAL", "HIGH")]
+    counts = "".join(f"<li class='{s}'>{s}: {sum(r['severity'] == s for r in rows)}</li>" for s in SEVERITIES)
+    short = "".join(f"<li><b>{e(r['title'])}</b> ({e(r['affected'])}) {e(r.get('impact'))}</li>" for r in urgent[:8]) or "<li>None.</li>"
     body = "".join(
-        f"<section><h2>{e(r['title'])}</h2><p>{e(r['severity'])} · {e(r['priority'])} · {e(r['affected'])} ({e(r['pct'])} %)</p><p>{e(r['advice'])}</p><ul>{''.join(f'<li>{e(u)}</li>' for u in urls.get(r['rule_key'], []))}</ul></section>" for r in rows
+        f"<section><h3>{e(r['title'])}</h3><p>{e(r['severity'])} · {e(r['priority'])} · {e(r['category'])} · {e(r['affected'])} ({e(r['pct'])} %)</p><p>{e(r['advice'])}</p><ul>{''.join(f'<li>{e(u)}</li>' for u in urls.get(r['rule_key'], []))}</ul></section>" for r in rows
     )
+    plan = "".join(f"<h3>{days} days</h3><ul>{''.join(f'<li>{e(r["title"])} ({e(r["affected"])}, {e(r["effort"])})</li>' for r in rows if r['days'] == days) or '<li>Nothing.</li>'}</ul>" for days in (30, 60, 90))
     return (
         f"<!doctype html><html><head><meta charset='utf-8'><title>{e(head.get('label'))}</title></head><body><h1>{e(head.get('project'))} — {e(head.get('client'))}</h1>"
-        f"<p>{e(head.get('domain'))} · {e(head.get('date'))} · {e(head.get('pages'))}</p><p class='{tone}'>{e(score)}</p>{body}</body></html>"
+        f"<p>{e(head.get('domain'))} · {e(head.get('date'))} · {e(head.get('label'))} · {e(head.get('pages'))}</p><p class='{tone}'>{'—' if score is None else e(score)} / 100</p>"
+        f"<h2>Summary</h2><p>{len(rows)} issues, {len(urgent)} urgent.</p><ul>{counts}</ul><h2>First</h2><ul>{short}</ul><h2>Issues</h2>{body or '<p>None.</p>'}<h2>Roadmap</h2>{plan}</body></html>"
     )

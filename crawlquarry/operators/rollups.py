@@ -31,6 +31,12 @@ def latest_child(children: DataFrame, key: str, order: str, tie: str, columns: l
     return children.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, *columns)
 
 
+def latest_children(children: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` children of each parent in an order, with their ``place``; picked before rows move."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return children.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
 def severity_histogram(found: DataFrame, audits: DataFrame) -> DataFrame:
     """(audit_id, severity, n): issues by severity, zeros included."""
     all_ = audits.select("audit_id").distinct().select("audit_id", F.explode(F.array(*map(F.lit, SEVERITIES))).alias("severity"))

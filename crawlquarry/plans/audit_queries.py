@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
-from crawlquarry.operators import compare, engine, explore, merge, report, rollups
-from crawlquarry.operators.rules import CATALOGUE, flagged
+from crawlquarry.operators import compare, engine, explore, merge, persist, report, rollups
+from crawlquarry.operators.rules import CATALOGUE, EVIDENCE, flagged
 from crawlquarry.plans.fixture import FIXTURE_SQL, crawl
+from crawlquarry.plans.sized import scratch
 from crawlquarry.schema import COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,42 +69,51 @@ CRAWL_CTE = f"""pages as (select c.* exclude (ord, title_length, response_time_m
 
 HTML = "(content_type is null or content_type = '' or regexp_matches(content_type, '(?i)html'))"
 INDEXABLE = "(indexability = 'INDEXABLE')"
-RULES_SQL: dict[str, tuple[str, str]] = {
-    "INDEXABLE_NOINDEX": ("regexp_matches(meta_robots, '(?i)noindex') and status_code = 200", "meta_robots"),
-    "NON_INDEXABLE_PAGES": ("indexability = 'NON_INDEXABLE'", "indexability_status"),
-    "ORPHAN_PAGES": (f"{HTML} and {INDEXABLE} and coalesce(inlinks, 0) = 0", "'0'"),
-    "DEEP_PAGES": ("coalesce(crawl_depth, 0) > 5", "cast(crawl_depth as varchar)"),
-    "STATUS_5XX": ("coalesce(status_code, 0) >= 500", "cast(status_code as varchar)"),
-    "STATUS_4XX": ("coalesce(status_code, 0) between 400 and 499", "cast(status_code as varchar)"),
-    "BROKEN_INTERNAL_LINKS": ("coalesce(status_code, 0) >= 400 and coalesce(inlinks, 0) > 0", "cast(status_code as varchar) || ' / ' || cast(inlinks as varchar)"),
-    "REDIRECT_3XX": ("coalesce(status_code, 0) between 300 and 399", "coalesce(redirect_url, '?')"),
-    "REDIRECT_CHAIN": (f"{has('redirect_url')} and (redirect_url = url or exists (select 1 from pages q where q.audit_id = p.audit_id and q.url = p.redirect_url and q.status_code between 300 and 399))", "redirect_url"),
-    "CANONICAL_MISSING": (f"{HTML} and {INDEXABLE} and not {has('canonical')}", "null"),
-    "CANONICAL_NON_SELF": (f"{has('canonical')} and canonical <> url and {HTML}", "canonical"),
-    "META_TITLE_MISSING": (f"{HTML} and {INDEXABLE} and not {has('title')}", "null"),
-    "META_TITLE_LENGTH": (f"{HTML} and {has('title')} and title_length is not null and title_length not between 30 and 60", "cast(title_length as varchar)"),
-    "META_TITLE_DUPLICATE": (f"{HTML} and {INDEXABLE} and {has('title')}", "title"),
-    "META_DESC_MISSING": (f"{HTML} and {INDEXABLE} and not {has('meta_description')}", "null"),
-    "META_DESC_LENGTH": (f"{has('meta_description')} and meta_description_length is not null and meta_description_length not between 70 and 160", "cast(meta_description_length as varchar)"),
-    "H1_MISSING": (f"{HTML} and {INDEXABLE} and not {has('h1')}", "null"),
-    "H1_DUPLICATE": (f"{INDEXABLE} and {has('h1')}", "h1"),
-    "THIN_CONTENT": (f"{HTML} and {INDEXABLE} and word_count < 200", "cast(word_count as varchar)"),
-    "IMAGES_MISSING_ALT": ("coalesce(images_missing_alt, 0) > 0", "cast(images_missing_alt as varchar)"),
-    "HREFLANG_ERROR": ("len(list_filter(raw_issues, lambda x: regexp_matches(x, '(?i)hreflang'))) > 0", "null"),
-    "STRUCTURED_DATA_INVALID": ("len(list_filter(raw_issues, lambda x: regexp_matches(x, '(?i)structured data|schema'))) > 0", "null"),
-    "SLOW_RESPONSE": ("coalesce(response_time_ms, 0) > 1000", "cast(response_time_ms as varchar)"),
-    "INDEXABLE_NOT_IN_SITEMAP": (f"{HTML} and {INDEXABLE} and in_sitemap = false", "null"),
-    "NON_HTTPS": ("regexp_matches(url, '(?i)^http://')", "null"),
+RULES_SQL: dict[str, str] = {
+    "INDEXABLE_NOINDEX": "regexp_matches(meta_robots, '(?i)noindex') and status_code = 200",
+    "NON_INDEXABLE_PAGES": "indexability = 'NON_INDEXABLE'",
+    "ORPHAN_PAGES": f"{HTML} and {INDEXABLE} and coalesce(inlinks, 0) = 0",
+    "DEEP_PAGES": "coalesce(crawl_depth, 0) > 5",
+    "STATUS_5XX": "coalesce(status_code, 0) >= 500",
+    "STATUS_4XX": "coalesce(status_code, 0) between 400 and 499",
+    "BROKEN_INTERNAL_LINKS": "coalesce(status_code, 0) >= 400 and coalesce(inlinks, 0) > 0",
+    "REDIRECT_3XX": "coalesce(status_code, 0) between 300 and 399",
+    "REDIRECT_CHAIN": f"{has('redirect_url')} and (redirect_url = url or exists (select 1 from pages q where q.audit_id = p.audit_id and q.url = p.redirect_url and q.status_code between 300 and 399))",
+    "CANONICAL_MISSING": f"{HTML} and {INDEXABLE} and not {has('canonical')}",
+    "CANONICAL_NON_SELF": f"{has('canonical')} and canonical <> url and {HTML}",
+    "META_TITLE_MISSING": f"{HTML} and {INDEXABLE} and not {has('title')}",
+    "META_TITLE_LENGTH": f"{HTML} and {has('title')} and title_length is not null and title_length not between 30 and 60",
+    "META_TITLE_DUPLICATE": f"{HTML} and {INDEXABLE} and {has('title')}",
+    "META_DESC_MISSING": f"{HTML} and {INDEXABLE} and not {has('meta_description')}",
+    "META_DESC_LENGTH": f"{has('meta_description')} and meta_description_length is not null and meta_description_length not between 70 and 160",
+    "H1_MISSING": f"{HTML} and {INDEXABLE} and not {has('h1')}",
+    "H1_DUPLICATE": f"{INDEXABLE} and {has('h1')}",
+    "THIN_CONTENT": f"{HTML} and {INDEXABLE} and word_count < 200",
+    "IMAGES_MISSING_ALT": "coalesce(images_missing_alt, 0) > 0",
+    "HREFLANG_ERROR": "len(list_filter(raw_issues, lambda x: regexp_matches(x, '(?i)hreflang'))) > 0",
+    "STRUCTURED_DATA_INVALID": "len(list_filter(raw_issues, lambda x: regexp_matches(x, '(?i)structured data|schema'))) > 0",
+    "SLOW_RESPONSE": "coalesce(response_time_ms, 0) > 1000",
+    "INDEXABLE_NOT_IN_SITEMAP": f"{HTML} and {INDEXABLE} and in_sitemap = false",
+    "NON_HTTPS": "regexp_matches(url, '(?i)^http://')",
 }
-GROUPS = ("META_TITLE_DUPLICATE", "H1_DUPLICATE")
+
+
+def evidence_sql(key: str) -> str:
+    """A rule's evidence by its fixed format; a value that is missing makes it null, but for the target of a redirect."""
+    pieces = [x for x in re.split(r"(\{\w+\})", EVIDENCE.get(key, "")) if x]
+    one = lambda x: "coalesce(redirect_url, '?')" if x == "{redirect_url}" else f"cast({x[1:-1]} as varchar)" if x[0] == "{" else f"'{x}'"
+    return " || ".join(map(one, pieces)) or "cast(null as varchar)"
+
+
+GROUPS = {"META_TITLE_DUPLICATE": "title", "H1_DUPLICATE": "h1"}
 
 
 def hits_sql(key: str) -> str:
-    where, evidence = RULES_SQL[key]
+    where, evidence = RULES_SQL[key], evidence_sql(key)
     if key in GROUPS:
-        same = f"lower({trim(evidence)})"
-        return f"select audit_id, '{key}' as rule_key, url, cast(n as varchar) as evidence, g as group_ord, ord from (select *, count(*) over w as n, min(ord) over w as g from pages p where {where} window w as (partition by audit_id, {same})) where n > 1"
-    return f"select audit_id, '{key}' as rule_key, url, cast({evidence} as varchar) as evidence, ord as group_ord, ord from pages p where {where}"
+        same = f"lower({trim(GROUPS[key])})"
+        return f"select audit_id, '{key}' as rule_key, url, {evidence} as evidence, g as group_ord, ord from (select *, count(*) over w as n, min(ord) over w as g from pages p where {where} window w as (partition by audit_id, {same})) where n > 1"
+    return f"select audit_id, '{key}' as rule_key, url, {evidence} as evidence, ord as group_ord, ord from pages p where {where}"
 
 
 META_SQL = "meta(rule_key, rule_ord, category, severity, sev_rank, priority, effort) as (values " + ", ".join(
@@ -146,7 +157,7 @@ def crawl_rule_matches(spark, d):
 
 
 def _issues(pages: DataFrame) -> DataFrame:
-    return engine.issues(engine.matches(pages), pages)
+    return engine.summarized(pages)
 
 
 @query(with_hits(FIXTURE_CTE, ISSUES_BODY))
@@ -201,11 +212,15 @@ def coerce_int(spark, d):
     return table(spark, d, "crawled_urls").select("ord", X.to_int(F.col("title_length")).alias("title_length"), X.to_int(F.col("response_time_ms")).alias("response_time_ms"))
 
 
-@query("select event_id, event_type, case when trim(event_type) = '' then null else regexp_full_match(lower(event_type), 'true|yes|1|si|sì|click|view') end as flag from events")
+#: Spellings of booleans that orders are given in turn, each with what it means.
+BOOLEANS = {"true": True, "TRUE": True, " yes ": True, "Yes": True, "1": True, "si": True, "SÌ": True, "sì": True, "no": False, "false": False, "0": False, "x": False, "yes!": False, "": None, "  ": None}
+
+
+@query("select o_orderkey, word, flag from (select o_orderkey, o_orderkey % 16 as n from orders) left join (values " + ", ".join(f"({n}, '{w}', {str(v).lower() if v is not None else 'cast(null as boolean)'})" for n, (w, v) in enumerate(BOOLEANS.items())) + ") as t(n, word, flag) using (n)")
 def coerce_bool(spark, d):
-    """Accepted words are true, anything else that isn't blank is false; two event types stand in for the words."""
-    kind = F.col("event_type")
-    return table(spark, d, "events").select("event_id", "event_type", X.to_bool(F.when(F.lower(kind).isin("click", "view"), "yes").otherwise(kind)).alias("flag"))
+    """Accepted words are true, anything else that isn't blank is false; missing and blank are null."""
+    word = F.get(F.array(*map(F.lit, BOOLEANS)), F.expr("cast(o_orderkey % 16 as int)"))
+    return table(spark, d, "orders").select("o_orderkey", word.alias("word"), X.to_bool(word).alias("flag"))
 
 
 @query(f"select ord, case when indexability_status is null then null when regexp_matches(lower({trim('indexability_status')}), 'non[-\\s]?index') then 'NON_INDEXABLE' when contains(lower({trim('indexability_status')}), 'index') then 'INDEXABLE' else 'UNKNOWN' end as from_status, case when indexability is null then null when regexp_matches(lower(replace(indexability, '_', '-')), 'non[-\\s]?index') then 'NON_INDEXABLE' when contains(lower(indexability), 'index') then 'INDEXABLE' else 'UNKNOWN' end as from_flag from crawled_urls")
@@ -213,18 +228,6 @@ def coerce_indexability(spark, d):
     return table(spark, d, "crawled_urls").select("ord", X.to_indexability(F.col("indexability_status")).alias("from_status"), X.to_indexability(F.replace("indexability", F.lit("_"), F.lit("-"))).alias("from_flag"))
 
 
-MERGED = ["content_type", "status_code", "indexability", "title", "canonical", "meta_robots", "hreflang", "word_count", "inlinks", "structured_data", "in_sitemap"]
-_TEXT = {"content_type", "indexability", "title", "canonical", "meta_robots", "hreflang"}
-
-
-@query(
-    "select audit_id, u as url, min(ord) as ord, " + ", ".join(f"arg_min({c}, ord) filter (where {c} is not null{f' and {c} <> {chr(39) * 2}' if c in _TEXT else ''}) as {c}" for c in MERGED)
-    + f" from (select *, {trim('url')} as u from crawled_urls) where u is not null and u <> '' group by audit_id, u"
-)
-def merge_first_wins(spark, d):
-    return merge.first_wins(table(spark, d, "crawled_urls").select("audit_id", "url", "ord", *MERGED))
-
-
 #: The canonical columns of a page that crawled_urls has, in the order of the page's attributes: all but its key, and h2,
 #: which the table lacks. Its lengths and response times are texts, as recorded.
 CANONICAL = [c for c in COLUMNS if c not in ("url", "h2")]
@@ -235,8 +238,7 @@ _CANONICAL_TEXT = {c for c in CANONICAL if COLUMNS[c][0] in ("string", "indexabi
     "select audit_id, u as url, min(ord) as ord, " + ", ".join(f"arg_min({c}, ord) filter (where {c} is not null{f' and {c} <> {chr(39) * 2}' if c in _CANONICAL_TEXT else ''}) as {c}" for c in CANONICAL)
     + f" from (select *, {trim('url')} as u from crawled_urls) where u is not null and u <> '' group by audit_id, u"
 )
-def merge_first_wins_all(spark, d):
-    """All canonical columns merged, where :func:`merge_first_wins` has 11 of them."""
+def merge_first_wins(spark, d):
     return merge.first_wins(table(spark, d, "crawled_urls").select("audit_id", "url", "ord", *CANONICAL))
 
 
@@ -336,9 +338,24 @@ def url_page(spark, d):
     return explore.page(df, [*explore.ordering(df, "word_count", True), F.asc("ord")], 2, 50).select("ord", "url", "word_count")
 
 
-@query("select ord, url, crawl_depth from crawled_urls order by crawl_depth asc nulls last, ord limit 5000")
+@query(f"with {FIXTURE_CTE} select ord, url, crawl_depth from pages order by crawl_depth asc nulls last, ord limit 5000")
 def url_explorer_topk(spark, d):
-    return rollups.top(table(spark, d, "crawled_urls").select("ord", "url", "crawl_depth"), [F.col("crawl_depth").asc_nulls_last(), F.asc("ord")], 5000)
+    """The first 5000 pages by depth, a limit that the explorer has."""
+    return rollups.top(fixture(spark, d).select("ord", "url", "crawl_depth"), [F.col("crawl_depth").asc_nulls_last(), F.asc("ord")], 5000)
+
+
+@query("select ord, url, word_count from crawled_urls order by word_count desc nulls last, ord limit 50 offset (select (greatest(count(*), 1) - 1) // 50 * 50 from crawled_urls)")
+def url_page_clamped(spark, d):
+    """A page far beyond the last gives the last."""
+    df = table(spark, d, "crawled_urls")
+    return explore.page(df, [*explore.ordering(df, "word_count", True), F.asc("ord")], 10**6, 50).select("ord", "url", "word_count")
+
+
+@query("select ord, url, title from crawled_urls order by coalesce(title, '') collate de, ord limit 200 offset 400")
+def url_page_by_title(spark, d):
+    """Texts in the order of a collation, not of code points: case and accents after letters, a missing title as ''."""
+    df = table(spark, d, "crawled_urls")
+    return explore.page(df, [*explore.ordering(df, "title"), F.asc("ord")], 2, 200).select("ord", "url", "title")
 
 
 @query("select distinct cast(status_code as varchar) as value from crawled_urls where status_code is not null")
@@ -405,20 +422,13 @@ def _tasks(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.when(s == "O", "TODO").when(s == "P", "IN_PROGRESS").otherwise("DONE").alias("status"), F.when(p < "2", "P0").when(p < "3", "P1").when(p < "4", "P2").otherwise("P3").alias("priority"))
 
 
-@query("select o_orderkey as task_id, case o_orderstatus when 'O' then 'TODO' when 'P' then 'IN_PROGRESS' else 'DONE' end as status, case when o_orderpriority < '2' then 'P0' when o_orderpriority < '3' then 'P1' when o_orderpriority < '4' then 'P2' else 'P3' end as priority from orders order by case o_orderstatus when 'O' then 0 when 'P' then 1 else 3 end, case when o_orderpriority < '2' then 0 when o_orderpriority < '3' then 1 when o_orderpriority < '4' then 2 else 3 end, o_orderkey limit 500")
-def task_board(spark, d):
-    tasks = _tasks(spark, d)
-    return rollups.top(tasks, [*rollups.board(tasks), F.asc("task_id")], 500)
-
-
 STATUS_RANK = "case o_orderstatus when 'O' then 0 when 'P' then 1 else 3 end"
 PRIORITY_RANK = "case when o_orderpriority < '2' then 0 when o_orderpriority < '3' then 1 when o_orderpriority < '4' then 2 else 3 end"
 
 
 @query(f"select o_orderkey as task_id, case o_orderstatus when 'O' then 'TODO' when 'P' then 'IN_PROGRESS' else 'DONE' end as status, case when o_orderpriority < '2' then 'P0' when o_orderpriority < '3' then 'P1' when o_orderpriority < '4' then 'P2' else 'P3' end as priority, {STATUS_RANK} as status_rank, {PRIORITY_RANK} as priority_rank from orders order by status_rank, priority_rank, task_id")
-def task_board_all(spark, d):
-    """Every task in the order of the board, not the first 500 of :func:`task_board`. The ranks and the id give the order
-    to readers of unordered rows."""
+def task_board(spark, d):
+    """Every task in the order of the board. The ranks and the id give the order to readers of unordered rows."""
     tasks = _tasks(spark, d)
     status, priority = rollups.board(tasks)
     return tasks.withColumns({"status_rank": status, "priority_rank": priority}).orderBy("status_rank", "priority_rank", "task_id")
@@ -458,18 +468,115 @@ def critical_shortlist(spark, d):
     return report.shortlist(engine.ordered(_issues(imported(spark, d)))).select("audit_id", "rule_key", "severity", "place")
 
 
-ATTRIBUTES = ["content_type", "status_code", "indexability", "title", "h1", "canonical", "word_count", "crawl_depth", "inlinks", "structured_data"]
+#: The 24 attributes of a page; the table has no h2, which is then missing.
+ATTRIBUTES = [c for c in COLUMNS if c != "url"]
 
 
-@query(" union all ".join(f"select ord, '{c}' as label, case when coalesce(cast({c} as varchar), '') = '' then '—' else cast({c} as varchar) end as value from crawled_urls" for c in ATTRIBUTES))
+@query(" union all ".join(f"select ord, '{c}' as label, " + ("'—'" if c == "h2" else f"case when coalesce(cast({c} as varchar), '') = '' then '—' else cast({c} as varchar) end") + " as value from crawled_urls" for c in ATTRIBUTES))
 def url_attributes_unpivot(spark, d):
-    return report.unpivoted(table(spark, d, "crawled_urls"), ATTRIBUTES, ("ord",))
+    return report.unpivoted(table(spark, d, "crawled_urls").withColumn("h2", F.lit(None).cast("string")), ATTRIBUTES, ("ord",))
+
+
+@query(with_hits(CRAWL_CTE, f"select audit_id, rule_key, days, step from (select *, cast(row_number() over (partition by audit_id, days order by place) as int) as step from (select *, case when priority in ('P0', 'P1') then 30 when priority = 'P2' then 60 else 90 end as days from ({ISSUES_BODY}))) where step <= 6"))
+def roadmap_first(spark, d):
+    """The first six issues of each bucket of each audit's roadmap."""
+    return report.roadmap(engine.ordered(_issues(imported(spark, d)))).select("audit_id", "rule_key", "days", "step")
+
+
+@query(with_hits(CRAWL_CTE, "select t.audit_id, t.rule_key, t.url, p.status_code, p.title, cast(t.n as int) as place from (select *, row_number() over (partition by audit_id, rule_key order by group_ord, ord) as n from hits) t join pages p on p.audit_id = t.audit_id and p.url = t.url where t.n <= 200"))
+def issue_pages(spark, d):
+    """The first 200 pages of each issue, as stored."""
+    pages = imported(spark, d)
+    return report.issue_pages(engine.matches(pages), pages).select("audit_id", "rule_key", "url", "status_code", "title", "place")
+
+
+@query(with_hits(CRAWL_CTE, "select h.audit_id, h.url, h.rule_key, i.severity, i.affected from hits h join issues i on i.audit_id = h.audit_id and i.rule_key = h.rule_key"))
+def page_issues(spark, d):
+    """Every page with each of its issues."""
+    pages = imported(spark, d)
+    return report.page_issues(engine.matches(pages), _issues(pages)).select("audit_id", "url", "rule_key", "severity", "affected")
+
+
+def _stored(spark, d) -> persist.Store:
+    """All imports stored, then those that failed or whose export has another notation stored again without pages."""
+    store = persist.Store(spark, scratch(spark))
+    rows, audits = table(spark, d, "crawled_urls"), imports(spark, d)
+    store.replace(rows, audits)
+    store.replace(rows.limit(0), audits.where("locale is not null or status = 'FAILED'"))
+    return store
+
+
+EMPTIED = f"{CRAWL_CTE.replace('pages as', 'whole as', 1)}, pages as (select * from whole where audit_id in (select audit_id from audits where schedule_id is null and not (locale is not null or status = 'FAILED')))"
+
+
+@query(with_hits(EMPTIED, "select a.audit_id, 'READY' as status, cast(least(100, greatest(0, floor(100 - coalesce(sum(tenths), 0) / 10.0::double + 0.5))) as int) as score, coalesce(max(t.total), 0) as total_urls, count(i.rule_key) as issues from (select distinct audit_id from audits where schedule_id is null) a left join issues i on i.audit_id = a.audit_id left join totals t on t.audit_id = a.audit_id group by a.audit_id"))
+def persisted_headers(spark, d):
+    """Headers after a replacement that empties some audits."""
+    return _stored(spark, d).read("header").select("audit_id", "status", "score", "total_urls", F.coalesce(F.size("breakdown"), F.lit(0)).cast("long").alias("issues"))
+
+
+@query(with_hits(EMPTIED, "select audit_id, rule_key, url, evidence, cast(n as int) as place from (select *, row_number() over (partition by audit_id, rule_key order by group_ord, ord) as n from hits) where n <= 2000"))
+def persisted_links(spark, d):
+    """Links of issues after the same replacement."""
+    return _stored(spark, d).read("links").select("audit_id", "rule_key", "url", "evidence", "place")
+
+
+@query(with_hits(CRAWL_CTE, "select audit_id, rule_key, affected, cast(n as int) as place from (select *, row_number() over (partition by audit_id order by affected desc, rule_ord) as n from issues) where n <= 2"))
+def top_issues(spark, d):
+    """The two issues of each audit with most pages."""
+    return rollups.latest_children(_issues(imported(spark, d)), "audit_id", [F.desc("affected"), F.asc("rule_ord")], 2).select("audit_id", "rule_key", "affected", "place")
+
+
+@query("select project_id, audit_id, created_at, cast(n as int) as place from (select *, row_number() over (partition by project_id order by created_at desc, audit_id) as n from audits) where n <= 5")
+def project_last_audits(spark, d):
+    """The last five audits of each project."""
+    return rollups.latest_children(table(spark, d, "audits"), "project_id", [F.desc("created_at"), F.asc("audit_id")], 5).select("project_id", "audit_id", "created_at", "place")
+
+
+@query("select project_id, audit_id, audit_date, cast(row_number() over (partition by project_id order by audit_date desc, audit_id) as int) as place from audits")
+def project_audits_by_date(spark, d):
+    """All audits of each project, the newest first."""
+    w = Window.partitionBy("project_id").orderBy(F.desc("audit_date"), "audit_id")
+    return table(spark, d, "audits").select("project_id", "audit_id", "audit_date", F.row_number().over(w).alias("place"))
+
+
+#: Stages of jobs that orders are given in turn; the first six are those that a dashboard follows.
+JOB_STAGES = ["QUEUED", "RUNNING", "EXPORTING", "IMPORTING", "FAILED", "TIMEOUT", "COMPLETED", "CANCELLED"]
+
+
+@query("select o_orderkey as job_id, (['" + "', '".join(JOB_STAGES) + "'])[o_orderkey * 7 % 8 + 1] as status, o_orderdate as updated_at from orders where o_orderkey * 7 % 8 < 6 order by o_orderdate desc, o_orderkey limit 6")
+def recent_jobs(spark, d):
+    """The six jobs in one of six states that changed last."""
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.get(F.array(*map(F.lit, JOB_STAGES)), F.expr("cast(o_orderkey * 7 % 8 as int)")).alias("status"), F.col("o_orderdate").alias("updated_at"))
+    return rollups.top(jobs.where(F.col("status").isin(JOB_STAGES[:6])), [F.desc("updated_at"), F.asc("job_id")], 6)
+
+
+@query("select project_id, name, created_at from projects order by created_at, project_id limit 1")
+def oldest_project(spark, d):
+    """The project that a default falls back to."""
+    return rollups.top(table(spark, d, "projects").select("project_id", "name", "created_at"), [F.asc("created_at"), F.asc("project_id")], 1)
+
+
+@query("select audit_id, project_id, label, status from audits where audit_id = (select min(audit_id) from audits)")
+def audit_lookup(spark, d):
+    """One audit by its id."""
+    audits = table(spark, d, "audits")
+    return audits.where(F.col("audit_id") == audits.agg(F.min("audit_id")).first()[0]).select("audit_id", "project_id", "label", "status")
+
+
+@query("select o_orderkey as task_id, coalesce(nullif(case when c_custkey % 3 = 0 then null else c_name end, ''), case when c_custkey % 2 = 0 then null else lower(c_name) || '@x.test' end, '—') as assignee from orders left join (select * from customer where c_custkey % 5 <> 0) on c_custkey = o_custkey")
+def task_assignees(spark, d):
+    """Every task with its assignee's name, else address, else a dash; tasks without an assignee stay."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    people = table(spark, d, "customer").where(k % 5 != 0).select(k.alias("o_custkey"), F.when(k % 3 != 0, name).alias("name"), F.when(k % 2 != 0, F.concat(F.lower(name), F.lit("@x.test"))).alias("email"))
+    return table(spark, d, "orders").join(people, "o_custkey", "left").select(F.col("o_orderkey").alias("task_id"), F.coalesce(F.nullif("name", F.lit("")), "email", F.lit("—")).alias("assignee"))
 
 
-@query(" union all ".join(f"select ord, '{c}' as label, case when coalesce(cast({c} as varchar), '') = '' then '—' else cast({c} as varchar) end as value from crawled_urls" for c in CANONICAL))
-def url_attributes_all(spark, d):
-    """All attributes of a page that the table has, where :func:`url_attributes_unpivot` has 10 of them."""
-    return report.unpivoted(table(spark, d, "crawled_urls"), CANONICAL, ("ord",))
+@query(with_hits(CRAWL_CTE, "select i.audit_id, i.rule_key, a.label, p.name as project, coalesce(p.client_id, '—') as client from issues i join audits a on a.audit_id = i.audit_id join projects p on p.project_id = a.project_id"))
+def issue_headers(spark, d):
+    """Issues with their audit, project and client."""
+    p = table(spark, d, "projects").select("project_id", F.col("name").alias("project"), F.coalesce("client_id", F.lit("—")).alias("client"))
+    return _issues(imported(spark, d)).select("audit_id", "rule_key").join(table(spark, d, "audits").select("audit_id", "project_id", "label"), "audit_id").join(p, "project_id").drop("project_id")
 
 
 @query("select project_id, lower(regexp_replace(name, '[^A-Za-z0-9-]+', '-', 'g')) as slug, substr(cast(created_at as varchar), 1, 10) as created from projects")

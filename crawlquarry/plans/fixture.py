@@ -1,4 +1,5 @@
-"""A crawl made from the orders table by modular arithmetic, in which every rule has hits. One row per order; 40 audits."""
+"""A crawl made from the orders table by modular arithmetic, in which every rule has hits. One row per order; 40 audits, one
+of which has a third of all pages."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Valid in Spark and in the database that checks it; ``{src}`` is the orders table.
 FIXTURE_SQL = """
-select concat('a', cast(k % 40 as string)) as audit_id, k as ord,
+select case when k % 3 = 0 then 'a0' else concat('a', cast(k % 40 as string)) end as audit_id, k as ord,
   concat(case when k % 17 = 0 then 'http' else 'https' end, '://shop.test/p/', cast(k as string)) as url,
   case when k % 29 = 0 then 'application/pdf' when k % 31 = 0 then '' when k % 37 = 0 then null else 'text/HTML; charset=utf-8' end as content_type,
   cast(case when k % 97 = 0 then 503 when k % 11 = 0 then 404 when k % 7 = 0 then 301 when k % 53 = 0 then null else 200 end as int) as status_code,
@@ -17,7 +18,7 @@ select concat('a', cast(k % 40 as string)) as audit_id, k as ord,
   cast(case when k % 47 = 0 then null else k % 80 end as int) as title_length,
   case when k % 9 = 0 then '' else concat('Description of page ', cast(k as string)) end as meta_description,
   cast(k % 220 as int) as meta_description_length,
-  case when k % 21 = 0 then null when k % 12 = 0 then concat('Heading ', cast(k % 8 as string)) else concat('Heading of ', cast(k as string)) end as h1,
+  case when k % 21 = 0 then null when k % 10 = 7 then concat(' Shared HEADING ', cast(k % 8 as string)) when k % 10 = 9 then concat('shared heading ', cast(k % 8 as string), ' ') else concat('Heading of ', cast(k as string)) end as h1,
   case when k % 8 = 0 then null when k % 15 = 0 then concat('https://shop.test/p/', cast(k + 1 as string)) else concat(case when k % 17 = 0 then 'http' else 'https' end, '://shop.test/p/', cast(k as string)) end as canonical,
   case when k % 14 = 3 then 'NoIndex, follow' when k % 25 = 0 then null else 'index, follow' end as meta_robots,
   cast(case when k % 59 = 0 then null else k % 900 end as int) as word_count, cast(k % 9 as int) as crawl_depth, cast(case when k % 61 = 0 then null else k % 16 end as int) as inlinks, cast(k % 33 as int) as outlinks,
@@ -29,5 +30,7 @@ from (select o_orderkey as k from {src}) as o"""
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(FIXTURE_SQL, src=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    # made from one narrow column: spread over the cores first, however few pieces the file has
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)
+    rows = spark.sql(FIXTURE_SQL, src=keys)
     return rows.withColumn("raw_issues", F.array_compact(F.array("raw_issue"))).drop("raw_issue")

@@ -52,6 +52,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder, deleted by :func:`clean`."""
+    path = f"{shared_dir(spark)}/crawlquarry-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean)
+    _written[path] = spark
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

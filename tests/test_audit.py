@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
-from crawlquarry.operators import compare, engine, explore, merge, report, rollups
+from crawlquarry.operators import compare, engine, explore, merge, persist, report, rollups
 from crawlquarry.operators.rules import CATALOGUE, RECORD, Rule, usable
 
 FIELDS = [f.split(" ", 1)[0] for f in RECORD.split(", ")]
@@ -34,31 +34,31 @@ CASES = [
     ({"meta_robots": "noindex", "status_code": None}, set()),
     ({"indexability": "NON_INDEXABLE", "indexability_status": "x", "title": None}, {("NON_INDEXABLE_PAGES", "x")}),
     ({"indexability": None, "title": None}, set()),
-    ({"inlinks": None}, {("ORPHAN_PAGES", "0")}),
+    ({"inlinks": None}, {("ORPHAN_PAGES", "0 inlinks")}),
     ({"inlinks": 0, "content_type": "image/png"}, set()),
     ({"crawl_depth": 5}, set()),
-    ({"crawl_depth": 6}, {("DEEP_PAGES", "6")}),
-    ({"status_code": 700, "inlinks": 0, "indexability": "UNKNOWN"}, {("STATUS_5XX", "700")}),
-    ({"status_code": 404}, {("STATUS_4XX", "404"), ("BROKEN_INTERNAL_LINKS", "404 / 3")}),
-    ({"status_code": 301, "redirect_url": None}, {("REDIRECT_3XX", "?")}),
-    ({"status_code": 301, "redirect_url": ""}, {("REDIRECT_3XX", "")}),
-    ({"url": "https://x.test/self", "redirect_url": "https://x.test/self"}, {("REDIRECT_CHAIN", "https://x.test/self")}),
+    ({"crawl_depth": 6}, {("DEEP_PAGES", "depth 6")}),
+    ({"status_code": 700, "inlinks": 0, "indexability": "UNKNOWN"}, {("STATUS_5XX", "HTTP 700")}),
+    ({"status_code": 404}, {("STATUS_4XX", "HTTP 404"), ("BROKEN_INTERNAL_LINKS", "HTTP 404, 3 inlinks")}),
+    ({"status_code": 301, "redirect_url": None}, {("REDIRECT_3XX", "→ ?")}),
+    ({"status_code": 301, "redirect_url": ""}, {("REDIRECT_3XX", "→ ")}),
+    ({"url": "https://x.test/self", "redirect_url": "https://x.test/self"}, {("REDIRECT_CHAIN", "→ https://x.test/self")}),
     ({"canonical": "   "}, {("CANONICAL_MISSING", None)}),
-    ({"canonical": "https://other.test/", "content_type": None}, {("CANONICAL_NON_SELF", "https://other.test/")}),
+    ({"canonical": "https://other.test/", "content_type": None}, {("CANONICAL_NON_SELF", "canonical → https://other.test/")}),
     ({"title": "\t"}, {("META_TITLE_MISSING", None)}),
-    ({"title_length": 29}, {("META_TITLE_LENGTH", "29")}),
+    ({"title_length": 29}, {("META_TITLE_LENGTH", "29 caratteri")}),
     ({"title_length": 60}, set()),
     ({"title_length": None}, set()),
     ({"meta_description": ""}, {("META_DESC_MISSING", None)}),
-    ({"meta_description_length": 161, "content_type": "image/png"}, {("META_DESC_LENGTH", "161")}),
+    ({"meta_description_length": 161, "content_type": "image/png"}, {("META_DESC_LENGTH", "161 caratteri")}),
     ({"h1": None}, {("H1_MISSING", None)}),
-    ({"word_count": 199}, {("THIN_CONTENT", "199")}),
+    ({"word_count": 199}, {("THIN_CONTENT", "199 parole")}),
     ({"word_count": None}, set()),
-    ({"images_missing_alt": 2}, {("IMAGES_MISSING_ALT", "2")}),
+    ({"images_missing_alt": 2}, {("IMAGES_MISSING_ALT", "2 immagini")}),
     ({"raw_issues": ["bad HREFLANG", None]}, {("HREFLANG_ERROR", None)}),
     ({"raw_issues": ["Schema x"]}, {("STRUCTURED_DATA_INVALID", None)}),
     ({"response_time_ms": 1000}, set()),
-    ({"response_time_ms": 1001}, {("SLOW_RESPONSE", "1001")}),
+    ({"response_time_ms": 1001}, {("SLOW_RESPONSE", "1001 ms")}),
     ({"in_sitemap": None}, set()),
     ({"in_sitemap": False}, {("INDEXABLE_NOT_IN_SITEMAP", None)}),
     ({"url": "HTTP://x.test/p"}, {("NON_HTTPS", None)}),
@@ -78,7 +78,7 @@ def test_redirects_and_groups(spark):
     ]
     got = hits(spark, rows)
     assert {o for k, o, _ in got if k == "REDIRECT_CHAIN"} == {0, 1}
-    assert {(o, e) for k, o, e in got if k == "META_TITLE_DUPLICATE"} == {(4, "2"), (5, "2")}
+    assert {(o, e) for k, o, e in got if k == "META_TITLE_DUPLICATE"} == {(4, "2 occorrenze"), (5, "2 occorrenze")}
     assert {o for k, o, _ in got if k == "H1_DUPLICATE"} == {7, 8}
 
 
@@ -128,6 +128,42 @@ def test_link_cap_keeps_the_count(spark):
     assert rows.groupBy("rule_key").count().first()["count"] == 2500
 
 
+def test_no_task_sorts_a_hot_issue(spark, monkeypatch):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 'b', 'a') as audit_id", "'DEEP_PAGES' as rule_key", "cast(id as string) as url", "cast(id * 7919 % 5003 as bigint) as group_ord", "id as ord")
+    want = sorted(map(tuple, engine.first_of(rows, ["audit_id", "rule_key"], ["group_ord", "ord"], 900).collect()))
+    monkeypatch.setattr(engine, "GROUP_LIMIT", 50)
+    cut = engine.first_of(rows, ["audit_id", "rule_key"], ["group_ord", "ord"], 900)
+    assert sorted(map(tuple, cut.collect())) == want and len(want) == 1800
+    assert cut._jdf.queryExecution().executedPlan().toString().count("Window") >= 2
+
+
+def test_issues_are_counted_in_one_scan(spark, tmp_path):
+    path = str(tmp_path / "p")
+    engine.records(pages(spark, [r for r, _ in CASES] * 2 + [{"url": "R", "redirect_url": "R", "status_code": 301}, {"url": "S", "redirect_url": "R", "status_code": 301}, {"url": "T", "redirect_url": "Z", "status_code": 200}])).write.parquet(path)
+    p = spark.read.parquet(path)
+    got = engine.summarized(p)
+    columns = ["audit_id", "rule_key", "affected", "total", "pct"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, engine.issues(engine.matches(p), p).select(*columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_stored_audits_are_replaced_as_a_unit(spark, tmp_path):
+    store = persist.Store(spark, str(tmp_path / "store"))
+    assert store.manifest().count() == 0
+    rows = pages(spark, [{"url": "u", "title": None}, {"url": "v", "audit_id": "b", "crawl_depth": 9}, {"url": "w", "audit_id": "c"}, {"url": "", "audit_id": "b"}])
+    audits = lambda *ids: spark.createDataFrame([(i,) for i in ids], "audit_id string")
+    store.replace(rows, audits("a", "b", "empty"))
+    head = {r.audit_id: r for r in store.read("header").collect()}
+    assert set(head) == {"a", "b", "empty"} and (head["empty"].score, head["empty"].total_urls, head["a"].total_urls) == (100, 0, 1)
+    assert {(r.audit_id, r.rule_key) for r in store.read("links").collect()} == {("a", "META_TITLE_MISSING"), ("b", "DEEP_PAGES")}
+    store.replace(rows.limit(0), audits("a"))
+    head = {r.audit_id: r for r in store.read("header").collect()}
+    assert (head["a"].score, head["a"].total_urls, head["b"].total_urls) == (100, 0, 1)
+    assert {r.audit_id for r in store.read("urls").collect()} == {"b"} == {r.audit_id for r in store.read("issues").collect()}
+    assert store.read("issues").first().impact
+
+
 def test_coercion(spark):
     ints = {"2.4": 24, "-": None, "--5": None, "5-": 5, "12-34": 12, "1e5": 15, "1,234": 1234, "": None, "99999999999": None}
     df = spark.createDataFrame([(k,) for k in ints], "c string").select("c", X.to_int(F.col("c")).alias("v"))

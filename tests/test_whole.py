@@ -21,8 +21,8 @@ def both(spark, sf_dir):
     return run
 
 
-def test_task_board_all(spark, sf_dir, both):
-    got, want = both("task_board_all")
+def test_task_board(spark, sf_dir, both):
+    got, want = both("task_board")
     assert got == want and len(got) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() > 500
     assert {r[1] for r in got} == {"TODO", "IN_PROGRESS", "DONE"} and {r[2] for r in got} == {"P0", "P1", "P2", "P3"}
 
@@ -31,13 +31,13 @@ PAGE = ["content_type", "status_code", "indexability", "indexability_status", "t
 PAGE += ["word_count", "crawl_depth", "inlinks", "outlinks", "redirect_url", "response_time_ms", "images", "images_missing_alt", "structured_data", "structured_data_types", "in_sitemap"]
 
 
-def test_url_attributes_all(spark, sf_dir, both):
-    got, want = both("url_attributes_all")
+def test_url_attributes_unpivot(spark, sf_dir, both):
+    got, want = both("url_attributes_unpivot")
     assert Counter(got) == Counter(want)
-    assert Counter(label for _, label, _ in got) == Counter(dict.fromkeys(PAGE, spark.read.parquet(f"{sf_dir}/crawled_urls.parquet").count()))
+    assert Counter(label for _, label, _ in got) == Counter(dict.fromkeys([*PAGE, "h2"], spark.read.parquet(f"{sf_dir}/crawled_urls.parquet").count()))
 
 
-def test_merge_first_wins_all(spark, sf_dir, both):
-    got, want = both("merge_first_wins_all")
+def test_merge_first_wins(spark, sf_dir, both):
+    got, want = both("merge_first_wins")
     assert Counter(got) == Counter(want)
-    assert entry.queries()["merge_first_wins_all"](spark, sf_dir).columns == ["audit_id", "url", "ord", *PAGE]
+    assert entry.queries()["merge_first_wins"](spark, sf_dir).columns == ["audit_id", "url", "ord", *PAGE]
