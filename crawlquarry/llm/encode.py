@@ -1,21 +1,27 @@
-"""Token ids of a whole corpus, each chunk of text encoded once.
+"""Token ids of a whole corpus, each shared chunk of text encoded once.
 
 Texts are cut by content: a rolling hash over the last bytes decides where, so equal passages in different documents give
-equal chunks. Distinct chunks are encoded once; what a document then needs are the joins between its chunks. A token never
-reaches over a point where a space stands before a character that is no space (the pattern of the byte-level vocabularies
-always splits there, whatever is around), so a chunk's ids are exact between its first and its last such point. The ids of
-each join, from the last point of one chunk to the first of the next that has any, are repaired by encoding that stretch
-anew; with both ends of the stretch on such points, the result equals the ids of the whole text.
+equal chunks. Chunks are counted by their 128-bit hash, and only those that stand in more than one place are taken out,
+encoded once, and put where they stand; all other text is encoded in place and never moves. What remains are the joins
+around shared chunks. A token never reaches over a point where a space stands before a character that is no space (the
+pattern of the byte-level vocabularies always splits there, whatever is around), so a chunk's ids are exact between its
+first and its last such point. The stretch from the last point of one shared chunk to the first of the next, with all
+that is between them, is encoded anew; with both ends of the stretch on such points, the result equals the ids of the
+whole text.
+
+The shared chunks are handed to tasks while they are few (their number and bytes are measured); beyond that they are joined
+to the documents in which they stand. Both ways give the same ids.
 
 Defined results
-    Null and empty texts have an empty array. Strings of special tokens are ordinary text. Each input row gives a row:
-    documents with equal ids are told apart by a row number, so repeated rows come out repeatedly. Texts of any length are
-    encoded whole. Extra columns don't matter. Vocabularies without the pattern are encoded text by text.
+    Null and empty texts have an empty array. Strings of special tokens are ordinary text. Each input row gives a row,
+    repeated ones too: a document is known by its doc_id and text, so that it doesn't matter in which order or how often
+    its row is read. Texts of any length are encoded whole. Extra columns don't matter. Vocabularies without the pattern are encoded text by text.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +32,12 @@ from pyspark.sql import functions as F
 
 from crawlquarry.functions.arrow import map_arrow
 from crawlquarry.llm.tokenizers import BYTE_LEVEL, DEFAULT_DIR, encoder
+from crawlquarry.plans.sized import size_bytes, written
 
 #: Bytes that the rolling hash sees, its mask (a cut every 2**MASK_BITS bytes on average), least and greatest chunk.
 WINDOW, MASK_BITS, LEAST, MOST = 32, 9, 128, 8192
+#: Shared chunks, and their bytes as counted by ``size_bytes``, that may be handed to every task.
+MOST_SHARED, SHARED_BYTES = 100_000, 16 << 20
 _GEAR = np.array([int.from_bytes(xxhash.xxh64_digest(bytes([b]), seed=7)[:4], "big") for b in range(256)], np.uint32)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -85,21 +94,41 @@ def cuts(raws: list[bytes]) -> list[list[int]]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(raws: list[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(text, place, key, bytes) of every chunk of texts."""
+    for n, (raw, ends) in enumerate(zip(raws, cuts(raws), strict=True)):
+        at = 0
+        for k, end in enumerate(ends):
+            if end > at:
+                yield n, k, xxhash.xxh3_128_digest(raw[at:end]), raw[at:end]
+            at = end
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): how often each chunk of a batch stands there."""
+    for b in batches:
+        n = Counter(key for _, _, key, _ in _pieces([t.encode() for t in b.column("text").to_pylist()]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["key", "n"])
+
+
+def _texts(only: frozenset[bytes] | None):
+    """(key, chunk): the distinct chunks of each batch, those in ``only`` or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = {key: piece for _, _, key, piece in _pieces([t.encode() for t in b.column("text").to_pylist()]) if only is None or key in only}
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array([x.decode() for x in got.values()], pa.string())], names=["key", "chunk"])
+
+    return run
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, hash, pos, key): where chunks stand."""
     for b in batches:
-        ids, rows, pos, keys, texts = [], [], [], [], []
-        raws = [t.encode() for t in b.column("text").to_pylist()]
-        for doc, row, raw, ends in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), raws, cuts(raws), strict=True):
-            at = 0
-            for k, end in enumerate(ends):
-                chunk = raw[at:end]
-                ids.append(doc)
-                rows.append(row)
-                pos.append(k)
-                keys.append(xxhash.xxh3_128_digest(chunk))
-                texts.append(chunk.decode())
-                at = end
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(pos, pa.int32()), pa.array(keys, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "row_id", "pos", "key", "chunk"])
+        docs, hashes = b.column("doc_id").to_pylist(), b.column("hash").to_pylist()
+        rows = [(docs[n], hashes[n], k, key) for n, k, key, _ in _pieces([t.encode() for t in b.column("text").to_pylist()])]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "hash", "pos", "key"])
 
 
 def _encode_once(name: str, folder: str):
@@ -124,35 +153,58 @@ def _encode_once(name: str, folder: str):
     return run
 
 
-def _assemble(name: str, folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name, folder)
-        joins: dict[str, bytes] = {}
-
-        def repaired(text: str) -> bytes:
-            if not text:
-                return b""
-            got = joins.get(text)
-            if got is None:
-                got = np.array(encode([text])[0], np.int32).tobytes()
-                if len(text) < 64:
-                    if len(joins) > 200_000:
-                        joins.clear()
-                    joins[text] = got
-            return got
+Shared = tuple[str, bytes | None, str | None]  # text before the first point, ids from there to the last, text behind it
+
+
+class Stitcher:
+    """Puts the ids of shared chunks and of the text around them together."""
 
+    def __init__(self, name: str, folder: str):
+        self.encode, self.joins = encoder(name, folder), {}
+
+    def repaired(self, text: str) -> bytes:
+        if not text:
+            return b""
+        got = self.joins.get(text)
+        if got is None:
+            got = np.array(self.encode([text])[0], np.int32).tobytes()
+            if len(text) < 64:
+                if len(self.joins) > 200_000:
+                    self.joins.clear()
+                self.joins[text] = got
+        return got
+
+    def ids(self, raw: bytes, ends: list[int], shared: dict[int, Shared]) -> np.ndarray:
+        """The ids of a text whose chunks end at ``ends``, some of which are shared."""
+        out, open_, at = [], "", 0
+        for k in sorted(shared):
+            head, mid, tail = shared[k]
+            if mid is None:  # no point in it: text like any other
+                continue
+            start = ends[k - 1] if k else 0
+            out += [self.repaired(open_ + raw[at:start].decode() + head), mid]
+            open_, at = tail, ends[k]
+        out.append(self.repaired(open_ + raw[at:].decode()))
+        return np.frombuffer(b"".join(out), np.int32)
+
+
+def _stitched(name: str, folder: str, table: dict[bytes, Shared] | None):
+    """(doc_id, ids) of (doc_id, text): with the shared chunks in ``table``, or in a column ``parts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stitcher = Stitcher(name, folder)
         for b in batches:
-            out = []
-            for parts in b.column("parts").to_pylist():
-                ids, open_ = [], []
-                for p in sorted(parts, key=lambda p: p["pos"]):
-                    open_.append(p["head"])
-                    if p["mid"] is not None:
-                        ids.append(repaired("".join(open_)))
-                        ids.append(p["mid"])
-                        open_ = [p["tail"]]
-                ids.append(repaired("".join(open_)))
-                out.append(np.frombuffer(b"".join(ids), np.int32))
+            raws = [t.encode() for t in b.column("text").to_pylist()]
+            all_ends = cuts(raws)
+            shared: list[dict[int, Shared]] = [{} for _ in raws]
+            if table is None:
+                for mine, parts in zip(shared, b.column("parts").to_pylist(), strict=True):
+                    mine.update({p["pos"]: (p["head"], p["mid"], p["tail"]) for p in parts or ()})
+            elif table:
+                for n, k, key, _ in _pieces(raws):
+                    if key in table:
+                        shared[n][k] = table[key]
+            out = [stitcher.ids(*x) for x in zip(raws, all_ends, shared, strict=True)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             flat = np.concatenate(out) if out else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
@@ -171,16 +223,27 @@ def _whole(name: str, folder: str):
 
 
 def ids(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = DEFAULT_DIR) -> DataFrame:
-    """(doc_id, ids) of every document. Three shuffles: distinct chunks (combined before they move), chunk ids to their
-    places by chunk (a chunk that stands everywhere is a skewed key that adaptive execution splits), ids by document."""
+    """(doc_id, ids) of every document. Hashes of chunks are counted in a shuffle; of texts, only chunks that stand in
+    several places move."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if tokenizer not in BYTE_LEVEL:
         return map_arrow(docs, _whole(tokenizer, folder), "doc_id long, ids array<int>")
-    places = map_arrow(docs.withColumn("row_id", F.monotonically_increasing_id()), _chunks, "doc_id long, row_id long, pos int, key binary, chunk string")
-    once = map_arrow(places.select("key", "chunk").distinct(), _encode_once(tokenizer, folder), "key binary, head string, mid binary, tail string")
-    parts = places.select("doc_id", "row_id", "pos", "key").join(once, "key")
-    whole = parts.groupBy("row_id").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "head", "mid", "tail")).alias("parts"))  # bounded by one text
-    return map_arrow(whole.select("doc_id", "parts"), _assemble(tokenizer, folder), "doc_id long, ids array<int>")
+    twice = written(map_arrow(docs.select("text"), _keys, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
+    schema = "key binary, head string, mid binary, tail string"
+    few = twice.count() <= MOST_SHARED
+    if few:
+        texts = map_arrow(docs.select("text"), _texts(frozenset(bytes(r["key"]) for r in twice.collect())), "key binary, chunk string")
+    else:
+        texts = map_arrow(docs.select("text"), _texts(None), "key binary, chunk string").join(twice, "key", "left_semi")
+    once = written(map_arrow(texts.groupBy("key").agg(F.min("chunk").alias("chunk")), _encode_once(tokenizer, folder), schema).where("mid is not null"))
+    if few and size_bytes(once.select(F.hex("mid").alias("mid"), "head", "tail")) <= SHARED_BYTES:
+        table = {bytes(r["key"]): (r["head"], bytes(r["mid"]), r["tail"]) for r in once.collect()}
+        return map_arrow(docs, _stitched(tokenizer, folder, table), "doc_id long, ids array<int>")
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    at = map_arrow(docs, _places, "doc_id long, hash long, pos int, key binary").distinct().join(once, "key")
+    parts = at.groupBy(F.col("doc_id").alias("p_doc"), F.col("hash").alias("p_hash")).agg(F.collect_list(F.struct("pos", "head", "mid", "tail")).alias("parts"))  # bounded by one text
+    both = docs.join(parts, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("hash") == F.col("p_hash")), "left")
+    return map_arrow(both.select("doc_id", "text", "parts"), _stitched(tokenizer, folder, None), "doc_id long, ids array<int>")
 
 
 def _lengths(names: list[str], folder: str):

@@ -15,18 +15,19 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(T.DEFAULT_DIR), reason="no voc
 
 
 def through_chunks(text: str, name: str = "byte_bpe_50k") -> list[int]:
-    """The operator's two steps without a session."""
-    import numpy as np
+    """The operator's steps without a session, as if every chunk were shared; then as if every other one were."""
     import pyarrow as pa
 
-    raw, at, parts = text.encode(), 0, []
-    for k, end in enumerate(E.cuts([raw])[0]):
+    raw, at, parts, ends = text.encode(), 0, {}, E.cuts([text.encode()])[0]
+    for k, end in enumerate(ends):
         b = pa.RecordBatch.from_pydict({"key": [b"x"], "chunk": [raw[at:end].decode()]})
         out = next(E._encode_once(name, T.DEFAULT_DIR)([b])).to_pylist()[0]
-        parts.append({"pos": k, "head": out["head"], "mid": out["mid"], "tail": out["tail"]})
+        parts[k] = (out["head"], out["mid"], out["tail"])
         at = end
-    b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([parts])], names=["doc_id", "parts"])
-    return list(np.array(next(E._assemble(name, T.DEFAULT_DIR)([b])).to_pylist()[0]["ids"], int))
+    stitcher = E.Stitcher(name, T.DEFAULT_DIR)
+    got = stitcher.ids(raw, ends, parts).tolist()
+    assert stitcher.ids(raw, ends, {k: v for k, v in parts.items() if k % 2}).tolist() == got == stitcher.ids(raw, ends, {}).tolist()
+    return got
 
 
 ALPHABET = st.sampled_from(["a", "the ", " word", "  ", "\n", "\t", " ", " ", "　", "é", "日本", "'s", "12", " 3", "!", " (", "😀", "x" * 40, " " * 30, "\r\n", "​", "<|endoftext|>"])
@@ -75,3 +76,15 @@ def test_frame(spark):
     assert E.ids(df.limit(0)).count() == 0
     pieces = {r.doc_id: list(r.ids) for r in E.ids(df.where("doc_id in (2, 5)"), "piece_bpe_32k").collect()}
     assert pieces[2] == [] and pieces[5] == T.encoder("piece_bpe_32k")([long + "end"])[0]
+
+
+def test_shared_chunks_in_tasks_or_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "日本"]) for _ in range(900))
+    rows = [(n, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(200))) + " " + passage[n * 7 :]) for n in range(40)] + [(7, passage), (7, passage), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = sorted((i or 0, T.encoder("byte_bpe_50k")([t])[0]) for i, t in rows)
+    assert sorted((r.doc_id or 0, list(r.ids)) for r in E.ids(df).collect()) == want
+    for name in ("MOST_SHARED", "SHARED_BYTES"):
+        monkeypatch.setattr(E, name, 0)
+        assert sorted((r.doc_id or 0, list(r.ids)) for r in E.ids(df).collect()) == want
