@@ -32,14 +32,14 @@ SEPARATORS = (",", ";", "\t", "|")
 
 # States, byte classes and transitions of the automaton.
 START, PLAIN, QUOTED, CLOSED, BROKEN = range(5)
-OTHER, QUOTE, SEP, END, PAD, NEWLINE = range(6)
+OTHER, QUOTE, SEP, END, PAD, REOPEN = range(6)
 STEP = {
     OTHER: (PLAIN, PLAIN, QUOTED, BROKEN, BROKEN),
     QUOTE: (QUOTED, BROKEN, CLOSED, QUOTED, BROKEN),
     SEP: (START, START, QUOTED, START, BROKEN),
     END: (START, START, START, START, START),
     PAD: (START, PLAIN, QUOTED, CLOSED, BROKEN),
-    NEWLINE: (START, START, QUOTED, START, START),  # ends a record of a file, unless it is quoted
+    REOPEN: (QUOTED, QUOTED, QUOTED, QUOTED, QUOTED),  # a line of a file read as the inside of a quoted field
 }
 CLASSES = len(STEP)
 
@@ -144,35 +144,36 @@ def invalid(address: str, status: str, words: str) -> bool:
 def _headers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lines = [x.lstrip("﻿").encode() for x in b.column("raw_line").to_pylist()]
-        best: list[tuple[str, list[str]] | None] = [None] * len(lines)
+        best: list[tuple[str, list[str], list[str]] | None] = [None] * len(lines)
         for sep in SEPARATORS:
             t = tokenize(lines, [sep] * len(lines))
             for r in range(len(lines)):
                 if not t["broken"][r]:
-                    names = [re.sub(r"\s+", " ", t["field"](r, k).replace("﻿", "").strip()).lower() for k in range(int(t["fields"][r]))]
+                    raw = [t["field"](r, k).replace("﻿", "") for k in range(int(t["fields"][r]))]
+                    names = [re.sub(r"\s+", " ", x.strip()).lower() for x in raw]
                     if any(HEADERS.get(x) == "url" for x in names) and (best[r] is None or len(names) > len(best[r][1])):
-                        best[r] = (sep, names)
+                        best[r] = (sep, names, raw)
         keep = [r for r, x in enumerate(best) if x]
         yield pa.RecordBatch.from_pydict(
-            {"file_id": b.column("file_id").take(pa.array(keep, pa.int64())), "line_no": b.column("line_no").take(pa.array(keep, pa.int64())), "sep": [best[r][0] for r in keep], "names": [best[r][1] for r in keep]},
-            schema=pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("sep", pa.string()), ("names", pa.list_(pa.string()))]),
+            {"file_id": b.column("file_id").take(pa.array(keep, pa.int64())), "line_no": b.column("line_no").take(pa.array(keep, pa.int64())), "sep": [best[r][0] for r in keep], "names": [best[r][1] for r in keep], "raw_names": [best[r][2] for r in keep]},
+            schema=pa.schema([("file_id", pa.int64()), ("line_no", pa.int64()), ("sep", pa.string()), ("names", pa.list_(pa.string())), ("raw_names", pa.list_(pa.string()))]),
         )
 
 
 def headers(records: DataFrame, within: int | None = None) -> DataFrame:
-    """(file_id, header_line, sep, names): the first record of each file (of its first ``within`` lines, if given) that
+    """(file_id, header_line, sep, names, raw_names): the first record of each file (of its first ``within`` lines, if given) that
     names an address column, and the separator by which it has the most fields. Only records that may be headers leave
     the JVM."""
-    maybe = records.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), "raw_line").where(
+    maybe = records.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("long").alias("line_no"), "raw_line").where(
         F.col("raw_line").rlike(r'(?i)(?:^|[,;\t|"\x{FEFF}])\s*(?:address|url)\s*(?:$|[,;\t|"])') & (F.col("line_no").isNotNull() if within is None else F.col("line_no") <= within)
     )
-    found = map_arrow(maybe, _headers_of, "file_id long, line_no int, sep string, names array<string>")
-    return found.groupBy("file_id").agg(F.min_by(F.struct("line_no", "sep", "names"), F.struct("line_no", "sep", "names")).alias("h")).select("file_id", F.col("h.line_no").alias("header_line"), "h.sep", "h.names")
+    found = map_arrow(maybe, _headers_of, "file_id long, line_no long, sep string, names array<string>, raw_names array<string>")
+    return found.groupBy("file_id").agg(F.min(F.struct("line_no", "sep", "names", "raw_names")).alias("h")).select("file_id", F.col("h.line_no").alias("header_line"), "h.sep", "h.names", "h.raw_names")
 
 
 def _reader(with_fields: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("file_id", pa.int64()), ("line_no", pa.int32()), ("reason", pa.string()), ("error_offset", pa.int64())]
+        kinds = [("file_id", pa.int64()), ("line_no", pa.int64()), ("reason", pa.string()), ("error_offset", pa.int64())]
         schema = pa.schema(kinds + [("fields", pa.list_(pa.string()))] * with_fields)
         for b in batches:
             col = {n: b.column(n).to_pylist() for n in ("raw_line", "sep", "n", "i_url", "i_status", "i_words")}
@@ -208,22 +209,22 @@ def _position(names: Column, key: str) -> Column:
     return F.coalesce(F.array_position(F.transform(names, lambda x: F.array_contains(wanted, x)), True), F.lit(0)).cast("int") - 1
 
 
-def _with_headers(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    head = written(headers(records))
+def _with_headers(records: DataFrame, within: int | None = None) -> tuple[DataFrame, DataFrame]:
+    head = written(headers(records, within))
     facts = head.select(
         F.col("file_id").alias("h_file"), "header_line", "sep", F.size("names").alias("n"), _position(F.col("names"), "url").alias("i_url"),
         _position(F.col("names"), "status_code").alias("i_status"), _position(F.col("names"), "word_count").alias("i_words"),
     )
-    rows = records.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), "raw_line", "loaded_at").where(X.has(F.col("raw_line")))
+    rows = records.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("long").alias("line_no"), "raw_line", "loaded_at").where(X.has(F.col("raw_line")))
     return rows.join(small(facts), F.col("file_id").eqNullSafe(F.col("h_file")) & (F.col("line_no") > F.col("header_line"))), head
 
 
-def faulty(records: DataFrame) -> DataFrame:
+def faulty(records: DataFrame, within: int | None = None) -> DataFrame:
     """(file_id, line_no, reason, error_offset) of the records that can't be loaded, one row per (file_id, line_no).
     Input: file_id, line_no, raw_line, loaded_at. Rows that are fine never leave the reader; one pass, and a shuffle
-    of the faults alone."""
-    joined, _ = _with_headers(records)
-    bad = map_arrow(joined.drop("loaded_at", "h_file", "header_line"), _reader(False), "file_id long, line_no int, reason string, error_offset long")
+    of the faults alone. ``within``: records of a file in which its header is looked for, all if not given."""
+    joined, _ = _with_headers(records, within)
+    bad = map_arrow(joined.drop("loaded_at", "h_file", "header_line"), _reader(False), "file_id long, line_no long, reason string, error_offset long")
     return bad.groupBy("file_id", "line_no").agg(F.min(F.struct("reason", "error_offset")).alias("f")).select("file_id", "line_no", "f.reason", "f.error_offset")
 
 
@@ -239,22 +240,22 @@ def _cell_position(names: Column, key: str, override: dict[str, str]) -> Column:
     return F.coalesce(at, F.when(first_own.isNotNull(), size - F.array_position(F.reverse(names), first_own)), F.lit(-1)).cast("int")
 
 
-def typed(records: DataFrame, override: dict[str, str] | None = None) -> DataFrame:
+def typed(records: DataFrame, override: dict[str, str] | None = None, within: int | None = None) -> DataFrame:
     """The loaded rows: file_id, line_no and the canonical columns in their types; cells under other headers in
-    ``extra``. Values are coerced as in :mod:`crawlquarry.functions.exprs`; the first header of a canonical column
+    ``extra``, by the header as it is written (a repeated one with ``#`` and its place). Values are coerced as in :mod:`crawlquarry.functions.exprs`; the first header of a canonical column
     wins, a second, different one goes to ``extra``; of the same header repeated the last cell counts. ``override`` maps
     headers (in any spelling) to canonical columns before the known names do."""
     override = {" ".join(h.split()).lower(): k for h, k in (override or {}).items()}
-    joined, head = _with_headers(records)
+    joined, head = _with_headers(records, within)
     once = joined.groupBy("file_id", "line_no").agg(F.max(F.struct("loaded_at", "raw_line", "sep", "n", "i_url", "i_status", "i_words")).alias("r")).select("file_id", "line_no", "r.*")
-    good = map_arrow(once.drop("loaded_at"), _reader(True), "file_id long, line_no int, reason string, error_offset long, fields array<string>").where("reason is null")
-    names = head.select(F.col("file_id").alias("h_file"), F.col("names"), F.struct(*[_cell_position(F.col("names"), k, override).alias(k) for k in COLUMNS]).alias("at"))
+    good = map_arrow(once.drop("loaded_at"), _reader(True), "file_id long, line_no long, reason string, error_offset long, fields array<string>").where("reason is null")
+    names = head.select(F.col("file_id").alias("h_file"), F.col("names"), F.col("raw_names"), F.struct(*[_cell_position(F.col("names"), k, override).alias(k) for k in COLUMNS]).alias("at"))
     rows = good.join(small(names), F.col("file_id").eqNullSafe(F.col("h_file")))
     used = F.array(*[F.col(f"at.{k}") for k in COLUMNS])
     cast = {"string": X.blank_to_null, "int": X.to_int, "bool": X.to_bool, "indexability": X.to_indexability}
     extra = F.map_from_entries(
         F.filter(
-            F.array_distinct(F.transform(F.col("names"), lambda x, i: F.struct(F.concat(x, F.when(F.array_position(F.col("names"), x) != i + 1, F.concat(F.lit("#"), i.cast("string"))).otherwise("")).alias("key"), F.when(F.array_contains(used, i), F.lit("")).otherwise(F.get(F.col("fields"), i)).alias("value")))),
+            F.array_distinct(F.transform(F.col("raw_names"), lambda x, i: F.struct(F.concat(x, F.when(F.array_position(F.col("raw_names"), x) != i + 1, F.concat(F.lit("#"), i.cast("string"))).otherwise("")).alias("key"), F.when(F.array_contains(used, i), F.lit("")).otherwise(F.get(F.col("fields"), i)).alias("value")))),
             lambda e: F.trim(e["value"]) != "",
         )
     )

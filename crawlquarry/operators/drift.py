@@ -25,6 +25,8 @@ from crawlquarry.operators.components import components
 from crawlquarry.plans.sized import small, written
 from crawlquarry.schema import COLUMNS, SQL_TYPES
 
+#: The columns of the common table.
+CONSTANT = ("url", "status_code", "title", "inlinks", "outlinks", "word_count", "crawl_depth", "indexability", "in_sitemap", "meta_description", "h1")
 INTEGER = r"^[+-]?[0-9]+$"
 DECIMAL = r"^[+-]?[0-9]+\.[0-9]+$"
 #: A number with at most a word before it (``HTTP/404``) or words or a mark behind it (``404 Not Found``, ``12+``).
@@ -157,7 +159,7 @@ class Drift:
         least = components(link.select("a", "b"))
         return label.join(least, "node", "left").select("series_id", "name", F.coalesce("least.f", "node.f").alias("field"))
 
-    def table(self, constant: tuple[str, ...] = ("url", "status_code", "title", "inlinks", "outlinks", "word_count", "crawl_depth", "indexability", "in_sitemap", "meta_description", "h1")) -> DataFrame:
+    def table(self, constant: tuple[str, ...] = CONSTANT) -> DataFrame:
         """All rows of all files in one table: file_id, series_id, row_no, the constant columns in constant types, for
         each of them the tag of the branch that the cell was read from (``<column>_as``), and ``extra`` for the rest.
         Columns of whole numbers have their branches beside them: ``<column>_integer``, ``_decimal`` and ``_text`` hold

@@ -35,6 +35,8 @@ def records(urls: DataFrame) -> DataFrame:
             out.append(F.lit(None).cast(kind).alias(name))
         elif kind == "int" and have[name] == "string":
             out.append(X.to_int(F.col(name)).alias(name))
+        elif name == "ord" and have[name].startswith("struct"):
+            out.append(F.col(name))  # any order will do
         elif name == "indexability":
             out.append(F.coalesce(name, F.lit("UNKNOWN")).alias(name))
         else:

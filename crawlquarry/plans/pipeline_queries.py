@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlquarry.operators import bad_records, drift, packed, snapshots, units
+from crawlquarry.plans.sized import scratch
+from crawlquarry.schema import COLUMNS
+from crawlquarry.sources import csv_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,17 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return bad_records.faulty(table(spark, d, "internal_all")).select("file_id", "line_no", "reason")
+    return bad_records.faulty(table(spark, d, "internal_all")).select("file_id", F.col("line_no").cast("int").alias("line_no"), "reason")
 
 
 def p1_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Faults with the byte at which the quoting breaks."""
-    return bad_records.faulty(table(spark, d, "internal_all"))
+    return bad_records.faulty(table(spark, d, "internal_all")).withColumn("line_no", F.col("line_no").cast("int"))
 
 
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All other records, loaded as typed rows."""
-    return bad_records.typed(table(spark, d, "internal_all"))
+    """All other records, loaded as typed rows; cells under other headers as text."""
+    return _flat(bad_records.typed(table(spark, d, "internal_all")).withColumn("line_no", F.col("line_no").cast("int")), "extra")
+
+
+def _flat(rows: DataFrame, *maps: str) -> DataFrame:
+    """Maps as text, their entries in order."""
+    text = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return rows.withColumns({m: F.coalesce(text(m), F.lit("")) for m in maps})
+
+
+FILES = "internal_all"
+
+
+def files_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The exports written as files and read again: what can be loaded, by file and address. Lost quotation marks in the
+    midst of files cost their line alone."""
+    ingest = csv_files.Ingest(spark, _export(spark, d), header_within=None)
+    names = ingest.raw.select("file_id", "file_name").distinct()
+    return ingest.rows().join(names, "file_id").select("file_name", "url", "status_code", "title", "word_count", "inlinks", "in_sitemap")
+
+
+def files_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Number and size of the files of an import."""
+    size = csv_files.sizes(_export(spark, d))
+    return spark.createDataFrame([(len(size), sum(size.values()))], "files long, bytes long")
+
+
+def _export(spark: SparkSession, d: str) -> list[str]:
+    lines = table(spark, d, FILES).where("raw_line is not null and line_no is not null and file_id is not null").groupBy("file_id", "line_no").agg(F.max(F.struct("loaded_at", "raw_line")).alias("r"))
+    return csv_files.export(lines.select("file_id", F.col("file_id").cast("string").alias("name"), "line_no", "r.raw_line"), scratch(spark))
 
 
 def _drift(spark: SparkSession, d: str) -> drift.Drift:
@@ -40,12 +71,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes with the older header, both kinds and the alternatives that appear."""
-    return _drift(spark, d).changes()
+    return _drift(spark, d).changes().withColumn("appeared", F.array_join("appeared", ","))
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
-    """All exports in one table of constant columns and types."""
-    return _drift(spark, d).table()
+    """All exports in one table of constant columns and types; what is unread and what is beside them as text."""
+    return _flat(_drift(spark, d).table(), "unread", "extra")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +116,7 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return packed.values(table(spark, d, "crawled_urls"), least=1)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p4_found, p4_values, p4_sources, p5_found, p5_values)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, files_rows, files_bytes, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p4_found, p4_values, p4_sources, p5_found, p5_values)}
 
 #: Fixed to the definitions of the problems; independent of the operators (regular expressions and joins).
 SQL: dict[str, str] = {
@@ -143,3 +174,92 @@ select file_id, 'added' as change_kind, name as column_name from fresh where not
 union all select file_id, 'removed', name from gone where not exists (select 1 from ren where ren.file_id = gone.file_id and old_name = name)
 union all select file_id, 'renamed', new_name from ren
 union all select kept.file_id, 'type_changed', kept.name from kept join h o on o.file_id = kept.prev_id and o.name = kept.before join k kn on kn.file_id = kept.file_id and kn.pos = kept.pos join k ko on ko.file_id = o.file_id and ko.pos = o.pos where kn.kind <> ko.kind"""
+
+
+# ---- all of p1: offsets of faults and typed rows -------------------------------------------------------------------
+_P1 = SQL["p1_found"]
+_TOKENS = _P1[: _P1.index("\nselect file_id")]
+SQL["p1_offsets"] = _TOKENS + r""",
+o as (select *, regexp_extract(l, '(?s)^(?:(?:"(?:[^"]|"")*"|[^"' || s || ']*)' || s || ')*') as pre from v where reason is not null),
+e as (select file_id, line_no, reason, case when reason = 'quoting' then strlen(pre) + strlen(regexp_extract(substr(l, length(pre) + 1), '(?s)^(?:"(?:[^"]|"")*"|[^"]*)')) end as error_offset from o)
+select file_id, line_no, reason, error_offset from e qualify row_number() over (partition by file_id, line_no order by reason, error_offset nulls first) = 1"""
+
+
+def _typed_sql(final: str, keep: str) -> str:
+    """Typed rows from the tokens of p1: of each record the latest delivery, each column by its first header."""
+    names = "list_transform(string_split(hdr, sep), lambda x: lower(regexp_replace(trim(trim(trim(x), '\"')), '\\s+', ' ', 'g')))"
+    raw = "list_transform(string_split(hdr, sep), lambda x: case when x like '\"%' then replace(substr(x, 2, length(x) - 2), '\"\"', '\"') else x end)"
+    latest = _TOKENS.replace("select distinct file_id, line_no, ltrim(raw_line, chr(65279)) as l from internal_all", "select file_id, line_no, ltrim(raw_line, chr(65279)) as l from internal_all").replace(" <> ''),\nh as", " <> '' qualify row_number() over (partition by file_id, line_no order by loaded_at desc, raw_line desc) = 1),\nh as", 1)
+    latest = latest.replace("r.l, i.n, i.ia, i.ist, i.iw,", "r.l, i.n, i.ia, i.ist, i.iw, i.hdr,").replace("c as (select file_id, hl, sep, n,", "c as (select file_id, hl, sep, n, hdr,")
+    own = {k: f"list_filter(ns, lambda x: x in ({', '.join(repr(h) for h in heads)}))[1]" for k, (_, heads) in COLUMNS.items()}
+    at = {k: f"case when {o} is not null then len(ns) - list_position(list_reverse(ns), {o}) + 1 end" for k, o in own.items()}
+    int_ = lambda c: f"try_cast(regexp_extract(regexp_replace({c}, '[^0-9-]', '', 'g'), '^-?[0-9]+') as int)"
+    space = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+    trim = lambda c: f"regexp_replace({c}, '^{space}+|{space}+$', '', 'g')"
+    kinds = {
+        "string": lambda c: f"nullif({trim(c)}, '')", "int": int_, "bool": lambda c: f"case when coalesce({trim(c)}, '') = '' then null else regexp_full_match(lower({trim(c)}), 'true|yes|1|si|sì') end",
+        "indexability": lambda c: f"case when {c} is null then null when regexp_matches(lower({c}), 'non[-\\s]?index') then 'NON_INDEXABLE' when contains(lower({c}), 'index') then 'INDEXABLE' else 'UNKNOWN' end",
+    }
+    cell = "list_transform(regexp_extract_all(sep || l, '(?s)' || s || '(\"(?:[^\"]|\"\")*\"|[^\"' || s || ']*)', 1), lambda x: case when x like '\"%' then replace(substr(x, 2, length(x) - 2), '\"\"', '\"') else x end)"
+    columns = ", ".join(f"{kinds[kind](f'g[at_{k}]')} as {k}" for k, (kind, _) in COLUMNS.items())
+    rest = f"list_filter(list_transform(range(1, len(rn) + 1), lambda i: case when i in ({', '.join(f'coalesce(at_{k}, 0)' for k in COLUMNS)}) or coalesce(trim(g[i]), '') = '' then null else rn[i] || case when list_position(rn, rn[i]) <> i then '#' || (i - 1) else '' end || '=' || g[i] end), lambda x: x is not null)"
+    return (
+        latest + f", m as (select file_id, line_no, l, s, sep, {names} as ns, {raw} as rn, {cell} as g from v where reason is null), "
+        + f"b as (select *, {', '.join(f'{a} as at_{k}' for k, a in at.items())} from m), "
+        + f"z as (select file_id, line_no, {columns}, array_to_string(list_sort({rest}), '|') as extra from b) select {keep} from z {final}"
+    )
+
+
+SQL["p1_rows"] = _typed_sql("", "*")
+SQL["files_rows"] = _typed_sql("where url is not null", "cast(file_id as varchar) || '.csv' as file_name, url, status_code, title, word_count, inlinks, in_sitemap")
+SQL["files_bytes"] = "select count(distinct file_id) as files, cast(sum(strlen(l) + 1) as bigint) as bytes from (select file_id, raw_line as l from internal_all where raw_line is not null and line_no is not null and file_id is not null qualify row_number() over (partition by file_id, line_no order by loaded_at desc, raw_line desc) = 1)"
+
+# ---- all of p2: changes with their kinds, and the common table -----------------------------------------------------
+_P2 = SQL["p2_found"][: SQL["p2_found"].index("\nselect file_id, 'added'")]
+_BRANCHES = r""",
+g as (select file_id, pos, bool_or(regexp_full_match(cell, '[+-]?[0-9]+')) as i, bool_or(regexp_full_match(cell, '[+-]?[0-9]+\.[0-9]+')) as d, bool_or(cell <> '' and not regexp_full_match(cell, '[+-]?[0-9]+(\.[0-9]+)?')) as x from t group by file_id, pos),
+u as (select h.file_id, h.name, k.kind, coalesce(g.i, false) as i, coalesce(g.d, false) as d, coalesce(g.x, false) as x from (select file_id, name, min(pos) as pos from h group by 1, 2) h left join k using (file_id, pos) left join g using (file_id, pos)),
+w as (select p.file_id, n.name as column_name, coalesce(ren.old_name, n.name) as old_name, ren.old_name is not null as moved, o.name is not null as was, o.kind as old_kind, n.kind as new_kind,
+      array_to_string(list_filter([case when n.i and not coalesce(o.i, false) then 'integer' end, case when n.d and not coalesce(o.d, false) then 'decimal' end, case when n.x and not coalesce(o.x, false) then 'text' end], lambda y: y is not null), ',') as appeared
+      from p join u n on n.file_id = p.file_id left join ren on ren.file_id = p.file_id and ren.new_name = n.name left join u o on o.file_id = p.prev_id and o.name = coalesce(ren.old_name, n.name))
+"""
+SQL["p2_changes"] = _P2 + _BRANCHES + r"""select file_id, 'added' as change_kind, column_name, null as old_name, old_kind, new_kind, appeared from w where not was
+union all select file_id, 'renamed', column_name, old_name, old_kind, new_kind, appeared from w where moved
+union all select file_id, 'type_changed', column_name, old_name, old_kind, new_kind, appeared from w where was and old_kind <> new_kind
+union all select p.file_id, 'removed', o.name, o.name, o.kind, null, '' from p join u o on o.file_id = p.prev_id where not exists (select 1 from h where h.file_id = p.file_id and h.name = o.name) and not exists (select 1 from ren where ren.file_id = p.file_id and ren.old_name = o.name)"""
+
+
+def _table_sql() -> str:
+    known = " ".join(f"when name in ({', '.join(map(repr, heads))}) then '{k}'" for k, (_, heads) in COLUMNS.items())
+    constant = drift.CONSTANT
+    low = lambda c: f"lower(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    number = lambda c: f"replace(nullif(regexp_extract({low(c)}, '^(?:[a-z]+/)?([+-]?[0-9][0-9,]*(?:\\.[0-9]+)?)(?:[?+%]|\\s+[a-z][a-z ]*)?$', 1), ''), ',', '')"
+    out, unread = [], []
+    for k in constant:
+        kind, c = COLUMNS[k][0], f"c_{k}"
+        tag = f"case when regexp_full_match({c}, '[+-]?[0-9]+') then 'integer' when regexp_full_match({c}, '[+-]?[0-9]+\\.[0-9]+') then 'decimal' when {c} is not null then 'text' end"
+        value = c
+        if kind == "int":
+            value = f"case when regexp_full_match({number(c)}, '[+-]?[0-9]+(\\.0+)?') then try_cast(regexp_extract({number(c)}, '^[+-]?[0-9]+') as bigint) end"
+            out += [f"case when {tag} = 'integer' then try_cast({c} as bigint) end as {k}_integer", f"case when {tag} = 'decimal' then try_cast({c} as double) end as {k}_decimal", f"case when {tag} = 'text' then {c} end as {k}_text"]
+        elif kind == "bool":
+            value = f"case when {low(c)} in ('true', 't', 'yes', 'y', 'si', 'sì') or try_cast({number(c)} as double) = 1 then true when {low(c)} in ('false', 'f', 'no', 'n') or try_cast({number(c)} as double) = 0 then false end"
+        elif kind == "indexability":
+            value = f"case when {c} is null then null when regexp_matches(lower({c}), 'non[-\\s]?index') then 'NON_INDEXABLE' when contains(lower({c}), 'index') then 'INDEXABLE' else 'UNKNOWN' end"
+        out += [f"{value} as {k}", f"{tag} as {k}_as"]
+        unread.append(f"case when {c} is not null and ({value}) is null then '{k}=' || {c} end")
+    cells = ", ".join(f"max(case when field = '{k}' and n = 1 then cell end) as c_{k}" for k in constant)
+    rest = f"list_sort(list(case when n > 1 then field || '#' || n else field end || '=' || cell) filter (where cell is not null and (n > 1 or field not in ({', '.join(map(repr, constant))}))))"
+    return _P2.replace("with f as", "with recursive f as", 1) + f""",
+nm as (select f.series_id, h.name, min(f.seq) as since, case {known} end as known from h join f using (file_id) group by 1, 2, 4),
+lk as (select f.series_id, ren.old_name as a, ren.new_name as b from ren join f using (file_id) union select f.series_id, ren.new_name, ren.old_name from ren join f using (file_id)),
+reach as (select series_id, name, name as other from nm union select reach.series_id, reach.name, lk.b from reach join lk on lk.series_id = reach.series_id and lk.a = reach.other),
+fld as (select reach.series_id, reach.name, arg_min(coalesce(nm.known, nm.name), (nm.known is null)::int * 1000000000 + nm.since) as field from reach join nm on nm.series_id = reach.series_id and nm.name = reach.other group by 1, 2),
+col as (select m.file_id, f.series_id, m.pos, fld.field, row_number() over (partition by m.file_id, fld.field order by m.pos) as n from (select file_id, name, min(pos) as pos from h group by 1, 2) m join f using (file_id) join fld on fld.series_id = f.series_id and fld.name = m.name),
+rows as (select file_id, row_no, cells, row_number() over () as rid from export_rows),
+q as (select rows.rid, rows.file_id, rows.row_no, col.series_id, col.field, col.n, nullif(trim(rows.cells[col.pos], chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '') as cell from rows join col using (file_id)),
+a1 as (select rid, file_id, row_no, series_id, {cells}, coalesce(array_to_string({rest}, '|'), '') as extra from q group by 1, 2, 3, 4)
+select file_id, series_id, row_no, {', '.join(out)}, array_to_string(list_sort(list_filter([{', '.join(unread)}], lambda y: y is not null)), '|') as unread, extra from a1"""
+
+
+SQL["p2_table"] = _table_sql()

@@ -1,14 +1,20 @@
 """Crawl exports from files: plain CSV of any size, archives of CSVs, directories.
 
-Small files and archives are read whole, each by one task. A large plain file is read in ranges by many tasks: each sums
-up its range as an element of the tokenizer's monoid with the records that end in it for every entry state; composing
-those (a few bytes per range) tells every range its entry state and its first line number, and a second pass emits the
-records that begin in it. A quoted line break never splits a record, wherever the ranges are cut.
+Files are read in ranges by many tasks, members of archives by a task each. A range owns the lines that begin in it. Two
+hypotheses are read over it at once by the tokenizer's monoid: each line as the beginning of a record, and each line as
+the inside of a quoted field. A record is one line, or the lines up to the first at which its open quote is closed rightly
+and that gives it as many fields as the header has. Where there is no such line the quote is never closed: its first line
+is a record of its own, to be reported as faulty, and reading goes on with the next line, so that a lost quotation mark
+costs one line and not the rest of the file. What a range needs to know of the others (where a quote left open at its end
+is closed, where its first record begins, how many records come before) is composed per file from a few numbers a range,
+on executors; a second pass emits the records. Nothing depends on where ranges are cut.
 
 Defined results
     A path that is neither .csv nor .zip, an archive that can't be opened, and a file that isn't there give a warning and
     no records. A missing directory has no files. Bytes that aren't UTF-8 are replaced. A byte-order mark is kept in the
-    first record (the header's reader drops it). Line numbers count records from 1, empty ones included.
+    first record (the header's reader drops it). Line numbers count records from 1, empty ones included. The separator is
+    that of the first line naming an address column, however far down; in a file without such a line that of its first
+    line, and records may then have any number of fields.
 """
 
 from __future__ import annotations
@@ -25,197 +31,387 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlquarry.functions import exprs as X
-from crawlquarry.functions.arrow import map_arrow
+from crawlquarry.functions.arrow import map_arrow, ship
 from crawlquarry.operators import bad_records as B
 from crawlquarry.operators import merge
+from crawlquarry.plans.sized import written
 from crawlquarry.schema import HEADERS
 
 #: Plain files above this are read in ranges of this size.
 RANGE_BYTES = 64 << 20
-#: Ranges whose elements may be composed on the driver (at 64 MB each, 640 TB of one file set).
-MOST_RANGES = 10_000_000
+#: Members of an archive that can be told apart by their file_id: path number * 2**PART_BITS + member.
+PART_BITS = 20
+SCHEMA = "file_id long, file_name string, line_no long, raw_line string, warning string"
+_KINDS = pa.schema([("file_id", pa.int64()), ("file_name", pa.string()), ("line_no", pa.int64()), ("raw_line", pa.string()), ("warning", pa.string())])
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 def discover(folder: str) -> list[str]:
     """Regular files of a folder, not of its subfolders, whose name ends in .csv in any case; sorted."""
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+    system, path = _system(folder)
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=False))
     return sorted(x.path for x in found if x.type == fs.FileType.File and x.path.lower().endswith(".csv"))
 
 
-def _classes(data: np.ndarray, sep: str) -> np.ndarray:
+def sizes(paths: list[str]) -> dict[str, int]:
+    """Bytes of each file that is there, asked for by file system all at once."""
+    out: dict[str, int] = {}
+    by: dict[str, tuple[fs.FileSystem, list[tuple[str, str]]]] = {}
+    for p in paths:
+        system, inner = _system(p)
+        by.setdefault(system.type_name, (system, []))[1].append((p, inner))
+    for system, both in by.values():
+        for (p, _), info in zip(both, system.get_file_info([inner for _, inner in both]), strict=True):
+            if info.type == fs.FileType.File:
+                out[p] = info.size
+    return out
+
+
+def _classes(data: np.ndarray, sep: str, newline: int = B.END) -> np.ndarray:
+    """Classes of bytes, lines being read one by one: a line break leads to the beginning of a record (END) or back into a
+    quoted field (REOPEN). A carriage return before it belongs to it."""
     out = np.where(data == 34, B.QUOTE, np.where(data == ord(sep), B.SEP, B.OTHER)).astype(np.uint8)
-    out[data == 10] = B.NEWLINE
+    ends = data == 10
+    out[ends] = newline
+    out[:-1][(data[:-1] == 13) & ends[1:]] = B.PAD
     return out
 
 
-def _guess(head: bytes) -> str:
-    """The separator of a file by the first of its lines that names an address column, else by the first line."""
-    lines = head.decode("utf-8", "replace").lstrip("﻿").split("\n")[:50]
-    best = max(B.SEPARATORS, key=lambda s: lines[0].count(s))
+class Lines:
+    """The lines of some bytes and how each reads as the beginning of a record (a) and inside a quoted field (b):
+    0 complete, 1 broken, 2 the quote is open at its end; with the separators that count."""
+
+    def __init__(self, data: np.ndarray, sep: str, width: int | None):
+        self.width = width
+        if len(data) == 0 or data[-1] != 10:
+            data = np.append(data, np.uint8(10))
+        self.ends = np.flatnonzero(data == 10)
+        self.starts = np.append(0, self.ends[:-1] + 1)
+        n = len(self.ends)
+
+        def read(entry: int, newline: int) -> tuple[np.ndarray, np.ndarray]:
+            classes = _classes(data, sep, newline)
+            state = B.states(classes, start=entry)
+            before = np.append(entry, state[:-1])[self.ends]
+            before[self.ends == self.starts] = entry  # an empty line
+            marks = np.append(0, np.cumsum((classes == B.SEP) & (state == B.START)))
+            return np.where(before == B.QUOTED, 2, np.where(before == B.BROKEN, 1, 0)), marks[self.ends + 1] - marks[self.starts]
+
+        self.a, self.seps_a = read(B.START, B.END)
+        self.b, seps_b = read(B.QUOTED, B.REOPEN)
+        self.upto = np.append(0, np.cumsum(seps_b))  # separators inside quoted reading, before each line
+        closing = np.where(self.b != 2, np.arange(n), n)
+        self.next = np.append(np.minimum.accumulate(closing[::-1])[::-1], n)  # the first line at or behind, at which a quote ends
+        self.last = int(np.flatnonzero(self.b != 2)[-1]) if (self.b != 2).any() else -1
+
+    def fits(self, fields: int) -> bool:
+        return self.width is None or fields == self.width
+
+    def inner(self) -> dict[int, int]:
+        """Records of several lines that end here, first line -> last."""
+        out = {}
+        for at in np.flatnonzero(self.a == 2).tolist():
+            m = int(self.next[at + 1])
+            if m < len(self.ends) and self.b[m] == 0 and self.fits(int(self.seps_a[at] + self.upto[m + 1] - self.upto[at + 1]) + 1):
+                out[at] = m
+        return out
+
+    def tail(self) -> list[tuple[int, int]]:
+        """(line, fields so far) of the lines whose quote is still open at the end."""
+        n = len(self.ends)
+        return [(at, int(self.seps_a[at] + self.upto[n] - self.upto[at + 1])) for at in np.flatnonzero(self.a == 2).tolist() if at >= self.last]
+
+    def begins(self, entry: int, inner: dict[int, int], stop: int) -> list[int]:
+        """Lines below ``stop`` at which records begin, from the line ``entry`` on."""
+        out, at = [], entry
+        while at < stop:
+            out.append(at)
+            at = inner.get(at, at) + 1
+        return out
+
+
+def _guess(lines: list[str]) -> tuple[str, int] | None:
+    """(separator, fields) of the first line that names an address column."""
     for line in lines:
-        names = {s: [x.strip().strip('"').strip().lower() for x in line.split(s)] for s in B.SEPARATORS}
-        fit = [s for s in B.SEPARATORS if any(HEADERS.get(x) == "url" for x in names[s])]
+        names = {s: [x.strip().strip('"').strip().lower() for x in line.lstrip("﻿").split(s)] for s in B.SEPARATORS}
+        fit = [s for s in B.SEPARATORS if any(HEADERS.get(" ".join(x.split())) == "url" for x in names[s])]
         if fit:
-            return max(fit, key=lambda s: len(names[s]))
-    return best
+            sep = max(fit, key=lambda s: len(names[s]))
+            t = B.tokenize([line.lstrip("﻿").rstrip("\r").encode("utf-8", "replace")], [sep])
+            return sep, -1 if t["broken"][0] else int(t["fields"][0])
+    return None
+
+
+def _first(line: str) -> tuple[str, int]:
+    return max(B.SEPARATORS, key=lambda s: line.count(s)), -1
+
+
+def _layout(path: str, size: int) -> tuple[str, int]:
+    """(separator, fields of the header or -1) of a file; reads on until a line names an address column."""
+    first, rest, at = None, b"", 0
+    while at < size:
+        block = _read(path, at, 1 << 20)
+        at += len(block)
+        lines = (rest + block).split(b"\n")
+        rest = lines.pop() if at < size and block else b""
+        texts = [x.decode("utf-8", "replace") for x in lines]
+        first = texts[0] if first is None and texts else first
+        if (found := _guess(texts)) or not block:
+            return found or _first(first or "")
+    return _guess([rest.decode("utf-8", "replace")]) or _first(first or rest.decode("utf-8", "replace"))
 
 
 def split_records(raw: bytes, sep: str | None = None) -> list[str]:
     """The records of a whole file."""
     if not raw:
         return []
-    data = np.frombuffer(raw, np.uint8)
-    classes = _classes(data, sep or _guess(raw[:65536]))
-    state = B.states(classes)
-    ends = np.flatnonzero((classes == B.NEWLINE) & (state == B.START))
-    cuts = [0, *(int(e) + 1 for e in ends)]
-    out = [raw[a : b - 1] for a, b in zip(cuts, cuts[1:], strict=False)]
-    if cuts[-1] < len(raw):
-        out.append(raw[cuts[-1] :])
-    return [x.removesuffix(b"\r").decode("utf-8", "replace") for x in out]
+    texts = raw.decode("utf-8", "replace").split("\n")
+    found = (sep, -1) if sep else _guess(texts) or _first(texts[0])
+    lines = Lines(np.frombuffer(raw, np.uint8), found[0], found[1] if found[1] > 0 else None)
+    inner = lines.inner()
+    return [raw[lines.starts[at] : lines.ends[inner.get(at, at)]].removesuffix(b"\r").decode("utf-8", "replace") for at in lines.begins(0, inner, len(lines.ends))]
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("file_id", pa.int64()), ("file_name", pa.string()), ("line_no", pa.int32()), ("raw_line", pa.string()), ("warning", pa.string())])
-    for b in batches:
-        for file_id, path, raw in zip(b.column("file_id").to_pylist(), b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-            name = os.path.basename(path)
-            try:
-                if name.lower().endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        parts = [(n, z.read(n)) for n in z.namelist() if n.lower().endswith(".csv") and not n.endswith("/")]
-                elif name.lower().endswith(".csv"):
-                    parts = [(name, raw)]
-                else:
-                    raise ValueError("neither .csv nor .zip")
-            except Exception as e:
-                yield pa.RecordBatch.from_pydict({"file_id": [file_id << 20], "file_name": [name], "line_no": [None], "raw_line": [None], "warning": [f"{type(e).__name__}: {e}"[:200]]}, schema=kinds)
-                continue
-            for k, (part, content) in enumerate(parts):
-                lines = split_records(content)
-                for at in range(0, len(lines), 20_000):
-                    some = lines[at : at + 20_000]
-                    n = len(some)
-                    yield pa.RecordBatch.from_pydict({"file_id": [(file_id << 20) + k] * n, "file_name": [part] * n, "line_no": list(range(at + 1, at + n + 1)), "raw_line": some, "warning": [None] * n}, schema=kinds)
+def _batches(file_id: int, name: str, first: int, lines: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(lines), 20_000):
+        some = lines[at : at + 20_000]
+        n = len(some)
+        yield pa.RecordBatch.from_pydict({"file_id": [file_id] * n, "file_name": [name] * n, "line_no": list(range(first + at, first + at + n)), "raw_line": some, "warning": [None] * n}, schema=_KINDS)
+
+
+def _warning(file_id: int, name: str, why: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"file_id": [file_id], "file_name": [name], "line_no": [None], "raw_line": [None], "warning": [why[:200]]}, schema=_KINDS)
 
 
 def _read(path: str, start: int, size: int) -> bytes:
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    system, inner = _system(path)
     with system.open_input_file(inner) as f:
         return f.read_at(size, start)
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_end(path: str, at: int, size: int) -> int:
+    """The byte behind the first line break at or behind ``at``."""
+    while at < size:
+        block = _read(path, at, 1 << 20)
+        hit = block.find(b"\n")
+        if hit >= 0:
+            return at + hit + 1
+        at += len(block) or size
+    return size
+
+
+def _owned(r: dict) -> tuple[int, bytes]:
+    """(first byte, bytes) of the lines that begin in a range."""
+    start = r["start"] if r["start"] == 0 else _line_end(r["path"], r["start"] - 1, r["size"])
+    stop = min(r["start"] + r["bytes"], r["size"])
+    if start >= stop:
+        return start, b""
+    stop = _line_end(r["path"], stop - 1, r["size"])
+    return start, _read(r["path"], start, stop - start)
+
+
+RANGE = "file_id long, path string, size long, start long, bytes long, sep string, width int"
+SUMS = RANGE + ", lines long, closes long, closes_right boolean, closes_seps long, closes_at long, seps long, inside long, from_start long, from_close long, last_from_start boolean, last_from_close boolean, tail array<struct<line:long,fields:long>>"
+PLACED = RANGE + ", entry long, first long, tail_line long, tail_stop long"
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = b.to_pylist()
-        out = []
         for r in rows:
-            classes = _classes(np.frombuffer(_read(r["path"], r["start"], r["size"]), np.uint8), r["sep"])
-            newline = classes == B.NEWLINE
-            counts = [int(((B.states(classes, start=s) == B.START) & newline).sum()) for s in range(5)]
-            out.append({"file_id": r["file_id"], "start": r["start"], "element": int(B.summed(classes)[1][-1]), "counts": counts})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file_id", pa.int64()), ("start", pa.int64()), ("element", pa.int32()), ("counts", pa.list_(pa.int64()))]))
+            r["sep"], r["width"] = _layout(r["path"], r["size"])
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("size", pa.int64()), ("sep", pa.string()), ("width", pa.int32())]))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {k: pa.int64() for k in ("file_id", "size", "start", "bytes", "lines", "closes", "closes_seps", "closes_at", "seps", "inside", "from_start", "from_close")} | {"path": pa.string(), "sep": pa.string(), "width": pa.int32(), "closes_right": pa.bool_(), "last_from_start": pa.bool_(), "last_from_close": pa.bool_()}
+    kinds["tail"] = pa.list_(pa.struct([("line", pa.int64()), ("fields", pa.int64())]))
+    names = [x.split()[0] for x in SUMS.split(", ")]
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            start, raw = _owned(r)
+            if not raw:
+                out.append(r | {"lines": 0, "closes": -1, "closes_right": False, "closes_seps": 0, "closes_at": 0, "seps": 0, "inside": 0, "from_start": 0, "from_close": 0, "last_from_start": False, "last_from_close": False, "tail": []})
+                continue
+            x = Lines(np.frombuffer(raw, np.uint8), r["sep"], r["width"] if r["width"] > 0 else None)
+            inner, n = x.inner(), len(x.ends)
+            c = int(x.next[0]) if x.next[0] < n else -1
+            begins = [x.begins(entry, inner, x.last + 1) for entry in (0, c + 1)]
+            out.append(
+                r | {"lines": n, "closes": c, "closes_right": bool(c >= 0 and x.b[c] == 0), "closes_seps": int(x.upto[c + 1]), "closes_at": start + int(x.ends[c]) if c >= 0 else 0, "seps": int(x.upto[n]), "inside": x.last + 1}
+                | {f"from_{k}": len(v) for k, v in zip(("start", "close"), begins, strict=True)} | {f"last_from_{k}": x.last in v[-1:] for k, v in zip(("start", "close"), begins, strict=True)}
+                | {"tail": [{"line": at, "fields": k} for at, k in x.tail()]}
+            )
+        yield pa.RecordBatch.from_pylist([{k: o[k] for k in names} for o in out], schema=pa.schema([(k, kinds[k]) for k in names]))
+
+
+def _placed(sums):
+    """The ranges of ONE file (16,000 a TB) with where their records begin and how a record open at their end closes."""
+    import pandas as pd
+
+    rows = sums.sort_values("start").to_dict("records")
+    closing: list[tuple[bool, int, int, int] | None] = [None] * len(rows)  # (rightly, separators, byte, range) behind each range
+    for k in range(len(rows) - 2, -1, -1):
+        n, c = rows[k + 1], closing[k + 1]
+        closing[k] = (n["closes_right"], n["closes_seps"], n["closes_at"], k + 1) if n["closes"] >= 0 else c and (c[0], c[1] + n["seps"], c[2], c[3])
+    out, entry, first, skip = [], 0, 1, -1
+    for k, r in enumerate(rows):
+        if k < skip:  # the whole range is inside a record
+            out.append({**r, "entry": -1, "first": first, "tail_line": -1, "tail_stop": -1})
+            continue
+        if k != skip:
+            entry = 0
+        begins = (r["from_start"] if entry == 0 else r["from_close"]) if r["lines"] else 0
+        last = r["last_from_start"] if entry == 0 else r["last_from_close"]
+        line, stop = -1, -1
+        c = closing[k]
+        for t in r["tail"]:
+            if t["line"] >= entry and (t["line"] >= r["inside"] or last) and c and c[0] and (r["width"] <= 0 or t["fields"] + c[1] + 1 == r["width"]):
+                line, stop, skip = t["line"], c[2], c[3]
+                break
+        out.append({**r, "entry": entry, "first": first, "tail_line": line, "tail_stop": stop})
+        first += begins + (line + 1 if line >= 0 else r["lines"]) - max(r["inside"], entry)
+        entry = rows[skip]["closes"] + 1 if line >= 0 else 0
+    names = [x.split()[0] for x in PLACED.split(", ")]
+    return pd.DataFrame(out)[names]
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("file_id", pa.int64()), ("file_name", pa.string()), ("line_no", pa.int32()), ("raw_line", pa.string()), ("warning", pa.string())])
     for b in batches:
         for r in b.to_pylist():
-            raw, state, line = _read(r["path"], r["start"], r["size"]), r["state"], r["line"]
-            # a record that began before belongs to the range it began in, unless this is the first byte of it
-            classes = _classes(np.frombuffer(raw, np.uint8), r["sep"])
-            after = B.states(classes, start=state)
-            ends = [int(e) + 1 for e in np.flatnonzero((classes == B.NEWLINE) & (after == B.START))]
-            begins = ([0] if r["fresh"] else []) + [e for e in ends if e < len(raw)]
-            tail, at, last = b"", r["start"] + r["size"], int(after[-1]) if len(after) else state
-            while begins and (not ends or ends[-1] <= begins[-1]):  # the last record that begins here ends behind
-                more = _read(r["path"], at, 1 << 20)
-                if not more:
-                    ends.append(len(raw) + len(tail) + 1)
-                    break
-                c = _classes(np.frombuffer(more, np.uint8), r["sep"])
-                st = B.states(c, start=last)
-                hit = np.flatnonzero((c == B.NEWLINE) & (st == B.START))
-                if len(hit):
-                    ends.append(len(raw) + len(tail) + int(hit[0]) + 1)
-                last, at = int(st[-1]), at + len(more)
-                tail += more
-            text = raw + tail
-            ends_after = [e for e in ends if e > begins[0]] if begins else []
-            lines = [text[a : e - 1].removesuffix(b"\r").decode("utf-8", "replace") for a, e in zip(begins, ends_after, strict=False)]
-            first = line if r["fresh"] else line + 1
-            for k in range(0, len(lines), 20_000):
-                some = lines[k : k + 20_000]
-                n = len(some)
-                yield pa.RecordBatch.from_pydict({"file_id": [r["file_id"] << 20] * n, "file_name": [os.path.basename(r["path"])] * n, "line_no": list(range(first + k, first + k + n)), "raw_line": some, "warning": [None] * n}, schema=kinds)
-
-
-SCHEMA = "file_id long, file_name string, line_no int, raw_line string, warning string"
-
-
-def _large(spark: SparkSession, files: list[tuple[int, str, int]], range_bytes: int) -> DataFrame:
-    ranges = [(i, p, start, min(range_bytes, size - start), _guess(_read(p, 0, 65536))) for i, p, size in files for start in range(0, size, range_bytes)]
-    if len(ranges) > MOST_RANGES:
-        raise ValueError(f"more than {MOST_RANGES} ranges: raise range_bytes")
-    frame = spark.createDataFrame(ranges, "file_id long, path string, start long, size long, sep string").repartition(max(1, min(len(ranges), 100_000)), "file_id", "start")
-    sums = {(r["file_id"], r["start"]): r for r in map_arrow(frame, _sums, "file_id long, start long, element int, counts array<long>").collect()}
-    placed, state, line, fresh, last = [], B.START, 1, True, None
-    for i, p, start, size, sep in ranges:
-        if i != last:
-            state, line, fresh, last = B.START, 1, True, i
-        placed.append((i, p, start, size, sep, int(state), line, fresh))
-        s = sums[i, start]
-        line += s["counts"][state]
-        state = int(B.VALUE[s["element"], state])
-        fresh = _read(p, start + size - 1, 1) == b"\n" and state == B.START
-    frame = spark.createDataFrame(placed, "file_id long, path string, start long, size long, sep string, state int, line int, fresh boolean").repartition(max(1, min(len(placed), 100_000)), "file_id", "start")
-    return map_arrow(frame, _emit, SCHEMA)
+            if r["entry"] < 0:
+                continue
+            start, raw = _owned(r)
+            if not raw:
+                continue
+            x = Lines(np.frombuffer(raw, np.uint8), r["sep"], r["width"] if r["width"] > 0 else None)
+            inner, stop = x.inner(), r["tail_line"] if r["tail_line"] >= 0 else len(x.ends)
+            got = [raw[x.starts[at] : x.ends[inner.get(at, at)]] for at in x.begins(r["entry"], inner, stop)]
+            if r["tail_line"] >= 0:
+                at = start + int(x.starts[r["tail_line"]])
+                got.append(_read(r["path"], at, r["tail_stop"] - at))
+            yield from _batches(r["file_id"], os.path.basename(r["path"]), r["first"], [g.removesuffix(b"\r").decode("utf-8", "replace") for g in got])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, path, member, warning): what an archive holds; only its directory is read."""
+    kinds = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("member", pa.string()), ("warning", pa.string())])
+    for b in batches:
+        for i, path in zip(b.column("file_id").to_pylist(), b.column("path").to_pylist(), strict=True):
+            out = {"file_id": [], "path": [], "member": [], "warning": []}
+            try:
+                system, inner = _system(path)
+                with system.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
+                    names = [n for n in z.namelist() if n.lower().endswith(".csv")]
+                if len(names) >= 1 << PART_BITS:
+                    raise ValueError(f"more than {1 << PART_BITS} files in an archive")
+                rows = [(i + k, path, n, None) for k, n in enumerate(names)]
+            except Exception as e:
+                rows = [(i, path, None, f"{type(e).__name__}: {e}")]
+            out = {f.name: [row[k] for row in rows] for k, f in enumerate(kinds)}
+            yield pa.RecordBatch.from_pydict(out, schema=kinds)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of members of archives, one at a time."""
+    for b in batches:
+        for r in b.to_pylist():
+            if r["warning"] is not None:
+                yield _warning(r["file_id"], os.path.basename(r["path"]), r["warning"])
+                continue
+            try:
+                system, inner = _system(r["path"])
+                with system.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
+                    raw = z.read(r["member"])
+            except Exception as e:
+                yield _warning(r["file_id"], r["member"], f"{type(e).__name__}: {e}")
+                continue
+            yield from _batches(r["file_id"], r["member"], 1, split_records(raw))
+
+
+def read(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Records of files (file_id, path, size), file_id being a multiple of 2**PART_BITS."""
+    spark = files.sparkSession
+    ship(spark)
+    tasks = spark.sparkContext.defaultParallelism * 4
+    low = F.lower("path")
+    archives = map_arrow(files.where(low.endswith(".zip")).select("file_id", "path").repartition(tasks, "file_id"), _members, "file_id long, path string, member string, warning string")
+    out = map_arrow(archives.repartition(tasks, "file_id"), _whole, SCHEMA)
+    plain = map_arrow(files.where(low.endswith(".csv") & (F.col("size") > 0)).select("file_id", "path", "size").repartition(tasks, "file_id"), _ranges, "file_id long, path string, size long, sep string, width int")
+    plain = written(plain)
+    one = plain.where(F.col("size") <= range_bytes).select("file_id", "path", "size", F.lit(0).cast("long").alias("start"), F.col("size").alias("bytes"), "sep", "width", *[F.lit(v).cast("long").alias(k) for k, v in (("entry", 0), ("first", 1), ("tail_line", -1), ("tail_stop", -1))])
+    out = out.unionByName(map_arrow(one.repartition(tasks, "file_id"), _emit, SCHEMA))
+    many = plain.where(F.col("size") > range_bytes)
+    if not many.isEmpty():
+        ranges = many.select("file_id", "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"), F.lit(range_bytes).cast("long").alias("bytes"), "sep", "width")
+        pieces = max(tasks, int(many.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0]))
+        sums = map_arrow(ranges.repartition(min(pieces, 100_000), "file_id", "start"), _sums, SUMS)
+        placed = written(sums.groupBy("file_id").applyInPandas(_placed, PLACED))
+        out = out.unionByName(map_arrow(placed.repartition(min(pieces, 100_000), "file_id", "start"), _emit, SCHEMA))
+    return out
 
 
 def records(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file_id, file_name, line_no, raw_line, warning): the records of files, in the order of ``paths`` by file_id."""
-    small, large, missing = [], [], []
-    for i, p in enumerate(paths):
-        system, inner = fs.FileSystem.from_uri(p if "://" in p else os.path.abspath(p))
-        info = system.get_file_info(inner)
-        if info.type != fs.FileType.File:
-            missing.append((i << 20, os.path.basename(p), None, None, "no such file"))
-        elif info.size > range_bytes and p.lower().endswith(".csv"):
-            large.append((i, p, info.size))
-        else:
-            small.append((i, p))
-    out = spark.createDataFrame(missing, SCHEMA)
-    if small:
-        uri = {p if "://" in p else "file:" + os.path.abspath(p): i for i, p in small}
-        ids = spark.createDataFrame([(k, v) for k, v in uri.items()], "uri string, file_id long")
-        raw = spark.read.format("binaryFile").load([p for _, p in small]).select(F.regexp_replace("path", "^file:/+", "file:/").alias("uri"), "path", "content")
-        out = out.unionByName(map_arrow(raw.join(F.broadcast(ids), "uri").select("file_id", "path", "content"), _whole, SCHEMA))
-    if large:
-        out = out.unionByName(_large(spark, large, range_bytes))
-    return out
+    size = sizes(paths)
+    known = [(i << PART_BITS, p, size[p]) for i, p in enumerate(paths) if p in size and p.lower().endswith((".csv", ".zip"))]
+    other = [(i << PART_BITS, os.path.basename(p), None, None, "no such file" if p not in size else "neither .csv nor .zip") for i, p in enumerate(paths) if not (p in size and p.lower().endswith((".csv", ".zip")))]
+    return spark.createDataFrame(other, SCHEMA).unionByName(read(spark.createDataFrame(known, "file_id long, path string, size long"), range_bytes))
+
+
+def _writer(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = _system(folder)
+        at, out, made = None, None, []
+        for b in batches:
+            for file_id, name, line in zip(b.column("file_id").to_pylist(), b.column("name").to_pylist(), b.column("raw_line").to_pylist(), strict=True):
+                if file_id != at:
+                    if out:
+                        out.close()
+                    at, out = file_id, system.open_output_stream(f"{inner}/{name}.csv")
+                    made.append(f"{inner}/{name}.csv")
+                out.write(line.encode() + b"\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"path": made}, schema=pa.schema([("path", pa.string())]))
+
+    return run
+
+
+def export(rows: DataFrame, folder: str) -> list[str]:
+    """Write records (file_id, name, line_no, raw_line) as one CSV file per file_id; a task that runs again writes the same."""
+    system, inner = _system(folder)
+    system.create_dir(inner, recursive=True)
+    placed = rows.select("file_id", "name", "line_no", "raw_line").repartition("file_id").sortWithinPartitions("file_id", "line_no")
+    map_arrow(placed, _writer(folder), "path string").count()
+    return discover(folder)
 
 
 class Ingest:
     """Files of one import: typed rows merged by page, faulty records, warnings, counters and status."""
 
     def __init__(self, spark: SparkSession, paths: list[str], header_within: int | None = 5, override: dict[str, str] | None = None):
-        lines = records(spark, paths)
+        lines = written(records(spark, paths))
         self.raw = lines.where("warning is null").withColumn("loaded_at", F.lit(None).cast("timestamp"))
         self.warnings = lines.where("warning is not null").select("file_name", "warning")
         self.header_within = header_within
         self.override = override or {}
 
     def rows(self) -> DataFrame:
-        """Typed rows in the order of files and lines (``ord``)."""
-        return B.typed(self.raw, self.override).withColumn("ord", F.shiftleft("file_id", 24) + F.col("line_no"))
+        """Typed rows; ``ord`` is their place by file and line. The header of a file is looked for in its first
+        ``header_within`` records."""
+        return B.typed(self.raw, self.override, self.header_within).withColumn("ord", F.struct("file_id", "line_no"))
 
     def pages(self) -> DataFrame:
         """One row per page: the first value of each column that isn't blank."""
         return merge.first_wins(self.rows().drop("file_id", "line_no"), keys=("url",))
 
     def faulty(self) -> DataFrame:
-        return B.faulty(self.raw)
+        return B.faulty(self.raw, self.header_within)
 
     def unknown_columns(self) -> DataFrame:
         """(name): headers that name no canonical column."""

@@ -109,7 +109,7 @@ def test_typed_rows(spark):
     out = {r.line_no: r for r in B.typed(frame(spark, rows)).collect()}
     assert set(out) == {3}  # 1,200 isn't a status
     assert (out[3].status_code, out[3].title, out[3].in_sitemap, out[3].response_time_ms) == (404, None, False, None)
-    assert out[3].extra == {"title 1": " second"}
+    assert out[3].extra == {"Title 1": " second"}
 
 
 def test_empty(spark):
@@ -121,6 +121,6 @@ def test_empty(spark):
 def test_headers_override_and_repeats(spark):
     rows = [(1, 1, "Address,Title,Title,Titolo,Words"), (1, 2, "https://a.test/,left,right,forced,7")]
     plain = B.typed(frame(spark, rows)).first()
-    assert (plain.title, plain.word_count, plain.extra) == ("right", 7, {"titolo": "forced", "title": "left"})
+    assert (plain.title, plain.word_count, plain.extra) == ("right", 7, {"Titolo": "forced", "Title": "left"})
     forced = B.typed(frame(spark, rows), {" TITOLO ": "title", "words": "inlinks"}).first()
     assert (forced.title, forced.word_count, forced.inlinks) == ("forced", None, 7)
