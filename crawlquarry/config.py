@@ -16,9 +16,14 @@ class CrawlSettings:
     threads: int | None = None
     urls_per_second: float | None = None
     respect_robots: bool = True
+    crawl_subdomains: bool = False
     render_scripts: bool = False
+    crawl_sitemap: bool = True
+    user_agent: str | None = None
+    custom_config_path: str | None = None
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
+    sitemap_urls: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if not self.start_url.lower().startswith(("http://", "https://")):

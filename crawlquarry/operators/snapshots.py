@@ -6,6 +6,10 @@ version at hand, stream over the run once: pages of consecutive snapshots are co
 is an added or a removed page. The ranges come from sampled keys, so a schedule with a third of all rows is cut like any
 other; one shuffle and one sort serve deduplication and comparison, and no group is ever held.
 
+That derives the changes of a whole history at once. :class:`Kept` is for deliveries as they come: it keeps the last
+snapshot of every schedule cut and sorted by key, so that a new one alone is shuffled, and merges the two run by run. The
+cuts are buckets of the key's hash there, since only those let a stored side stay where it is.
+
 Defined results
     Rows with a null url or of an unknown or null audit are no pages of a snapshot. A url of only spaces is the url ''.
     Audits without schedule, or not READY, don't count; the first READY audit of a schedule has no cases. Of audits at
@@ -16,11 +20,16 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlquarry.plans.sized import small, written
 
+#: Buckets of kept snapshots: each should fit a task.
+BUCKETS = 64
+
 KEY = ("schedule_id", "url")
 
 
@@ -67,3 +76,46 @@ def changes(pages: DataFrame, audits: DataFrame, columns: tuple[str, ...] = ("st
         F.when(F.col("next_audit_id").isNotNull() & ~F.coalesce(F.col("n_seq") == F.col("seq") + 1, F.lit(False)), case(F.col("next_audit_id"), "removed", none)),
     )
     return version.select("schedule_id", "url", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).select("schedule_id", "c.audit_id", "url", "c.change_kind", "c.changed")
+
+
+class Kept:
+    """The last snapshot of every schedule, kept under a folder that all executors share. Each version is a table of its
+    own, bucketed and sorted by (schedule, url); it also holds what its delivery changed, pages that it removed included."""
+
+    def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...] = ("status_code", "title", "canonical"), buckets: int = BUCKETS):
+        self.spark, self.path, self.columns, self.buckets = spark, path.rstrip("/"), list(columns), buckets
+        self.table: str | None = None
+        self.known: DataFrame | None = None
+
+    def _first(self, pages: DataFrame, audits: DataFrame) -> DataFrame:
+        """The counting row of each page of the audits (audit_id, schedule_id), one shuffle by key."""
+        mine = pages.where(F.col("url").isNotNull()).select("audit_id", F.expr("trim(url)").alias("url"), "ord", *self.columns).join(small(audits), "audit_id").repartition(self.buckets, *KEY)
+        w = Window.partitionBy(*KEY).orderBy(F.desc("ord"), *[F.desc(c) for c in self.columns])
+        return mine.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*KEY, "audit_id", *self.columns)
+
+    def advance(self, pages: DataFrame, audits: DataFrame) -> None:
+        """Take in one new snapshot of each of some schedules: ``audits`` (audit_id, schedule_id, READY ones, at most one of
+        a schedule), ``pages`` as for :func:`changes`."""
+        audits = written(audits.select("audit_id", "schedule_id").where("audit_id is not null and schedule_id is not null"))
+        if not audits.groupBy("schedule_id").count().where("count > 1").isEmpty():
+            raise ValueError("more than one new snapshot of a schedule: take them in one after the other")
+        new = self._first(pages, audits)
+        text = {c: t == "string" for c, t in new.dtypes}
+        old = self.spark.table(self.table).where("present").select(*KEY, "audit_id", *self.columns) if self.table else new.limit(0)
+        before = self.known if self.known is not None else audits.limit(0)
+        batch = audits.select("schedule_id", F.col("audit_id").alias("now")).join(before.select("schedule_id", F.lit(True).alias("again")), "schedule_id", "left")
+        o, n = old.select(*KEY, *[F.col(c).alias(f"o_{c}") for c in ("audit_id", *self.columns)]), new.select(*KEY, *[F.col(c).alias(f"n_{c}") for c in ("audit_id", *self.columns)])
+        both = o.join(n, list(KEY), "full_outer").join(small(written(batch)), "schedule_id", "left")
+        here, there, fresh = F.col("n_audit_id").isNotNull(), F.col("o_audit_id").isNotNull(), F.col("now").isNotNull()
+        differ = F.array_compact(F.array(*[F.when(~_same(F.col(f"n_{c}"), F.col(f"o_{c}"), text[c]), F.lit(c)) for c in self.columns]))
+        kind = F.when(fresh & F.col("again"), F.when(~there, "added").when(~here, "removed").when(F.size(differ) > 0, "changed"))
+        keep = lambda c: F.when(fresh & here, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c)
+        after = both.select(*KEY, F.coalesce("now", "o_audit_id").alias("audit_id"), *map(keep, self.columns), (~fresh | here).alias("present"), kind.alias("change_kind"), F.when(kind == "changed", differ).otherwise(F.array().cast("array<string>")).alias("changed"))
+        name = f"crawlquarry_{uuid.uuid4().hex}"
+        after.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
+        self.known = written(before.select("schedule_id").unionByName(audits.select("schedule_id")).distinct())
+        self.table = name
+
+    def changes(self) -> DataFrame:
+        """(schedule_id, audit_id, url, change_kind, changed) of the last delivery."""
+        return self.spark.table(self.table).where("change_kind is not null").select("schedule_id", "audit_id", "url", "change_kind", "changed")

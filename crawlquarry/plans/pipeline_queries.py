@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlquarry.operators import bad_records, drift, packed, snapshots, units
-from crawlquarry.plans.sized import scratch
+from crawlquarry.plans.sized import scratch, written
 from crawlquarry.schema import COLUMNS
 from crawlquarry.sources import csv_files
 
@@ -89,6 +89,17 @@ def p3_changed_columns(spark: SparkSession, d: str) -> DataFrame:
     return found.select("audit_id", F.explode("changed").alias("column_name")).groupBy("audit_id", "column_name").agg(F.count("*").alias("n_changed"))
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the last snapshot of each schedule, merged into the kept one before it."""
+    pages, audits = table(spark, d, "compare_urls"), table(spark, d, "audits")
+    line = written(snapshots.timeline(audits))
+    kept = snapshots.Kept(spark, scratch(spark))
+    ending = line.join(line.where("next_audit_id is null").select("schedule_id", F.col("seq").alias("last")), "schedule_id")
+    kept.advance(pages, ending.where("seq = last - 1"))
+    kept.advance(pages, ending.where("seq = last"))
+    return kept.changes().select("schedule_id", "audit_id", "url", "change_kind")
+
+
 def _units(spark: SparkSession, d: str) -> units.Units:
     return units.Units(table(spark, d, "crawled_urls"), table(spark, d, "audits"), table(spark, d, "unit_scale"))
 
@@ -116,7 +127,7 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return packed.values(table(spark, d, "crawled_urls"), least=1)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, files_rows, files_bytes, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p4_found, p4_values, p4_sources, p5_found, p5_values)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, files_rows, files_bytes, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p3_kept, p4_found, p4_values, p4_sources, p5_found, p5_values)}
 
 #: Fixed to the definitions of the problems; independent of the operators (regular expressions and joins).
 SQL: dict[str, str] = {
@@ -176,6 +187,10 @@ union all select file_id, 'renamed', new_name from ren
 union all select kept.file_id, 'type_changed', kept.name from kept join h o on o.file_id = kept.prev_id and o.name = kept.before join k kn on kn.file_id = kept.file_id and kn.pos = kept.pos join k ko on ko.file_id = o.file_id and ko.pos = o.pos where kn.kind <> ko.kind"""
 
 
+# ---- all of p3: the last delivery alone ---------------------------------------------------------------------------
+SQL["p3_kept"] = SQL["p3_found"] + " and a.seq = (select max(seq) from a b where b.schedule_id = a.schedule_id)"
+
+
 # ---- all of p1: offsets of faults and typed rows -------------------------------------------------------------------
 _P1 = SQL["p1_found"]
 _TOKENS = _P1[: _P1.index("\nselect file_id")]

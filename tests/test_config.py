@@ -12,3 +12,8 @@ def test_settings():
 def test_bounds(bad):
     with pytest.raises(ValueError):
         CrawlSettings.of({"start_url": "https://a.test/"} | bad)
+
+
+def test_sitemaps_and_switches():
+    s = CrawlSettings.of({"start_url": "https://a.test/", "sitemap_urls": "https://a.test/s.xml\n\n", "crawl_sitemap": "no", "crawl_subdomains": "on", "user_agent": "", "custom_config_path": "/x"})
+    assert (s.sitemap_urls, s.crawl_sitemap, s.crawl_subdomains, s.user_agent, s.custom_config_path) == (["https://a.test/s.xml"], False, True, None, "/x")
