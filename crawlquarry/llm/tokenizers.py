@@ -7,6 +7,10 @@ import os
 from collections.abc import Callable
 from functools import cache
 
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
+
+#: Folder on the driver; where executors lack it, they take the files that :func:`ship` gave them.
 DEFAULT_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 #: The pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -14,19 +18,45 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BYTE_LEVEL = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 
+ENDS = (".tiktoken", ".model", ".json")
+
+
+def ship(spark: SparkSession, names: list[str], folder: str = DEFAULT_DIR) -> None:
+    """Give vocabulary files to all executors, each once per application."""
+    sc = spark.sparkContext
+    done = sc.__dict__.setdefault("_crawlquarry_vocabularies", set())
+    for path in (os.path.join(folder, n + end) for n in names for end in ENDS):
+        if path not in done and os.path.exists(path):
+            sc.addFile(path)
+            done.add(path)
+
+
+def _file(name: str, end: str, folder: str) -> str | None:
+    path = os.path.join(folder, name + end)
+    if os.path.exists(path):
+        return path
+    try:
+        path = SparkFiles.get(name + end)
+    except Exception:  # outside of a session and of a task
+        return None
+    return path if os.path.exists(path) else None
+
+
 @cache
 def encoder(name: str, folder: str = DEFAULT_DIR) -> Callable[[list[str]], list[list[int]]]:
     """Texts to ids, without special tokens; their strings in a text are ordinary text."""
     if name in BYTE_LEVEL:
         import tiktoken
 
-        with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        path = _file(name, ".tiktoken", folder)
+        if path is None:
+            raise ValueError(f"no tokenizer {name!r} in {folder}")
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [own.encode_ordinary(t) for t in texts]
     for end in (".model", ".json"):
-        path = os.path.join(folder, name + end)
-        if os.path.exists(path):
+        if path := _file(name, end, folder):
             break
     else:
         raise ValueError(f"no tokenizer {name!r} in {folder}")

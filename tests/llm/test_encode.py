@@ -88,3 +88,21 @@ def test_shared_chunks_in_tasks_or_joined(spark, monkeypatch):
     for name in ("MOST_SHARED", "SHARED_BYTES"):
         monkeypatch.setattr(E, name, 0)
         assert sorted((r.doc_id or 0, list(r.ids)) for r in E.ids(df).collect()) == want
+
+
+def test_vocabularies_reach_executors_without_the_folder(spark):
+    from crawlquarry.functions.arrow import map_arrow
+
+    T.ship(spark, ["byte_bpe_50k"])
+
+    def run(batches):
+        for b in batches:
+            import pyarrow as pa
+
+            from crawlquarry.llm import tokenizers
+
+            got = tokenizers.encoder("byte_bpe_50k", "/no/such/folder")(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], names=["ids"])
+
+    df = spark.createDataFrame([("A text.",)], "text string")
+    assert [list(r.ids) for r in map_arrow(df, run, "ids array<int>").collect()] == T.encoder("byte_bpe_50k")(["A text."])
