@@ -4,7 +4,8 @@ The pages of all snapshots are range-partitioned by (schedule, url) and sorted b
 is one sorted run in which the versions of a page stand beside each other. Two pointers, the version before and the
 version at hand, stream over the run once: pages of consecutive snapshots are compared, a gap before or behind a version
 is an added or a removed page. The ranges come from sampled keys, so a schedule with a third of all rows is cut like any
-other; one shuffle and one sort serve deduplication and comparison, and no group is ever held.
+other; one shuffle and one sort serve deduplication and comparison, and no group is ever held. Texts are only compared, so
+64-bit hashes of them move in their place.
 
 That derives the changes of a whole history at once. :class:`Kept` is for deliveries as they come: it keeps the last
 snapshot of every schedule cut and sorted by key, so that a new one alone is shuffled, and merges the two run by run. The
@@ -14,8 +15,8 @@ Defined results
     Rows with a null url or of an unknown or null audit are no pages of a snapshot. A url of only spaces is the url ''.
     Audits without schedule, or not READY, don't count; the first READY audit of a schedule has no cases. Of audits at
     the same time the smaller audit_id comes first. An audit without rows is an empty snapshot: all pages are removed.
-    Of several rows of a page in one audit that with the highest ord counts (null is lowest; a tie takes the greatest
-    values). Null and empty texts are equal; a null status code equals only null. Extra columns don't matter.
+    Of several rows of a page in one audit that with the highest ord counts (null is lowest; a tie takes one of them by
+    its values, always the same). Null and empty texts are equal; a null status code equals only null. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -40,12 +41,17 @@ def timeline(audits: DataFrame) -> DataFrame:
     return ready.select("audit_id", "schedule_id", "audit_date").distinct().select("audit_id", "schedule_id", F.row_number().over(w).alias("seq"), F.lead("audit_id").over(w).alias("next_audit_id"))
 
 
-def sorted_runs(pages: DataFrame, audits: DataFrame, columns: list[str]) -> DataFrame:
-    """The pages of scheduled snapshots as range-partitioned runs, sorted by (schedule, url, snapshot). This is also the
-    layout to store snapshots in: written as it is, files hold disjoint key ranges."""
-    line = small(written(timeline(audits)))
-    mine = pages.where(F.col("url").isNotNull()).select("audit_id", F.expr("trim(url)").alias("url"), "ord", *columns)
-    return mine.join(line, "audit_id").repartitionByRange(*KEY).sortWithinPartitions(*KEY, "seq", F.desc("ord"), *[F.desc(c) for c in columns])
+def _compared(pages: DataFrame, columns: list[str]) -> list[Column]:
+    """Columns to compare: numbers as they are, texts by their hash, null ones as empty ones."""
+    text = {c: t == "string" for c, t in pages.dtypes}
+    return [F.xxhash64(F.coalesce(c, F.lit(""))).alias(c) if text[c] else F.col(c) for c in columns]
+
+
+def sorted_runs(pages: DataFrame, line: DataFrame, columns: list[str]) -> DataFrame:
+    """The pages of the snapshots of a timeline as range-partitioned runs, sorted by (schedule, url, snapshot)."""
+    line = small(line.select("audit_id", "schedule_id", "seq", F.col("next_audit_id").isNull().alias("is_last")))
+    mine = pages.where(F.col("url").isNotNull()).select("audit_id", F.expr("trim(url)").alias("url"), "ord", *_compared(pages, columns))
+    return mine.join(line, "audit_id").drop("audit_id").repartitionByRange(*KEY).sortWithinPartitions(*KEY, "seq", F.desc("ord"), *[F.desc(c) for c in columns])
 
 
 def _same(a: Column, b: Column, text: bool) -> Column:
@@ -56,26 +62,28 @@ def changes(pages: DataFrame, audits: DataFrame, columns: tuple[str, ...] = ("st
     """(schedule_id, audit_id, url, change_kind, changed): typed changes, audit_id being the later snapshot's and
     ``changed`` naming the columns of a ``changed`` page."""
     cols = list(columns)
-    text = {c: t == "string" for c, t in pages.dtypes}
-    runs = sorted_runs(pages, audits, cols)
+    line = written(timeline(audits))
+    runs = sorted_runs(pages, line, cols)
     first = Window.partitionBy(*KEY, "seq").orderBy(F.desc("ord"), *[F.desc(c) for c in cols])
     page = runs.select("*", F.row_number().over(first).alias("_n")).where("_n = 1")
     run = Window.partitionBy(*KEY).orderBy("seq")
     version = page.select(
-        *KEY, "seq", "audit_id", "next_audit_id", *cols,
+        *KEY, "seq", "is_last", *cols,
         F.lag("seq").over(run).alias("p_seq"), F.lead("seq").over(run).alias("n_seq"),
         *[F.lag(c).over(run).alias(f"p_{c}") for c in cols],
     )
     beside = F.col("p_seq") == F.col("seq") - 1
-    differ = F.filter(F.array(*[F.when(~_same(F.col(c), F.col(f"p_{c}"), text[c]), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
+    differ = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"p_{c}")), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    case = lambda audit, kind, names: F.struct(audit.alias("audit_id"), F.lit(kind).alias("change_kind"), names.alias("changed"))
+    case = lambda seq, kind, names: F.struct(seq.alias("seq"), F.lit(kind).alias("change_kind"), names.alias("changed"))
     found = F.array(
-        F.when((F.col("seq") > 1) & ~F.coalesce(beside, F.lit(False)), case(F.col("audit_id"), "added", none)),
-        F.when(beside & (F.size(differ) > 0), case(F.col("audit_id"), "changed", differ)),
-        F.when(F.col("next_audit_id").isNotNull() & ~F.coalesce(F.col("n_seq") == F.col("seq") + 1, F.lit(False)), case(F.col("next_audit_id"), "removed", none)),
+        F.when((F.col("seq") > 1) & ~F.coalesce(beside, F.lit(False)), case(F.col("seq"), "added", none)),
+        F.when(beside & (F.size(differ) > 0), case(F.col("seq"), "changed", differ)),
+        F.when(~F.col("is_last") & ~F.coalesce(F.col("n_seq") == F.col("seq") + 1, F.lit(False)), case(F.col("seq") + 1, "removed", none)),
     )
-    return version.select("schedule_id", "url", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).select("schedule_id", "c.audit_id", "url", "c.change_kind", "c.changed")
+    cases = version.select("schedule_id", "url", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).select("schedule_id", "url", "c.*")
+    names = small(line.select("schedule_id", "seq", "audit_id"))
+    return cases.join(names, ["schedule_id", "seq"]).select("schedule_id", "audit_id", "url", "change_kind", "changed")
 
 
 class Kept:
