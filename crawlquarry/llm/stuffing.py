@@ -63,8 +63,10 @@ HIDDEN = re.compile("[​-‏‪-‮⁠﻿­]")
 BLOCK = re.compile(r"[^\n.!?…。！？؟;]*(?:[.!?…؟](?=\S)[^\n.!?…。！？؟;]*|;[^\n.!?…。！？؟;]*)*[.!?…。！？؟]*[」』）]*")
 PIECE = re.compile(r"(?<!\s)\s+[|>·•/]\s+")
 ITEM = re.compile(r"([,;:|·#=•>、，；：｜・،؛]+|\s/\s|(?i:https?://)\S+)")
-ENDS = re.compile(r"[.!?…。！？؟][\"'»”’)\]」』）]*\s*$")
+#: Marks that end a sentence, and what may close behind them.
+MARKS, CLOSERS = tuple(".!?…。！？؟"), "\"'»”’)]」』）"
 WORD = re.compile(r"[^\s,;|.!?…:()\[\]{}\"<>/=#·•*>~+–—、。，！？；：｜・「」『』（）،؛؟-]+")
+HAS_DIGIT = re.compile(r"\d")
 SEPARATOR = re.compile(r"[,;:|#=·•/>~+、，；：｜・،؛]|https?:|\b\d+[.)]\s|(?<=[぀-ヿ㐀-鿿฀-๿])\s+(?=[぀-ヿ㐀-鿿฀-๿])")
 LINK = re.compile(r"(?i)(?:https?://|www\.)\S+|<a\s[^>]{0,2000}>|(?<![\w.-])[\w.-]{1,80}\.(?:example|test|com|org|net|de|it|fr|es)/\S*")
 LOG = re.compile(r"^\s*\[?(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\d\d:\d\d:\d\d|\d{1,3}(?:\.\d{1,3}){3} - )")
@@ -129,7 +131,10 @@ def _lines(text: str) -> list[tuple[str, str]]:
         elif is_code(line) and not LINK.search(line):
             out.append((line, "code"))
         else:
-            out += [(p.strip(), "text") for b in BLOCK.findall(line) for p in PIECE.split(b) if p.strip()]
+            parts = BLOCK.findall(line)
+            if any(c in line for c in "|>·•/"):
+                parts = [p for b in parts for p in PIECE.split(b)]
+            out += [(q, "text") for p in parts if (q := p.strip())]
     return out
 
 
@@ -140,7 +145,9 @@ def unlinked(block: str) -> str:
 
 
 def words_of(plain: str) -> list[str]:
-    words = [w for w in WORD.findall(plain) if not w.isdigit()]
+    words = WORD.findall(plain)
+    if HAS_DIGIT.search(plain):
+        words = [w for w in words if not w.isdigit()]
     if not plain.isascii() and UNSPACED.search(plain):
         words = [x for w in words for run in UNSPACED_RUN.findall(w) if not run.isdigit() for x in (_pairs(run) if UNSPACED.match(run) else [run])]
     return [w.strip("'’") for w in words] if "'" in plain or "’" in plain else words
@@ -211,7 +218,7 @@ class Reader:
                 plain = unlinked(b)
                 ws = words_of(plain)
                 n_words += len(ws)
-                ended = ENDED if ENDS.search(b) else 0
+                ended = ENDED if b.rstrip(CLOSERS).endswith(MARKS) else 0
                 ends += bool(ended)
                 listed = full_of_separators(plain, ws)
                 flags = TEXT | ended | (LISTED if listed or not ended else 0) | (LIST_BLOCK if listed else 0) | (REPEATS if 3 * len(set(ws)) < 2 * len(ws) else 0)
@@ -272,6 +279,13 @@ def _units(b: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {"doc_of_window": doc_of_window, "window": window, "doc": doc_of_window[window] if len(window) else window, "n_words": n_words, "flags": _flat(b, "flags"), "script": _flat(b, "script")}
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct integers in order, and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.diff(np.append(new, len(keys)))
+
+
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, script, word, n, m): blocks of three words or more in which a word stands that are sentences, and that are
     lists. The word 0 of script -1 has all such blocks."""
@@ -289,8 +303,8 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = (lang_at[u["doc"][first]] * 16 + u["script"][first]) * 2 + listed  # of each block
         at = np.repeat(block, u["n_words"])
         use, size = fit[at], max(1, len(words))
-        once = np.unique(at[use] * size + codes[use])  # (block, word)
-        keys, count = np.unique(group[once // size] * size + once % size, return_counts=True)
+        once, _ = _counted(at[use] * size + codes[use])  # (block, word)
+        keys, count = _counted(group[once // size] * size + once % size)
         g, w = keys // size, words[keys % size] if len(words) else keys
         n, m = np.where(g % 2 == 0, count, 0), np.where(g % 2 == 1, count, 0)
         cols = [[names[i] for i in g // 32] + [""], np.append(g // 2 % 16, -1), np.append(w, 0), np.append(n, int((fit & (listed == 0)).sum())), np.append(m, int((fit & (listed == 1)).sum()))]
