@@ -67,7 +67,9 @@ ITEM = re.compile(r"([,;:|·#=•>、，；：｜・،؛]+|\s/\s|(?i:https?://)\
 MARKS, CLOSERS = tuple(".!?…。！？؟"), "\"'»”’)]」』）"
 WORD = re.compile(r"[^\s,;|.!?…:()\[\]{}\"<>/=#·•*>~+–—、。，！？；：｜・「」『』（）،؛؟-]+")
 HAS_DIGIT = re.compile(r"\d")
-SEPARATOR = re.compile(r"[,;:|#=·•/>~+、，；：｜・،؛]|https?:|\b\d+[.)]\s|(?<=[぀-ヿ㐀-鿿฀-๿])\s+(?=[぀-ヿ㐀-鿿฀-๿])")
+SEPARATOR = re.compile(r"[,;:|#=·•/>~+、，；：｜・،؛]")
+NUMBERED = re.compile(r"\b\d+[.)]\s")
+GAP = re.compile(r"(?<=[぀-ヿ㐀-鿿฀-๿])\s+(?=[぀-ヿ㐀-鿿฀-๿])")
 LINK = re.compile(r"(?i)(?:https?://|www\.)\S+|<a\s[^>]{0,2000}>|(?<![\w.-])[\w.-]{1,80}\.(?:example|test|com|org|net|de|it|fr|es)/\S*")
 LOG = re.compile(r"^\s*\[?(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\d\d:\d\d:\d\d|\d{1,3}(?:\.\d{1,3}){3} - )")
 KEYWORD = re.compile(r"(?:const|let|var|def|class|import|from|return|function|if|for|while|else|try|public|private|select|insert|update)\b")
@@ -168,7 +170,13 @@ def script(text: str) -> str:
 
 
 def full_of_separators(plain: str, words: list[str]) -> bool:
-    return 4 * len(SEPARATOR.findall(plain)) > len(words)
+    """More than one separator, item number or gap between unspaced words to four words."""
+    n = len(SEPARATOR.findall(plain))
+    if HAS_DIGIT.search(plain):
+        n += len(NUMBERED.findall(plain))
+    if not plain.isascii() and UNSPACED.search(plain):
+        n += len(GAP.findall(plain))
+    return 4 * n > len(words)
 
 
 def ratio(block: str) -> tuple[int, float]:
