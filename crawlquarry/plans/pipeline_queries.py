@@ -50,6 +50,19 @@ def files_rows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.rows().join(names, "file_id").select("file_name", "url", "status_code", "title", "word_count", "inlinks", "in_sitemap")
 
 
+PAGE_COLUMNS = ["status_code", "indexability", "title", "word_count", "inlinks", "in_sitemap"]
+
+
+def files_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The same files merged by page: the first value of each column, the last of each unknown one."""
+    return _flat(csv_files.Ingest(spark, _export(spark, d), header_within=None).pages().select("url", *PAGE_COLUMNS, "extra"), "extra")
+
+
+def unknown_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of all exports that name no canonical column."""
+    return csv_files.unknown(drift.timeline(table(spark, d, "export_files")))
+
+
 def files_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Number and size of the files of an import."""
     size = csv_files.sizes(_export(spark, d))
@@ -127,7 +140,7 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return packed.values(table(spark, d, "crawled_urls"), least=1)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, files_rows, files_bytes, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p3_kept, p4_found, p4_values, p4_sources, p5_found, p5_values)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, files_rows, files_pages, unknown_headers, files_bytes, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p3_kept, p4_found, p4_values, p4_sources, p5_found, p5_values)}
 
 #: Fixed to the definitions of the problems; independent of the operators (regular expressions and joins).
 SQL: dict[str, str] = {
@@ -218,15 +231,23 @@ def _typed_sql(final: str, keep: str) -> str:
     cell = "list_transform(regexp_extract_all(sep || l, '(?s)' || s || '(\"(?:[^\"]|\"\")*\"|[^\"' || s || ']*)', 1), lambda x: case when x like '\"%' then replace(substr(x, 2, length(x) - 2), '\"\"', '\"') else x end)"
     columns = ", ".join(f"{kinds[kind](f'g[at_{k}]')} as {k}" for k, (kind, _) in COLUMNS.items())
     rest = f"list_filter(list_transform(range(1, len(rn) + 1), lambda i: case when i in ({', '.join(f'coalesce(at_{k}, 0)' for k in COLUMNS)}) or coalesce(trim(g[i]), '') = '' then null else rn[i] || case when list_position(rn, rn[i]) <> i then '#' || (i - 1) else '' end || '=' || g[i] end), lambda x: x is not null)"
+    pairs = rest.replace("end || '=' || g[i] end", "end || chr(1) || g[i] end")
     return (
         latest + f", m as (select file_id, line_no, l, s, sep, {names} as ns, {raw} as rn, {cell} as g from v where reason is null), "
         + f"b as (select *, {', '.join(f'{a} as at_{k}' for k, a in at.items())} from m), "
-        + f"z as (select file_id, line_no, {columns}, array_to_string(list_sort({rest}), '|') as extra from b) select {keep} from z {final}"
+        + f"z as (select file_id, line_no, {columns}, {pairs} as pairs, array_to_string(list_sort({rest}), '|') as extra from b) select {keep} from z {final}"
     )
 
 
-SQL["p1_rows"] = _typed_sql("", "*")
+SQL["p1_rows"] = _typed_sql("", "* exclude (pairs)")
 SQL["files_rows"] = _typed_sql("where url is not null", "cast(file_id as varchar) || '.csv' as file_name, url, status_code, title, word_count, inlinks, in_sitemap")
+SQL["files_pages"] = (
+    "with y as (select *, row_number() over (order by cast(file_id as varchar), line_no) as o from (" + _typed_sql("where url is not null", "*") + ")), "
+    "k as (select url, split_part(pair, chr(1), 1) as key, arg_max(split_part(pair, chr(1), 2), o) as value from (select url, o, unnest(pairs) as pair from y) group by 1, 2), "
+    "e as (select url, array_to_string(list_sort(list(key || '=' || value)), '|') as extra from k group by url) "
+    "select y.url, " + ", ".join(f"arg_min({c}, o) filter (where {c} is not null) as {c}" for c in PAGE_COLUMNS) + ", coalesce(any_value(e.extra), '') as extra from y left join e on e.url = y.url group by y.url"
+)
+SQL["unknown_headers"] = SQL["p2_found"][: SQL["p2_found"].index(",\np as")] + " select distinct name from (select unnest(names) as name from f) where trim(name) <> '' and name not in (" + ", ".join(repr(h) for _, heads in COLUMNS.values() for h in heads) + ")"
 SQL["files_bytes"] = "select count(distinct file_id) as files, cast(sum(strlen(l) + 1) as bigint) as bytes from (select file_id, raw_line as l from internal_all where raw_line is not null and line_no is not null and file_id is not null qualify row_number() over (partition by file_id, line_no order by loaded_at desc, raw_line desc) = 1)"
 
 # ---- all of p2: changes with their kinds, and the common table -----------------------------------------------------

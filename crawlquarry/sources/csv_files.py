@@ -391,6 +391,12 @@ def export(rows: DataFrame, folder: str) -> list[str]:
     return discover(folder)
 
 
+def unknown(headers: DataFrame, override: dict[str, str] | None = None) -> DataFrame:
+    """(name): headers, of an array ``names`` in the form in which they meet, that name no canonical column."""
+    names = headers.select(F.explode("names").alias("name"))
+    return names.where(~F.col("name").isin(*HEADERS, *[" ".join(h.split()).lower() for h in override or {}]) & X.has(F.col("name"))).distinct()
+
+
 class Ingest:
     """Files of one import: typed rows merged by page, faulty records, warnings, counters and status."""
 
@@ -415,8 +421,7 @@ class Ingest:
 
     def unknown_columns(self) -> DataFrame:
         """(name): headers that name no canonical column."""
-        names = B.headers(self.raw, self.header_within).select(F.explode("names").alias("name"))
-        return names.where(~F.col("name").isin(*HEADERS, *[h.lower() for h in self.override]) & X.has(F.col("name"))).distinct()
+        return unknown(B.headers(self.raw, self.header_within), self.override)
 
     def summary(self) -> DataFrame:
         return merge.import_status(merge.counters(self.rows()), self.warnings.count())
