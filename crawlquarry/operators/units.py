@@ -88,11 +88,14 @@ def observations(urls: DataFrame, audits: DataFrame, scale: DataFrame) -> DataFr
     notation)."""
     units = _units(scale)
     info = audits.select(F.col("audit_id").alias("a_id"), "project_id", F.lower(F.substring("locale", 1, 2)).isin(*COMMA_DECIMALS).alias("comma")).groupBy("a_id").agg(F.min("project_id").alias("project_id"), F.first("comma", True).alias("comma"))
-    cols = ["ord", "audit_id", "url", "title", *units]
-    rows = urls.select(*cols).join(small(written(info)), F.col("audit_id") == F.col("a_id"), "left").withColumn("comma", F.coalesce("comma", F.lit(False)))
+    page = F.lower(F.regexp_replace(X.trimmed(F.col("url")), r"(?i)^https?://(www\.)?|/+$", ""))
+    title = F.length(X.trimmed(F.col("title"))).cast("double")
+    # pages are only compared for equality; all cells are trimmed once
+    rows = urls.select("ord", "audit_id", F.xxhash64(F.coalesce(page, F.lit(""))).alias("page"), F.when(title > 0, title).alias("title_length_own"), *[X.trimmed(F.col(m)).alias(m) for m in units])
+    rows = rows.join(small(written(info)), F.col("audit_id") == F.col("a_id"), "left").withColumn("comma", F.coalesce("comma", F.lit(False)))
     parts = []
     for measure, us in units.items():
-        t = X.trimmed(F.col(measure))
+        t = F.col(measure)
         plain = F.when(t.rlike(f"^{NUMBER}$"), number(t, F.col("comma")))
         pieces = t.rlike(rf"^(?:{PIECE}\s*)+$")
         nums, names = F.regexp_extract_all(t, F.lit(PIECE), 1), F.regexp_extract_all(t, F.lit(PIECE), 2)
@@ -104,17 +107,17 @@ def observations(urls: DataFrame, audits: DataFrame, scale: DataFrame) -> DataFr
             part = lambda pattern, k: F.coalesce(F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)"))
             iso, clock = r"(?i)^PT(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?$", r"^(?:([0-9]+):)?([0-9]{1,2}):([0-9]{1,2}(?:\.[0-9]+)?)$"
             for p, at_least in ((iso, r"(?i)^PT.+"), (clock, ".")):
-                hit = t.rlike(p) & t.rlike(at_least)
+                hit = (F.lower(F.left(t, F.lit(2))) == "pt" if p == iso else t.contains(":")) & t.rlike(p) & t.rlike(at_least)
                 seconds = (part(p, 1) * 3600 + part(p, 2) * 60 + part(p, 3)).cast("decimal(24,9)")
                 value, unit = F.when(hit, (seconds * sec).cast("decimal(38,9)")).otherwise(value), F.when(hit, "mixed").otherwise(unit)
+        # plain numbers, nearly all cells, aren't tried for anything else
+        value, unit = F.when(plain.isNull() & (t != ""), value), F.when(plain.isNull() & (t != ""), unit)
         # the measure of the row's own text, a source in the common unit
-        own = F.when(F.length(X.trimmed(F.col("title"))) > 0, F.length(X.trimmed(F.col("title"))).cast("double")) if measure == "title_length" else F.lit(None).cast("double")
+        own = F.col("title_length_own") if measure == "title_length" else F.lit(None).cast("double")
         parts.append(
             F.struct(F.lit(measure).alias("field_name"), plain.cast("decimal(28,9)").alias("plain"), value.cast("decimal(38,9)").alias("value"), F.when(value.isNotNull(), unit).alias("written_in"), own.alias("own"))
         )
-    page = F.lower(F.regexp_replace(X.trimmed(F.col("url")), r"(?i)^https?://(www\.)?|/+$", ""))
-    # pages are only compared for equality
-    return rows.select("ord", "audit_id", "project_id", F.xxhash64(F.coalesce(page, F.lit(""))).alias("page"), F.inline(F.array(*parts)))
+    return rows.select("ord", "audit_id", "project_id", "page", F.inline(F.array(*parts)))
 
 
 class Units:
@@ -222,6 +225,8 @@ class Units:
         id, are followed 2, 4, 8 ... steps. Both point one way, so they end after as many doublings as the longest has
         bits."""
         out = between
+        if between.isEmpty():
+            return out
         for ahead in (False, True):
             best = between.where(F.col("b") > F.col("a") if ahead else F.col("b") < F.col("a")).groupBy("field_name", "a").agg(F.min(F.struct("rank", (-F.col("n")).alias("m"), "b", "scale")).alias("l"))
             hop = best.select("field_name", "a", "l.b", "l.scale", (-F.col("l.m")).alias("n"), "l.rank")
