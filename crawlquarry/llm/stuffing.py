@@ -53,6 +53,8 @@ REDUNDANT, FEW_ENDS = -1.0, 0.02
 #: sentence, if it isn't, and if it is extremely redundant.
 EXTREME = -3.0
 NEED_ENDED, NEED, NEED_REDUNDANT = 0.08, 0.16, 0.30
+#: Words above which a block is judged in stretches, and words of a stretch.
+LONG, STRETCH = 40, 16
 #: Share of the words of the sentences of a script and language that the learned words must cover for its blocks to be
 #: judged by them.
 COVERED = 0.5
@@ -237,6 +239,14 @@ class Reader:
                         if x:
                             self._unit(f, len(x), (flags & ~ENDED) | first, at, words_of(unlinked(x)))
                             first = 0
+                elif len(ws) > LONG and len(tokens := b.split(" ")) > LONG:
+                    # longer than sentences are: stretch by stretch, since a sentence may end a list that has no marks
+                    first = FIRST
+                    for lo_ in range(0, len(tokens), STRETCH):
+                        x = " ".join(tokens[lo_ : lo_ + STRETCH])
+                        last = lo_ + STRETCH >= len(tokens)
+                        self._unit(f, len(x) + (not last), (flags if last else flags & ~ENDED) | first, at, words_of(unlinked(x)))
+                        first = 0
                 else:
                     self._unit(f, len(b), flags | FIRST, at, ws)
             f["w_size"].append(min(size, 127))

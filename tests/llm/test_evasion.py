@@ -25,6 +25,8 @@ BAD = {
     2: ("en", " ".join(f"cheap {a} {b} sale outlet λ best price." for a in WORDS[:6] for b in WORDS[:3])),
     3: ("en", "```\n" + KEYS * 8), 4: ("en", "<pre>\n" + KEYS * 8), 5: ("en", "<pre>\n" + KEYS * 8 + "</pre>"), 6: ("en", "```\n" + KEYS * 8 + "\n```"),
 }
+LIST = " ".join(f"{w} x{n}" for n, w in enumerate(WORDS * 4))
+BAD |= {7: ("en", f"{LIST} Our courier never forgot the tent when the shop was closed. {LIST}")}  # no mark but that of a sentence in its midst
 FINE = {101: ("ko", "\n".join(KO_LINES)), 102: ("en", "```\nx = {1: 2}\nprint(x);\nfor y in x:\n    run(y);\n```\n" + "The editor has measured the lamp because it's cold. " * 2), 103: (None, "The editor has measured the lamp because it's cold. Our courier never forgot the tent when the shop was closed. " * 2)}
 
 
