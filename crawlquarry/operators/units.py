@@ -90,8 +90,8 @@ def observations(urls: DataFrame, audits: DataFrame, scale: DataFrame) -> DataFr
     info = audits.select(F.col("audit_id").alias("a_id"), "project_id", F.lower(F.substring("locale", 1, 2)).isin(*COMMA_DECIMALS).alias("comma")).groupBy("a_id").agg(F.min("project_id").alias("project_id"), F.first("comma", True).alias("comma"))
     page = F.lower(F.regexp_replace(X.trimmed(F.col("url")), r"(?i)^https?://(www\.)?|/+$", ""))
     title = F.length(X.trimmed(F.col("title"))).cast("double")
-    # pages are only compared for equality; all cells are trimmed once
-    rows = urls.select("ord", "audit_id", F.xxhash64(F.coalesce(page, F.lit(""))).alias("page"), F.when(title > 0, title).alias("title_length_own"), *[X.trimmed(F.col(m)).alias(m) for m in units])
+    # pages are only compared for equality, and no url is no page; all cells are trimmed once
+    rows = urls.select("ord", "audit_id", F.when(page != "", F.xxhash64(page)).alias("page"), F.when(title > 0, title).alias("title_length_own"), *[X.trimmed(F.col(m)).alias(m) for m in units])
     rows = rows.join(small(written(info)), F.col("audit_id") == F.col("a_id"), "left").withColumn("comma", F.coalesce("comma", F.lit(False)))
     parts = []
     for measure, us in units.items():
@@ -147,10 +147,10 @@ class Units:
 
         source = F.col("audit_id").alias("a")
         own = link(page.where("o is not null").select("field_name", source, "p", "o"), ["field_name", "a"], "row", F.col("p"), F.col("o") + F.col("p"))
-        star = page.groupBy("project_id", "page", "field_name").agg(F.avg("v").alias("anchor")).where("anchor is not null").join(page.where("p is not null"), ["project_id", "page", "field_name"])
+        star = page.groupBy("project_id", "page", "field_name").agg(F.avg("v").alias("anchor")).where("anchor is not null and page is not null").join(page.where("p is not null"), ["project_id", "page", "field_name"])
         star = link(star.select("field_name", source, "p", "anchor"), ["field_name", "a"], "page", F.col("p"), F.col("anchor"))
         w = Window.partitionBy("project_id", "page", "field_name").orderBy("audit_id")
-        chain = page.where("p is not null").select("field_name", source, F.col("p").alias("x"), F.lead("audit_id").over(w).alias("b"), F.lead("p").over(w).alias("y")).where("b is not null")
+        chain = page.where("p is not null and page is not null").select("field_name", source, F.col("p").alias("x"), F.lead("audit_id").over(w).alias("b"), F.lead("p").over(w).alias("y")).where("b is not null")
         chain = written(link(chain, ["field_name", "a", "b"], "page", F.col("x"), F.col("y")))
         back = chain.select("field_name", F.col("b").alias("a"), F.col("a").alias("b"), "kind", "n", (-F.col("scale")).alias("scale"), (1 - 1 / (1 - F.col("offset"))).alias("offset"))
         exact = own.unionByName(star).unionByName(chain).unionByName(back)

@@ -46,6 +46,7 @@ _KINDS = pa.schema([("file_id", pa.int64()), ("file_name", pa.string()), ("line_
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
+    path = path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), os.path.abspath(path))
 
 

@@ -59,3 +59,9 @@ def test_chains_of_any_length(spark):
     unit = {r.audit_id: r.unit for r in u.sources.collect()}
     assert unit == {f"A{k:03}": "s" if k % 2 else "ms" for k in range(1, 60)}
     assert u.links.where("kind = 'page' and (offset is null or abs(offset) > 0.2)").isEmpty()
+
+
+def test_rows_without_an_address_are_no_shared_page(spark):
+    urls = [(n, "A", None, None, "5 s", None) for n in range(5)] + [(10 + n, "B", " ", None, str(7000 + n), None) for n in range(5)]
+    u = build(spark, urls, [("A", "p", None), ("B", "p", None)])
+    assert u.links.where("kind = 'page'").isEmpty() and {(r.audit_id, r.unit) for r in u.sources.collect()} == {("B", "ms")}
