@@ -105,7 +105,8 @@ class Drift:
         sides = common.groupBy("pair", "address", "v").agg(F.collect_set(F.when(F.col("old"), F.col("pos"))).alias("o"), F.collect_set(F.when(~F.col("old"), F.col("pos"))).alias("n"))  # bounded by the headers of a file
         hits = sides.where((F.size("o") > 0) & (F.size("n") > 0)).select("pair", "address", F.explode("o").alias("o_pos"), "n").select("pair", "address", "o_pos", F.explode("n").alias("n_pos")).distinct()
         hits = hits.groupBy("pair", "o_pos", "n_pos").agg(F.count("*").alias("hits"))
-        both = written(hits.select("pair", "o_pos", "n_pos", "hits").unionByName(filled.where("old").select("pair", F.col("pos").alias("o_pos"), F.lit(None).cast("int").alias("n_pos"), F.col("n").alias("hits"))).unionByName(filled.where("not old").select("pair", F.lit(None).cast("int").alias("o_pos"), F.col("pos").alias("n_pos"), F.col("n").alias("hits"))))
+        alone = filled.select("pair", F.when(F.col("old"), F.col("pos")).alias("o_pos"), F.when(~F.col("old"), F.col("pos")).alias("n_pos"), F.col("n").alias("hits"))
+        both = written(hits.select("pair", "o_pos", "n_pos", "hits").unionByName(alone))
         name = lambda old, n: named.where("old" if old else "not old").select("pair", F.col("pos").alias(f"{n[0]}_pos"), F.col("name").alias(n))
         scored = (
             both.where("o_pos is not null and n_pos is not null")
