@@ -13,7 +13,7 @@ from crawlquarry.operators import compare, engine, explore, merge, persist, repo
 from crawlquarry.operators.rules import CATALOGUE, EVIDENCE, flagged
 from crawlquarry.plans.fixture import FIXTURE_SQL, crawl
 from crawlquarry.plans.sized import scratch
-from crawlquarry.schema import COLUMNS
+from crawlquarry.schema import COLUMNS, SEVERITIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -527,6 +527,13 @@ def top_issues(spark, d):
     return rollups.latest_children(_issues(imported(spark, d)), "audit_id", [F.desc("affected"), F.asc("rule_ord")], 2).select("audit_id", "rule_key", "affected", "place")
 
 
+@query(with_hits(CRAWL_CTE, "select audit_id, rule_key, severity, affected, cast(row_number() over (partition by audit_id order by list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), affected desc, rule_key) as int) as place from issues"))
+def issue_list(spark, d):
+    """Issues of each audit in the order of the severities' enum, then by pages."""
+    w = Window.partitionBy("audit_id").orderBy(rollups.rank(F.col("severity"), SEVERITIES), F.desc("affected"), "rule_key")
+    return _issues(imported(spark, d)).select("audit_id", "rule_key", "severity", "affected", F.row_number().over(w).alias("place"))
+
+
 @query("select project_id, audit_id, created_at, cast(n as int) as place from (select *, row_number() over (partition by project_id order by created_at desc, audit_id) as n from audits) where n <= 5")
 def project_last_audits(spark, d):
     """The last five audits of each project."""

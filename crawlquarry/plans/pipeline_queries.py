@@ -63,6 +63,12 @@ def unknown_headers(spark: SparkSession, d: str) -> DataFrame:
     return csv_files.unknown(drift.timeline(table(spark, d, "export_files")))
 
 
+def files_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings of an import in which some paths can't be read, beside the warnings of none of the others."""
+    folder = scratch(spark)
+    return csv_files.Ingest(spark, [*_export(spark, d), f"{folder}/lost.csv", f"{d}/orders.parquet"]).warnings
+
+
 def files_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Number and size of the files of an import."""
     size = csv_files.sizes(_export(spark, d))
@@ -140,7 +146,7 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return packed.values(table(spark, d, "crawled_urls"), least=1)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, files_rows, files_pages, unknown_headers, files_bytes, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p3_kept, p4_found, p4_values, p4_sources, p5_found, p5_values)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_offsets, p1_rows, files_rows, files_pages, files_warnings, unknown_headers, files_bytes, p2_found, p2_changes, p2_table, p3_found, p3_changed_columns, p3_kept, p4_found, p4_values, p4_sources, p5_found, p5_values)}
 
 #: Fixed to the definitions of the problems; independent of the operators (regular expressions and joins).
 SQL: dict[str, str] = {
@@ -247,6 +253,7 @@ SQL["files_pages"] = (
     "e as (select url, array_to_string(list_sort(list(key || '=' || value)), '|') as extra from k group by url) "
     "select y.url, " + ", ".join(f"arg_min({c}, o) filter (where {c} is not null) as {c}" for c in PAGE_COLUMNS) + ", coalesce(any_value(e.extra), '') as extra from y left join e on e.url = y.url group by y.url"
 )
+SQL["files_warnings"] = "select * from (values ('lost.csv', 'no such file'), ('orders.parquet', 'neither .csv nor .zip')) as t(file_name, warning)"
 SQL["unknown_headers"] = SQL["p2_found"][: SQL["p2_found"].index(",\np as")] + " select distinct name from (select unnest(names) as name from f) where trim(name) <> '' and name not in (" + ", ".join(repr(h) for _, heads in COLUMNS.values() for h in heads) + ")"
 SQL["files_bytes"] = "select count(distinct file_id) as files, cast(sum(strlen(l) + 1) as bigint) as bytes from (select file_id, raw_line as l from internal_all where raw_line is not null and line_no is not null and file_id is not null qualify row_number() over (partition by file_id, line_no order by loaded_at desc, raw_line desc) = 1)"
 
