@@ -96,8 +96,11 @@ class Drift:
         look = named.groupBy("file_id", "pair", "old", "key_pos").agg(F.collect_list("pos").alias("cols"))  # bounded by the headers of a file
         # only cells of moved columns leave the scan, and of them only hashes; place -1 says that the address is there at all
         cells = self.rows.join(small(written(look)), "file_id").select("pair", "old", X.trimmed(F.get("cells", F.col("key_pos"))).alias("address"), "cells", "cols").where("address <> ''")
-        cells = cells.select("pair", "old", F.xxhash64("address").alias("address"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("v"))), F.transform("cols", lambda c: F.struct(c.alias("pos"), canonical(F.get("cells", c)).alias("v"))))).alias("c"))
-        long = cells.where("c.v is not null").select("pair", "old", "address", "c.pos", F.xxhash64("c.v").alias("v")).repartition("pair", "address").distinct()
+        raw = F.transform("cols", lambda c: F.struct(c.alias("pos"), F.get("cells", c).alias("cell")))
+        cells = cells.select("pair", "old", F.xxhash64("address").alias("address"), F.inline(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("x").alias("cell"))), raw)))
+        # values outside of the array function, where expressions compile and common ones are worked out once
+        cells = cells.withColumn("v", canonical(F.col("cell")))
+        long = cells.where("v is not null").select("pair", "old", "address", "pos", F.xxhash64("v").alias("v")).repartition("pair", "address").distinct()
         # one shuffle by (pair, address) serves all that follows, down to the counts
         there = Window.partitionBy("pair", "address")
         common = long.select("*", F.max("old").over(there).alias("in_old"), F.min("old").over(there).alias("in_new")).where("in_old and not in_new and pos >= 0").drop("in_old", "in_new")
