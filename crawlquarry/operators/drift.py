@@ -36,9 +36,14 @@ DECORATED = r"^(?:[A-Za-z]+/)?([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)(?:[?+%]|\s+[A-Za-
 def canonical(cell: Column) -> Column:
     """The value of a cell however it is written: a plain number, or the text in one spelling; null where blank."""
     t = X.squeezed(cell)
+    return F.when(t == "", F.lit(None).cast("string")).otherwise(canonical_of(t))
+
+
+def canonical_of(t: Column) -> Column:
+    """The same of a text that is squeezed already and isn't blank."""
     number = F.regexp_replace(F.regexp_extract(t, DECORATED, 1), ",", "").try_cast("decimal(38,9)")
     plain = F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(t == "", F.lit(None).cast("string")).otherwise(F.coalesce(plain, F.when(t.isin("yes", "si", "sì"), "true").when(t == "no", "false").otherwise(t)))
+    return F.coalesce(plain, F.when(t.isin("yes", "si", "sì"), "true").when(t == "no", "false").otherwise(t))
 
 
 def timeline(files: DataFrame) -> DataFrame:
@@ -98,9 +103,9 @@ class Drift:
         cells = self.rows.join(small(written(look)), "file_id").select("pair", "old", X.trimmed(F.get("cells", F.col("key_pos"))).alias("address"), "cells", "cols").where("address <> ''")
         raw = F.transform("cols", lambda c: F.struct(c.alias("pos"), F.get("cells", c).alias("cell")))
         cells = cells.select("pair", "old", F.xxhash64("address").alias("address"), F.inline(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("x").alias("cell"))), raw)))
-        # values outside of the array function, where expressions compile and common ones are worked out once
-        cells = cells.withColumn("v", canonical(F.col("cell")))
-        long = cells.where("v is not null").select("pair", "old", "address", "pos", F.xxhash64("v").alias("v")).repartition("pair", "address").distinct()
+        # outside of the array function, where expressions compile; each step a column, so that it is worked out once
+        cells = cells.where(X.has(F.col("cell"))).withColumn("t", X.squeezed(F.col("cell"))).withColumn("v", canonical_of(F.col("t")))
+        long = cells.select("pair", "old", "address", "pos", F.xxhash64("v").alias("v")).repartition("pair", "address").distinct()
         # one shuffle by (pair, address) serves all that follows, down to the counts
         there = Window.partitionBy("pair", "address")
         common = long.select("*", F.max("old").over(there).alias("in_old"), F.min("old").over(there).alias("in_new")).where("in_old and not in_new and pos >= 0").drop("in_old", "in_new")
