@@ -32,3 +32,12 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` by a function of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is read in as many pieces as there are cores, as large tables are; a smaller one (one file of one
+    row group is one piece, whatever is done with it) is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # moved already, and adaptive execution knows its size
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < min(cores, 64) else df

@@ -100,7 +100,7 @@ class Drift:
         named = written(wanted.join(at.drop("is_address"), ["file_id", "name"]).join(key, "file_id"))
         look = named.groupBy("file_id", "pair", "old", "key_pos").agg(F.collect_list("pos").alias("cols"))  # bounded by the headers of a file
         # only cells of moved columns leave the scan, and of them only hashes; place -1 says that the address is there at all
-        cells = self.rows.join(small(written(look)), "file_id").select("pair", "old", X.trimmed(F.get("cells", F.col("key_pos"))).alias("address"), "cells", "cols").where("address <> ''")
+        cells = self.rows.join(small(look), "file_id").select("pair", "old", X.trimmed(F.get("cells", F.col("key_pos"))).alias("address"), "cells", "cols").where("address <> ''")
         raw = F.transform("cols", lambda c: F.struct(c.alias("pos"), F.get("cells", c).alias("cell")))
         cells = cells.select("pair", "old", F.xxhash64("address").alias("address"), F.inline(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("x").alias("cell"))), raw)))
         # outside of the array function, where expressions compile; each step a column, so that it is worked out once

@@ -45,6 +45,8 @@ NUMBER = r"[0-9][0-9.,]*"
 PIECE = rf"({NUMBER})\s*([^0-9.,\s]+)\.?"
 #: Links of fewer shared pages than this only decide where no stronger link does.
 STRONG = 3
+#: Rounds of propagation from link to link, after which shortcuts along chains are built.
+PLAIN_ROUNDS = 4
 
 
 def _units(scale: DataFrame) -> dict[str, dict[str, tuple[int, int, str]]]:
@@ -196,8 +198,11 @@ class Units:
         fixed = vote.groupBy("field_name", "a").agg(F.min(F.struct("rank", (-F.col("n")).alias("m"), "unit", "kind")).alias("best")).select("field_name", F.col("a").alias("audit_id"), "best.unit", "best.kind", (-F.col("best.m")).alias("n"), "best.rank")
         known = written(fixed)
         between = links.where("b is not null").select("field_name", "a", "b", self._ratio(F.col("field_name"), F.col("scale")).alias("scale"), "n", "rank")
-        between = self._shortened(written(between))
+        between, rounds = written(between), 0
         while True:
+            rounds += 1
+            if rounds == PLAIN_ROUNDS:  # long chains: cut them short
+                between = self._shortened(between)
             # a neighbour's unit times the scale between the two; it replaces only weaker evidence: ranks fall, so this ends
             near = between.join(known.select("field_name", F.col("audit_id").alias("b"), F.col("unit").alias("b_unit"), F.col("rank").alias("b_rank")), ["field_name", "b"])
             near = near.withColumn("unit", self._snapped(F.col("field_name"), F.col("scale") + self._logs(F.col("field_name"), F.col("b_unit")))).withColumn("rank", F.greatest(F.col("rank"), F.col("b_rank")))
