@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlquarry.functions.arrow import map_arrow
+from crawlquarry.functions.arrow import map_arrow, spread
 from crawlquarry.llm.tokenizers import BYTE_LEVEL, DEFAULT_DIR, encoder, ship
 from crawlquarry.plans.sized import size_bytes, written
 
@@ -226,7 +226,7 @@ def ids(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = DEF
     """(doc_id, ids) of every document. Hashes of chunks are counted in a shuffle; of texts, only chunks that stand in
     several places move."""
     ship(documents.sparkSession, [tokenizer], folder)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     if tokenizer not in BYTE_LEVEL:
         return map_arrow(docs, _whole(tokenizer, folder), "doc_id long, ids array<int>")
     twice = written(map_arrow(docs.select("text"), _keys, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
@@ -265,4 +265,4 @@ def _lengths(names: list[str], folder: str):
 def lengths(texts: DataFrame, names: list[str], folder: str = DEFAULT_DIR) -> DataFrame:
     """(doc_id, row_id, source, tokenizer, tokens) of (doc_id, row_id, source, tokenizer, text)."""
     ship(texts.sparkSession, names, folder)
-    return map_arrow(texts, _lengths(names, folder), "doc_id long, row_id long, source string, tokenizer string, tokens long")
+    return map_arrow(spread(texts), _lengths(names, folder), "doc_id long, row_id long, source string, tokenizer string, tokens long")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlquarry.functions.arrow import map_arrow
+from crawlquarry.functions.arrow import map_arrow, spread
 from crawlquarry.plans.sized import written
 
 LEAST = 150
@@ -384,7 +384,7 @@ def _scores(model: Model):
 def features(documents: DataFrame) -> DataFrame:
     """What judging needs of all documents of ``LEAST`` characters or more, written once: the only pass over texts."""
     texts = documents.where(F.length("text") >= LEAST).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return written(map_arrow(texts, _features, FEATURES))
+    return written(map_arrow(spread(texts), _features, FEATURES))
 
 
 def learn(seen: DataFrame) -> tuple[Model, DataFrame]:
